@@ -73,23 +73,19 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
 BITS = 24
 
 
-def bitmap(df: DataFrame, key: str) -> np.ndarray:
-    """A bitmap of 2**BITS bits (2 MB, whatever the input) of the hashed long column
-    key. Absence is certain, presence is not: it only saves shuffling rows that a
-    join would drop anyway, and when it fills up nothing but that saving is lost."""
-    h = F.xxhash64(F.col(key))
-    bit = F.pmod(h, F.lit(1 << BITS))
-    words = (
-        df.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    )
+def bitmap(df: DataFrame, hashed: str) -> np.ndarray:
+    """A bitmap of 2**BITS bits (2 MB, whatever the input) of hashed, a long column of
+    uniform hashes. Absence is certain, presence is not: it only saves shuffling rows that
+    a join would drop anyway, and when it fills up nothing but that saving is lost."""
+    bit = F.expr(f"{hashed} & {(1 << BITS) - 1}L")
+    words = df.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({hashed} & 63L as int))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     return out
 
 
 def in_bitmap(words: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    """hashed: xxhash64 of the keys, as computed by Spark."""
     bit = hashed & ((1 << BITS) - 1)
     return (words[bit >> 6] >> (bit & 63)) & 1 == 1
 

@@ -4,17 +4,61 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .quality_rules import BOILERPLATE, quality_rules
+from .suffix_dedup import remove_repeats
+
+
+def op4_quality_rules(spark, sf_dir):
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(cols)
 
 
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE = {
+    "op4_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        ws AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, t FROM d),
+        w AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM ws),
+        g AS (SELECT doc_id, i, a, lead(a) OVER v AS b, lead(a, 2) OVER v AS c FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM g WHERE c IS NOT NULL),
+        p AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r WHERE k > 1),
+        reps AS (SELECT doc_id, count(*) AS n_repeat_words FROM p GROUP BY 1),
+        l0 AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d),
+        l1 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l0),
+        l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth,
+                     regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words,
+                     length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low,
+                     length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
+              FROM l1 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        f AS (SELECT *, NOT regexp_matches(line, '[.!?:;…"''”’»)\]][\x20\x09-\x0D]*$')
+                     OR regexp_matches(line, '(?i)(BOILERPLATE)')
+                     OR up >= 10 AND 100 * up > 60 * (up + low)
+                     OR len(list_filter(words, lambda x: x IN ('|', '>', '>>', '»', '·', '•', '/', '-', '–'))) >= 2
+                     OR 100 * len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 30 * len(words) AS bad
+              FROM l),
+        ls AS (SELECT doc_id, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END)::BIGINT AS n_dup_lines,
+                      sum(CASE WHEN bad THEN chars ELSE 0 END)::BIGINT AS lost FROM f GROUP BY 1),
+        o AS (SELECT ws.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+              FROM ws LEFT JOIN ls USING (doc_id) LEFT JOIN reps USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept
+        FROM o""".replace("BOILERPLATE", BOILERPLATE),
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
