@@ -64,7 +64,7 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     their broadcast is bounded) are broadcast; all others meet in a shuffle join."""
     hot = groups.where(F.col(size) * HOT_SHARE > total)
     some = F.broadcast(hot)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) * HOT_SHARE <= total).hint("shuffle_hash"), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) * HOT_SHARE <= total), keys)
     return rows.join(some, keys).unionByName(rest)
 
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dups
 from .quality_rules import BOILERPLATE, quality_rules
 from .suffix_dedup import remove_repeats
 
 
+def op3_minhash_near_dedup(spark, sf_dir):
+    return near_dups(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(cols)
@@ -22,6 +27,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
