@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dups
+from .packing import pack
 from .quality_rules import BOILERPLATE, quality_rules
 from .suffix_dedup import remove_repeats
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return near_dups(table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
