@@ -112,8 +112,8 @@ def _scan(with_text: bool):
     return scan
 
 
-def quality_rules(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs without text, plus the counts and verdicts, and with_text the text of the lines left as clean_text."""
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+def quality_rules(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of carry, the counts and verdicts, and with_text the text of the lines left as clean_text."""
+    rest = [docs.schema[c] for c in ("doc_id", *carry)]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
     return python_map(docs.select(*[f.name for f in rest], "text"), _scan(with_text), fields + _FIELDS + ", clean_text string" * with_text)

@@ -295,16 +295,15 @@ def _slim(words: np.ndarray | None):
     return scan
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs without text, plus n_bytes, n_removed, n_spans, kept_sha256, and with_text the
+def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of carry, n_bytes, n_removed, n_spans, kept_sha256, and with_text the
     remaining bytes as kept_text (a character that a cut split is left out)."""
+    docs = docs.select("doc_id", "text", *carry)
     runs = repeated_runs(docs).groupBy("doc_id", "sum").agg(F.collect_list("pos").alias("runs"))
     runs = stash(runs.withColumnsRenamed({"doc_id": "_id", "sum": "_s"}), "sfx-runs")
     words = None if with_text else bitmap(runs.select(F.xxhash64("_id").alias("h")), "h")
-    rest = _keyed(docs).drop("text").withColumn("h", F.xxhash64("doc_id"))
-    names = [c for c in rest.columns if c not in ("_text", "h")]
-    fields = ", ".join(f"`{c}` {rest.schema[c].dataType.simpleString()}" for c in names)
-    slim = python_map(rest.select(*names, "_text", "h"), _slim(words), f"{fields}, _text string, n_bytes long, sha string")
+    rest = _keyed(docs).withColumn("h", F.xxhash64("doc_id"))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    slim = python_map(rest.select("doc_id", *carry, "_sum", "_text", "h"), _slim(words), f"{fields}, _sum long, _text string, n_bytes long, sha string")
     both = slim.join(runs, F.equal_null("doc_id", "_id") & (F.col("_sum") == F.col("_s")), "left").drop("_id", "_s", "_sum")
-    fields = ", ".join(f"`{c}` {rest.schema[c].dataType.simpleString()}" for c in names if c != "_sum")
     return python_map(both, _finish(with_text), f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
