@@ -1,19 +1,78 @@
-"""Corpus preparation: STAGES applied in order to documents."""
+"""Corpus preparation: STAGES applied in order to documents.
 
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one
+packed pieces. Stages that change a text also bring n_chars up to date. Other columns travel
+in one struct, so their names can't clash with those of an operator.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkmill.llm.common import stash, table
 from inkmill.llm.exact_dedup import exact_dedup
+from inkmill.llm.near_dedup import near_dups
+from inkmill.llm.packing import pack
+from inkmill.llm.quality_rules import quality_rules
+from inkmill.llm.suffix_dedup import remove_repeats
 
 
-def exact(spark, docs, sf_dir):
-    return docs.join(exact_dedup(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+def _carried(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
 
 
-STAGES = [("exact dedup", exact)]
-ORACLE_SQL = None
+def _with_text(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of docs, with the text of the column text."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return found.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is kept; of rows that repeat in all columns, one."""
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        docs = docs.dropDuplicates()
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.equal_null("doc_id", "_id"), "left_semi")
+
+
+def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, and rejected documents."""
+    found = quality_rules(_carried(docs), with_text=True, carry=("_row",)).where("kept")
+    return _with_text(found, docs, "clean_text")
+
+
+def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, exact_dedup(docs))
 
 
-def run(spark, sf_dir):
-    from inkmill.llm.common import stash, table
+def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, near_dups(docs))
+
+
+def repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand anywhere else go; a document may end up empty."""
+    return _with_text(remove_repeats(_carried(docs), with_text=True, carry=("_row",)), docs, "kept_text")
+
+
+def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("exact dedup", exact),
+    ("minhash near-dedup", near),
+    ("suffix-array dedup", repeats),
+    ("best-fit packing", packing),
+]
+
+#: DuckDB has neither the near-dedup nor the tokenizer; tests/llm holds the result against brute force.
+ORACLE_SQL = None
+
 
+def run(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
