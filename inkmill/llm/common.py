@@ -58,14 +58,14 @@ def python_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
 HOT_SHARE = 200
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with one row per group, where a group may hold a third of
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with one row per group, where a group may hold a third of
     all rows. Groups with over total / HOT_SHARE rows (fewer than HOT_SHARE exist, so
     their broadcast is bounded) are broadcast; all others meet in a shuffle join."""
     hot = groups.where(F.col(size) * HOT_SHARE > total)
-    some = F.broadcast(hot)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) * HOT_SHARE <= total), keys)
-    return rows.join(some, keys).unionByName(rest)
+    some = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) * HOT_SHARE <= total), keys, how)
+    return some.unionByName(rest)
 
 
 # --- bounded membership bitmap -------------------------------------------------
@@ -94,7 +94,7 @@ def in_bitmap(words: np.ndarray, hashed: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
-    """Connected components of an undirected graph of long ids (columns a, b).
+    """Connected components of an undirected graph whose ids (columns a, b) have an order.
 
     Returns one row (node, root) per node that has an edge to another node; root is the smallest
     node of its component. Each round hooks every root to its smallest neighbour,

@@ -10,6 +10,13 @@ from .near_dedup import near_dups
 from .packing import pack
 from .quality_rules import BOILERPLATE, quality_rules
 from .suffix_dedup import remove_repeats
+from .url_filters import url_filter
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_url_filters(spark, sf_dir):
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_best_fit_packing(spark, sf_dir):
@@ -34,6 +41,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
@@ -41,7 +49,40 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
+#: Host, path and query of a URL in DuckDB.
+_URL = r"""
+            CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"""
+_FIT = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_RULE = "CASE " + " ".join(
+    f"WHEN {_FIT.format(r.partition('/')[0], '/' + r.partition('/')[2])} THEN '{a}{r}'" for a, r in sorted(URL_RULES, key=lambda x: -len(x[1]))
+) + " END"
+
 ORACLE = {
+    "op1_url_filters": r"""
+        WITH RECURSIVE p0 AS (SELECT page_id, url, html, REST_URL AS rest FROM pages),
+        p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM p0),
+        t0 AS (SELECT *, unnest([
+                   regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1),
+                   regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)url\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS h
+               FROM p WHERE host <> ''),
+        t1 AS (SELECT host || path || query AS a,
+                      CASE WHEN instr(h, '://') > 0 THEN h WHEN starts_with(h, '//') THEN 'http:' || h WHEN starts_with(h, '/') THEN 'http://' || host || h
+                           ELSE 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || h END AS target
+               FROM t0 WHERE h <> ''),
+        t2 AS (SELECT a, REST_TARGET AS rest FROM t1),
+        t3 AS (SELECT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM t2),
+        e AS (SELECT a, host || path || query AS b FROM t3 WHERE host <> ''),
+        n AS (SELECT host, path, host || path || query AS k FROM p WHERE host <> '' UNION SELECT host, path, host || path || query FROM t3 WHERE host <> ''),
+        r AS (SELECT k, RULE AS act FROM n),
+        reach(k, other) AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+                            UNION SELECT reach.k, x.b FROM reach JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) x ON reach.other = x.a),
+        c AS (SELECT reach.k, bool_or(starts_with(act, 'block')) AS bl, bool_or(starts_with(act, 'allow')) AS al FROM reach JOIN r ON reach.other = r.k GROUP BY 1),
+        j AS (SELECT p.*, RULE AS act FROM p)
+        SELECT page_id, host, path, substr(act, 6) AS rule,
+               coalesce(substr(act, 1, 5), CASE WHEN coalesce(bl, false) AND NOT coalesce(al, false) THEN 'block' END, 'allow') AS verdict
+        FROM j LEFT JOIN c ON j.host <> '' AND c.k = j.host || j.path || j.query""".replace("REST_URL", _URL.format("url")).replace("REST_TARGET", _URL.format("target")).replace("RULE", _RULE),
     "op4_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         ws AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, t FROM d),
