@@ -37,7 +37,8 @@ from .common import attach, bitmap, in_bitmap, python_map, stash
 from .rolling import A, B, U, chunks, mix, sliding_min
 
 WINDOW, GRAM = 200, 40
-CROWD = 4000
+#: Up to so many segments of a gram, under 8 MB, are compared in one task; beyond it windows are counted as rows.
+CROWD = 1 << 15
 _PIECE = 1 << 19
 _POS = U((1 << 20) - 1)
 
