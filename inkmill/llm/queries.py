@@ -8,8 +8,10 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dups
 from .packing import pack
+from .quality_classifier import quality_scores
 from .quality_rules import BOILERPLATE, quality_rules
 from .suffix_dedup import remove_repeats
+from .toxicity import toxicity_scores
 from .url_filters import url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -32,10 +34,18 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(cols)
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_array_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,7 +55,9 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
