@@ -3,19 +3,22 @@
 A document is the set of its distinct 5-word shingles; documents link when 100 * |A & B| >= 75 * |A | B|.
 Documents with equal sets are collapsed first. In each of TREES independent trees a node branches its documents by one or two selected
 minwise tokens (4/3 on average, the reciprocal of the threshold, so that a pair at the threshold keeps
-one common child on average). A node of up to SMALL documents is compared exhaustively on
-128-coordinate sketches; every pair that the sketch doesn't rule out (5 standard deviations below the
-threshold) becomes a candidate. A larger node compares its documents with its smallest one, and branches again
-for as long as its documents are not all in one component, however deep. Candidates are then confirmed on
-full shingle sets recomputed from whole texts, the likeliest first; pairs within a component
-already found need no check, as they can't change the result.
+one common child on average). A node of up to SMALL documents is compared exhaustively on 128-coordinate
+sketches; a larger one compares its documents with its smallest, and branches again unless that reaches
+all of them, however deep that goes. Nodes report no pairs but a star for each group of documents that the
+sketches can't tell apart at 4.5 standard deviations below the threshold.
 
-A pair at the threshold is met in one tree with probability 0.81 in a small first-level node and about 0.6 three levels
-down, so 16 trees miss it with probability of 2e-12 to 4e-7.
+The components of those stars hold every link that a tree has met. Each component comes together once, with whole texts, and its
+links are confirmed on full shingle sets, one search from each document over those not yet reached. Components over GATHER
+documents or GATHER_BYTES of text are not gathered: their trees are run again down to nodes of CROWDED
+documents, and candidate pairs are confirmed by joins in rounds, the likeliest first, until each is confirmed, refuted or
+within one component.
+
+A pair at the threshold shares a first-level node in one tree with probability 0.81 and a third-level one with about 0.6,
+so 16 trees miss it with probability of 2e-12 to 4e-7, and the sketches with 3e-6.
 
 Null and empty texts have no shingles and link with nothing. Rows of equal doc_id count as
-one document for linking, and each is returned. Hot nodes and hubs go through ``attach``; no group over SMALL
-is gathered anywhere.
+one document for linking, and each is returned. Hot nodes and hubs go through ``attach``.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from .common import attach, bitmap, components, in_bitmap, python_map, stash
 from .rolling import A, U, _splitmix, chunks, mix
 
 WORDS, PERCENT = 5, 75
-COORDS, TREES, SMALL = 128, 16, 32
-SURE_OUT = 0.55
+COORDS, TREES, SMALL, CROWDED = 128, 16, 4096, 32
+GATHER, GATHER_BYTES = 20_000, 64 << 20
+SURE_OUT = 0.58
 _MUL = _splitmix(0xA4093822299F31D0, COORDS) | U(1)
 _XOR = _splitmix(0x082EFA98EC4E6C89, COORDS)
 _CHUNK = 1 << 20
@@ -145,8 +149,87 @@ def _branch(batch):
     yield _rows(batch.column("doc_id"), owner, child, batch.column("sketch"))
 
 
+def _stars_within(batch):
+    """A star from the smallest document of each group that sketches join, for nodes given as lists of (doc_id, sketch)."""
+    a, b = [], []
+    least = int(np.ceil((SURE_OUT * (1 - 1 / 256) + 1 / 256) * COORDS))
+    for group in batch.column("members"):
+        ids = group.values.field("doc_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, m = ids[order], _matrix(group.values.field("sketch"))[order]
+        rest = np.arange(len(ids))
+        while len(rest):
+            hub, queue, rest = rest[0], [rest[0]], rest[1:]
+            while queue and len(rest):
+                near = (m[rest] == m[queue.pop()]).sum(axis=1) >= least
+                found = rest[near]
+                queue += found.tolist()
+                rest = rest[~near]
+                found = found[ids[found] != ids[hub]]
+                a.append(np.full(len(found), ids[hub])), b.append(ids[found])
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of sorted distinct arrays."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum())
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> bool:
+    both = _shared(a, b)
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _exact_components(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The smallest linked id of each document, by full sets."""
+    order = np.argsort(ids, kind="stable")
+    sets = shingle_sets([texts[i] for i in order.tolist()])
+    m = np.stack([(signature(s) & U(255)).astype(np.uint8) for s in sets])
+    size = np.array([len(s) for s in sets])
+    least = int(np.ceil((SURE_OUT * (1 - 1 / 256) + 1 / 256) * COORDS))
+    out = ids.copy()
+    rest = np.arange(len(ids))
+    while len(rest):
+        hub, queue, rest = rest[0], [rest[0]], rest[1:]
+        while queue and len(rest):
+            u = queue.pop()
+            small, large = np.minimum(size[rest], size[u]), np.maximum(size[rest], size[u])
+            maybe = np.flatnonzero((100 * small >= PERCENT * large) & ((m[rest] == m[u]).sum(axis=1) >= least))
+            hit = [i for i in maybe.tolist() if ids[order[rest[i]]] == ids[order[u]] or _links(sets[u], sets[rest[i]])]
+            found = rest[hit]
+            queue += found.tolist()
+            out[order[found]] = ids[order[hub]]
+            rest = np.delete(rest, hit)
+    return out
+
+
+def _gathered(batches):
+    """Exact components of partitions sorted by root, each root's rows together."""
+    held: list[tuple[int, bytes]] = []
+    root = None
+
+    def done():
+        ids = np.array([h[0] for h in held], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_exact_components(ids, [h[1] for h in held]))], ["node", "root"])
+
+    for batch in batches:
+        for r, i, t in zip(batch.column("root").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            if r != root and held:
+                yield done()
+                held = []
+            root = r
+            held.append((i, t))
+    if held:
+        yield done()
+
+
 def _pairs_within(batch):
-    """Candidate pairs of small nodes, one list of (doc_id, sketch) a row."""
+    """Candidate pairs of crowded components' nodes, one list of (doc_id, sketch) a row."""
     a, b, est = [], [], []
     for group in batch.column("members"):
         ids = group.values.field("doc_id").to_numpy()
@@ -160,6 +243,11 @@ def _pairs_within(batch):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, est)], ["a", "b", "est"])
 
 
+def _with_hub(batch):
+    e = _estimate((_matrix(batch.column("sketch")) == _matrix(batch.column("hub_sketch"))).sum(axis=1))
+    yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub"), batch.column("doc_id"), pa.array(e)], ["node", "a", "b", "est"])
+
+
 def _pairs_with_hub(batch):
     e = _estimate((_matrix(batch.column("sketch")) == _matrix(batch.column("hub_sketch"))).sum(axis=1))
     a, b = batch.column("hub").to_numpy(), batch.column("doc_id").to_numpy()
@@ -181,8 +269,7 @@ def _confirm(batch):
             hub = shingle_sets([left[i].as_py().encode()])[0]
         last = i
         own = shingle_sets([right[i].as_py().encode()])[0]
-        both = len(np.intersect1d(hub, own, assume_unique=True))
-        ok[i] = 100 * both >= PERCENT * (len(hub) + len(own) - both)
+        ok[i] = _links(hub, own)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ok)], ["a", "b", "ok"])
 
 
@@ -213,57 +300,120 @@ def _named(df: DataFrame, roots: DataFrame | None, column: str, out: str) -> Dat
     return df.join(r, F.col(column) == F.col("_n"), "left").withColumn(out, F.coalesce("_r", column)).drop("_n", "_r")
 
 
-def _settle(docs: DataFrame, cand: DataFrame, links: DataFrame | None, roots: DataFrame | None):
+def _settle(docs: DataFrame, cand: DataFrame, links: DataFrame | None, checked: DataFrame | None, roots: DataFrame | None):
     """Confirms candidates until each is confirmed, refuted or within one component."""
     most = 1
+    if checked is not None:
+        cand = cand.join(checked, ["a", "b"], "left_anti")
     while True:
         named = _named(_named(cand, roots, "a", "ra"), roots, "b", "rb")
         cand = stash(named.where("ra <> rb").select("a", "b", "est"), "near-open")
         if cand.isEmpty():
-            return links, roots
+            return links, checked, roots
         best = Window.partitionBy("b").orderBy(F.desc("est"), "a")
         picked = stash(cand.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most).select("a", "b"), "near-picked")
         found = _verified(docs, picked)
         cand = cand.join(found.select("a", "b"), ["a", "b"], "left_anti")
         new = found.where("ok").select("a", "b")
         links = new if links is None else links.union(new)
+        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
         roots = components(links, "near")
         most *= 4
 
 
-def near_dups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
-    rows = stash(python_map(docs, _signatures, "doc_id long, n_shingles long, s1 long, s2 long, nodes array<long>, sketch binary"), "near-rows")
-    key = ["s1", "s2", "n_shingles"]
-    groups = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"))
-    groups = stash(groups, "near-groups")
-    reps = groups.select(F.col("rep").alias("doc_id"), "nodes", "sketch")
-    links = roots = deep = None
+def _levels(reps: DataFrame, small: int):
+    """Per level of the trees: rows of nodes up to small, gathered by node, and rows of larger nodes with
+    their hub; the consumer sends back which of the latter branch on (node, size), or None."""
+    deep = None
     while True:
         ids = reps.select("doc_id", F.explode("nodes").alias("node")) if deep is None else deep.select("doc_id", "node")
         nodes = stash(ids.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("hub")).where("size > 1"), "near-nodes")
         level = python_map(reps, _first_level(bitmap(nodes, "node")), _NODE) if deep is None else deep
-        few = level.join(nodes.where(F.col("size") <= SMALL).select("node"), "node")
-        few = few.groupBy("node").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members"))
-        cand = python_map(few.select("members"), _pairs_within, _PAIR)
-        large = nodes.where(F.col("size") > SMALL)
-        if any_large := not large.isEmpty():
+        few = level.join(nodes.where(F.col("size") <= small).select("node"), "node")
+        few = few.groupBy("node").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).select("members")
+        large, crowd = nodes.where(F.col("size") > small), None
+        if not large.isEmpty():
             hubs = reps.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("hub_sketch"))
             large = stash(large.join(hubs, "hub"), "near-hubs")
             crowd = stash(attach(level, large, ["node"], "size", large.agg(F.sum("size")).first()[0]), "near-crowd")
-            cand = cand.union(python_map(crowd.select("doc_id", "sketch", "hub", "hub_sketch"), _pairs_with_hub, _PAIR))
-        cand = stash(cand.groupBy("a", "b").agg(F.max("est").alias("est")), "near-cand")
-        links, roots = _settle(docs, cand, links, roots)
-        if not any_large:
-            break
-        named = _named(crowd.select("node", "doc_id", "sketch"), roots, "doc_id", "root")
-        unlike = named.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-        unlike = stash(unlike.select("node", "size"), "near-unlike")
-        if unlike.isEmpty():
-            break
-        deep = attach(crowd.select("node", "doc_id", "sketch"), unlike, ["node"], "size", unlike.agg(F.sum("size")).first()[0])
+        on = yield few, crowd
+        if crowd is None or on is None or on.isEmpty():
+            return
+        deep = attach(crowd.select("node", "doc_id", "sketch"), on, ["node"], "size", on.agg(F.sum("size")).first()[0])
         deep = stash(python_map(deep.select("node", "doc_id", "sketch"), _branch, _NODE), "near-level")
+
+
+def _star_edges(reps: DataFrame) -> DataFrame:
+    edges, on = [], None
+    levels = _levels(reps, SMALL)
+    try:
+        while True:
+            few, crowd = levels.send(on)
+            edges.append(stash(python_map(few, _stars_within, "a long, b long").distinct(), "near-stars"))
+            on = None
+            if crowd is not None:
+                close = stash(python_map(crowd.select("node", "doc_id", "sketch", "hub", "hub_sketch"), _with_hub, "node long, a long, b long, est double"), "near-hub-stars")
+                edges.append(close.where(F.col("est") >= SURE_OUT).select("a", "b").where("a <> b"))
+                unlike = close.groupBy("node").agg(F.min("est").alias("est"), F.count(F.lit(1)).alias("size"))
+                on = stash(unlike.where(F.col("est") < SURE_OUT).select("node", "size"), "near-unlike")
+    except StopIteration:
+        pass
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.union(e)
+    return out
+
+
+def _crowded(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Roots of documents whose components can't be gathered."""
+    links = checked = roots = on = None
+    levels = _levels(reps, CROWDED)
+    try:
+        while True:
+            few, crowd = levels.send(on)
+            cand = python_map(few, _pairs_within, _PAIR)
+            if crowd is not None:
+                cand = cand.union(python_map(crowd.select("doc_id", "sketch", "hub", "hub_sketch"), _pairs_with_hub, _PAIR))
+            cand = stash(cand.groupBy("a", "b").agg(F.max("est").alias("est")), "near-cand")
+            links, checked, roots = _settle(docs, cand, links, checked, roots)
+            on = None
+            if crowd is not None:
+                named = _named(crowd.select("node", "doc_id"), roots, "doc_id", "root")
+                on = named.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+                on = stash(on.select("node", "size"), "near-unlike")
+    except StopIteration:
+        pass
+    return roots
+
+
+def _joined(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, root) of documents that have links."""
+    roots = components(_star_edges(reps), "near")
+    sized = docs.where("doc_id is not null and text is not null").select("doc_id", F.octet_length("text").alias("bytes"))
+    sizes = roots.join(sized, roots["node"] == sized["doc_id"]).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = stash(sizes, "near-sizes")
+    fits = (F.col("n") <= GATHER) & (F.col("bytes") <= GATHER_BYTES)
+    roots = stash(attach(roots, sizes.select("root", "n", fits.alias("fits")), ["root"], "n", roots.count()), "near-roots")
+    words = bitmap(roots.select(F.xxhash64("node").alias("h")), "h")
+    texts = python_map(docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")), _wanted(words), "doc_id long, text string")
+    members = texts.join(roots.where("fits").withColumnRenamed("node", "doc_id"), "doc_id").select("root", "doc_id", "text")
+    found = members.repartition("root").sortWithinPartitions("root", "doc_id").mapInArrow(_gathered, "node long, root long")
+    found = stash(found.groupBy("node").agg(F.min("root").alias("root")), "near-exact")
+    rest = roots.where("not fits").select(F.col("node").alias("doc_id"))
+    if not rest.isEmpty():
+        more = _crowded(docs, stash(reps.join(rest, "doc_id", "left_semi"), "near-rest"))
+        found = found if more is None else found.union(more)
+    return found
+
+
+def near_dups(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    docs = docs.select("doc_id", "text")
+    rows = stash(python_map(docs, _signatures, "doc_id long, n_shingles long, s1 long, s2 long, nodes array<long>, sketch binary"), "near-rows")
+    key = ["s1", "s2", "n_shingles"]
+    groups = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"))
+    groups = stash(groups, "near-groups")
+    roots = _joined(docs, groups.select(F.col("rep").alias("doc_id"), "nodes", "sketch"))
     classes = _named(groups.select(*key, "rep", "size"), roots, "rep", "component_id").select(*key, "size", "component_id")
     done = attach(rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", *key), classes, key, "size", rows.count())
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
