@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .line_dedup import BLOCKS, line_dedup
 from .near_dedup import near_dups
 from .packing import pack
+from .piece_sampling import sample_pieces
 from .quality_classifier import quality_scores
 from .quality_rules import BOILERPLATE, quality_rules
 from .suffix_dedup import remove_repeats
@@ -42,6 +45,15 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_sampling(spark, sf_dir):
+    return sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_line_dedup(spark, sf_dir):
+    out = line_dedup(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +69,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
@@ -134,4 +148,16 @@ ORACLE = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
+    "op8_line_dedup": r"""
+        WITH t AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+            string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)</?(BLOCKS)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS raw FROM pages),
+        p AS (SELECT page_id, coalesce(host, '') AS host, list_filter(list_transform(raw, lambda x: regexp_replace(x, '^[ \t\x0B-\r]+|[ \t\x0B-\r]+$', '', 'g')), lambda x: x <> '') AS lines FROM t),
+        h AS (SELECT host, count(DISTINCT page_id) AS pages FROM p WHERE host <> '' GROUP BY 1),
+        l AS (SELECT page_id, host, unnest(lines) AS line FROM p WHERE host <> ''),
+        c AS (SELECT host, line, count(DISTINCT page_id) AS k FROM l GROUP BY ALL),
+        b AS (SELECT host, list(line) AS bad FROM c JOIN h USING (host) WHERE k > 1 AND pages >= 3 AND k > 0.3 * pages GROUP BY 1)
+        SELECT page_id, host, len(lines)::BIGINT AS n_lines,
+               len(list_filter(lines, lambda x: coalesce(list_contains(bad, x), false)))::BIGINT AS n_dropped,
+               sha256(array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(bad, x), false)), chr(10))) AS clean_sha256
+        FROM p LEFT JOIN b USING (host)""".replace("BLOCKS", BLOCKS),
 }
