@@ -43,13 +43,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def python_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+#: Rows that a function gets at once: a few MB of texts, so its copies of them stay small.
+SLICE = 2048
+
+
+def python_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a generator function of one batch."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for lo in range(0, batch.num_rows, SLICE):
+                yield from fn(batch.slice(lo, SLICE))
 
     return df.mapInArrow(run, schema)
 
