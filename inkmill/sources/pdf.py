@@ -84,10 +84,10 @@ def group_lines(items: list[Glyph]) -> list[Line]:
 
 
 def _furniture(pages: list[list[Line]]) -> set[tuple[int, int]]:
-    """(page, line) of lines at page ends that stand on most pages, digits aside, and of page numbers."""
+    """(page, line) of first and last lines that stand on most pages, digits aside, and of page numbers."""
     seen: dict[str, set[tuple[int, int]]] = defaultdict(set)
     for p, lines in enumerate(pages):
-        for n in {0, 1, len(lines) - 2, len(lines) - 1} & set(range(len(lines))):
+        for n in {0, len(lines) - 1} & set(range(len(lines))):
             seen[re.sub("[0-9]+", "#", norm_key(lines[n].text))].add((p, n))
     least = max(2, (len(pages) + 1) // 2)
     return {at for key, places in seen.items() if len({p for p, _ in places}) >= least for at in places}
