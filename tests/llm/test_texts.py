@@ -125,7 +125,7 @@ def test_sampling_follows_the_lattice():
 
 
 def test_quality_rules(spark):
-    good = "\n".join(f"Sentence number {i} tells the reader a little about thing {i * 7}." for i in range(12))
+    good = "\n".join(" ".join(f"u{i}v{j}" for j in range(8)) + "." for i in range(12))
     nav = "\n".join(["Home | About | News", "CLICK HERE NOW FRIENDS!!", "a### b### c### d.", "menu entry"] * 5)
     words = " ".join(f"w{i}" for i in range(60)) + "."
     cases = {1: good, 2: good + "\n" + nav.splitlines()[0], 3: good[:200] + "\n" + nav * 3, 4: None, 5: "", 6: "be be " * 60 + ".", 7: words, 8: words + "\n" + words, 9: "All rights reserved.\n" + good, 10: " \n" + words}
