@@ -53,7 +53,7 @@ def drop_cover(blocks: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _clean_code(parts: pd.Series) -> pd.Series:
-    return parts.map(lambda text: desmarten(unwrap_code(text.split("\n")))[0])
+    return parts.map(lambda text: None if text is None else desmarten(unwrap_code(text.split("\n")))[0])
 
 
 def merge_code(blocks: DataFrame) -> DataFrame:
@@ -64,14 +64,15 @@ def merge_code(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumn("_run", F.sum(start.cast("int")).over(_upto()))
     run = Window.partitionBy("doc_id", "_run")
     code_pos = F.when(F.col("kind") == "code", F.col("pos"))
-    rows = rows.withColumn("_first", F.min(code_pos).over(run)).withColumn("_last", F.max(code_pos).over(run)).drop("_run")
-    # _run was a running sum within doc_id, so code runs are told apart by their first position
-    merged = rows.where(F.col("kind").isin("code", "blank") & F.col("pos").between(F.col("_first"), F.col("_last")))
-    lines = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"))))
-    merged = merged.groupBy("doc_id", "_first").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("_code"))
-    merged = merged.select("doc_id", F.col("_first").alias("pos"), _clean_code("_code").alias("text"), F.lit("code").alias("kind"))
-    rest = rows.where(~F.col("kind").isin("code", "blank") | (F.col("kind") == "blank") & (F.col("_first").isNull() | (F.col("pos") < F.col("_first"))))
-    return rest.drop("_first", "_last").unionByName(merged, allowMissingColumns=True)
+    rows = rows.withColumn("_first", F.min(code_pos).over(run)).withColumn("_last", F.max(code_pos).over(run))
+    part = F.when(F.col("kind").isin("code", "blank") & F.col("pos").between(F.col("_first"), F.col("_last")), F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))
+    lines = F.array_sort(F.collect_list(part).over(run))  # a run is part of a document
+    head = F.coalesce(F.col("pos") == F.col("_first"), F.lit(False))
+    rows = rows.withColumn("_head", head).withColumn("_code", F.when(head, F.array_join(F.transform(lines, lambda x: x["text"]), "\n")))
+    rows = rows.where(~F.col("kind").isin("code", "blank") | F.col("_head") | (F.col("kind") == "blank") & (F.col("_first").isNull() | (F.col("pos") < F.col("_first"))))
+    rows = rows.withColumn("text", F.coalesce(_clean_code("_code"), "text"))
+    keep = ~F.col("_head")
+    return rows.withColumns({c: F.when(keep, F.col(c)) for c in ("lang", "images") if c in rows.columns}).drop("_run", "_first", "_last", "_head", "_code")
 
 
 _HIT = T.StructType([T.StructField("emoji", T.StringType()), T.StructField("rest", T.StringType())])

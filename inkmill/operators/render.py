@@ -55,7 +55,7 @@ def _indented(kinds: pd.Series, levels: pd.Series, ordered: pd.Series, texts: pd
             columns = [*columns[: depth + 1], columns[depth] + len(marker)]
         return out
 
-    return pd.Series([one(*row) for row in zip(kinds, levels, ordered, texts, strict=True)])
+    return pd.Series([None if row[0] is None else one(*row) for row in zip(kinds, levels, ordered, texts, strict=True)])
 
 
 def block_text(callout_style: str = "component") -> Column:
@@ -89,15 +89,13 @@ def render(blocks: DataFrame, callout_style: str = "component", keys: tuple[str,
     # a list item is reset by a block that renders to nothing, so such blocks stay until indentation is known
     parts = F.array_sort(F.collect_list(F.struct("pos", "kind", "level", "ordered", F.col("_text").alias("text"))))
     docs = rows.groupBy(*keys).agg(parts.alias("p"))
-    if_list = F.exists("p", lambda x: x["kind"] == "list")
     cols = [F.col(f"p.{c}") for c in ("kind", "level", "ordered", "text")]
-    # only documents with lists go through Python
-    plain = docs.where(~if_list).select(*keys, cols[3].alias("texts"))
-    listed = docs.where(if_list).select(*keys, _indented(*cols).alias("texts"))
+    listed = F.array_contains(cols[0], "list")  # only documents with lists go through Python
+    docs = docs.withColumn("texts", F.coalesce(_indented(*[F.when(listed, c) for c in cols]), cols[3]))
     body = F.array_join(F.filter("texts", lambda t: t.isNotNull()), "\n\n")
     body = C.rx(body, "\n{3,}", "\n\n")
     body = C.rx(body, rf"(?m)^({S}*(?:-|1\.) .*)\n\n(?={S}*(?:-|1\.) )", "$1\n")
-    return plain.unionByName(listed).select(*keys, F.concat(C.trim(body), F.lit("\n")).alias("body"))
+    return docs.select(*keys, F.concat(C.trim(body), F.lit("\n")).alias("body"))
 
 
 def frontmatter(title: Column, hidden: bool, carried: Column | None = None) -> Column:
