@@ -54,7 +54,14 @@ class Pieces:
                     rows.append((text, i))
         rank = np.empty(len(rows))
         rank[np.argsort([-model.get_score(i) for _, i in rows], kind="stable")] = np.arange(len(rows))
-        h = np.array([self.hash_text(t) for t, _ in rows], dtype=U)
+        self.begins = np.zeros(1 << 20, dtype=bool)
+        lengths = np.array([len(t) for t, _ in rows])
+        points = np.frombuffer("".join(t.ljust(LONGEST) for t, _ in rows).encode("utf-32-le"), dtype=np.uint32).reshape(-1, LONGEST).astype(U)
+        h = np.zeros(len(rows), dtype=U)
+        for k in range(LONGEST):
+            going = np.flatnonzero(lengths > k)
+            h[going] = self.step(h[going], points[going, k])
+            self.begins[h[going] >> U(44)] = True
         order = np.argsort(h)
         self.hashes, self.ids, self.scores = h[order], np.array([i for _, i in rows], dtype=np.int32)[order], -np.log(rank[order] + 1)
         self.worst = float(self.scores.min()) - 5
@@ -95,10 +102,15 @@ def lattice(p: Pieces, chars: np.ndarray, alpha: float) -> tuple[np.ndarray, np.
     score = np.full((n, size, width), -np.inf, dtype=np.float32)  # by end and length
     ids = np.zeros((n, size, width), dtype=np.int32)
     for start in range(size):
-        h = np.zeros(n, dtype=U)
+        h, alive = np.zeros(n, dtype=U), np.arange(n)
         for k in range(min(width, size - start)):
-            h = p.step(h, chars[:, start + k].astype(U))
+            h = p.step(h, chars[alive, start + k].astype(U))
+            more = p.begins[h >> U(44)]  # others begin no piece
+            h, alive = h[more], alive[more]
+            if not len(alive):
+                break
             rows, at = p.find(h)
+            rows = alive[rows]
             score[rows, start + k, k] = alpha * p.scores[at]
             ids[rows, start + k, k] = p.ids[at]
     none = np.isneginf(score[:, :, 0])
