@@ -34,6 +34,14 @@ def _read(fmt: str, content) -> tuple[list[dict], dict]:
     return blocks, report
 
 
+def _spread(files: DataFrame) -> DataFrame:
+    """Deals few input partitions to all cores, as parsing costs far more than moving; many are left as they are. Streams are, too."""
+    if files.isStreaming:
+        return files
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
 def read_documents(files: DataFrame) -> DataFrame:
     """(doc_id, filename, fmt, content) to (doc_id, filename, blocks, report, error); a failed document is a row with its error.
 
@@ -52,8 +60,9 @@ def read_documents(files: DataFrame) -> DataFrame:
                     rows.append((doc_id, filename, None, None, str(failure) or type(failure).__name__))
             yield pd.DataFrame(rows, columns=["doc_id", "filename", "blocks", "report", "error"])
 
+    files = _spread(files.select("doc_id", "filename", "fmt", "content"))
     schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, filename string, blocks {BLOCKS}, report string, error string"
-    return files.select("doc_id", "filename", "fmt", "content").mapInPandas(scan, schema)
+    return files.mapInPandas(scan, schema)
 
 
 def block_rows(read: DataFrame) -> DataFrame:
