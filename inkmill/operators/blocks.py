@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-FIELDS = "pos int, kind string, level int, text string, ordered boolean, lang string, emoji string, rows array<array<string>>, images array<string>"
+FIELDS = "pos int, kind string, level int, text string, ordered boolean, lang string, emoji string, rows array<array<string>>, images array<string>, exts array<string>"
 COLUMNS = tuple(f.split()[0] for f in FIELDS.split(", "))
 BLOCKS = f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in FIELDS.split(', '))}>>"
 

@@ -70,19 +70,24 @@ def siblings(rows: DataFrame) -> DataFrame:
     return zipped.select("parent", F.col("z.k.kind").alias("kind"), F.col("z.k.key").alias("key"), F.col("z.free").alias("slug"), F.col("z.k.nth").alias("nth"))
 
 
-def layout(docs: DataFrame, default_category: str = "Documentation") -> DataFrame:
-    """(path, text) of pages, folder pages and order lists."""
-    rows = tree(docs, default_category)
-    kids = siblings(rows)
-    # paths of folders, level by level: a category is itself, a folder its parent's path and its slug
-    folders = _folders(rows).withColumn("key", F.array_join("folder", "/"))
+def _paths(folders: DataFrame, slugs: DataFrame) -> DataFrame:
+    """Paths of folders, level by level: a category is itself, a folder its parent's path and its slug."""
     paths = folders.where("size(folder) = 1").select("folder", F.concat(F.lit("docs/"), F.col("folder")[0]).alias("path"))
     level = paths
-    slugs = kids.where("kind = 'folder'").select("parent", "key", F.col("slug").alias("own"))
     for depth in range(2, DEEPEST + 1):
         below = folders.where(F.size("folder") == depth).select("folder", "key", F.slice("folder", 1, depth - 1).alias("parent"))
         level = below.join(slugs, ["parent", "key"]).join(level.select(F.col("folder").alias("parent"), F.col("path").alias("base")), "parent").select("folder", F.concat("base", F.lit("/"), "own").alias("path"))
         paths = paths.unionByName(level)
+    return paths
+
+
+def layout(docs: DataFrame, default_category: str = "Documentation") -> DataFrame:
+    """(path, text) of pages, folder pages and order lists."""
+    rows = tree(docs, default_category)
+    kids = siblings(rows)
+    folders = _folders(rows).withColumn("key", F.array_join("folder", "/"))
+    slugs = kids.where("kind = 'folder'").select("parent", "key", F.col("slug").alias("own"))
+    paths = _paths(folders, slugs)
     orders = kids.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("nth", "slug"))).alias("o"))
     listed = F.array_join(F.transform("o", lambda x: C.yaml_item(x["slug"])), "")
     at = paths.select(F.col("folder").alias("parent"), F.col("path").alias("base"))
@@ -108,6 +113,27 @@ def layout(docs: DataFrame, default_category: str = "Documentation") -> DataFram
     return out
 
 
+def assets(docs: DataFrame, files: DataFrame, default_category: str = "Documentation") -> DataFrame:
+    """(path, data) of files (src_path, path, data) of the documents, beside their pages; of equal paths the one of the page that is
+    written first stays: a folder's own page, then its children in order, and in a flattened folder pages before folders."""
+    rows = tree(docs, default_category)
+    kids = siblings(rows).select("parent", "kind", "key", "slug", "nth")
+    folders = _folders(rows).withColumn("key", F.array_join("folder", "/"))
+    paths = _paths(folders, kids.where("kind = 'folder'").select("parent", "key", F.col("slug").alias("own")))
+    deep = F.size("folder") > DEEPEST
+    child = F.when(deep, F.array_join(F.slice("folder", 1, DEEPEST + 1), "/")).otherwise(F.col("src_path"))
+    at = rows.select("src_path", "folder", "is_index", F.slice("folder", 1, DEEPEST).alias("parent"), F.when(deep, "folder").otherwise("page").alias("kind"), child.alias("key"))
+    at = at.join(kids.select("parent", "kind", "key", "nth"), ["parent", "kind", "key"], "left").join(paths.select(F.col("folder").alias("parent"), F.col("path").alias("base")), "parent")
+    # inside flattened folders: the first documents of the folders on the way down
+    up = F.explode(F.transform(F.sequence(F.lit(DEEPEST + 1), F.size("folder")), lambda i: F.struct(i.alias("depth"), F.slice("folder", 1, i).alias("folder"))))
+    steps = rows.where(deep).select("src_path", up.alias("u")).select("src_path", "u.depth", "u.folder").join(folders.select("folder", "first"), "folder")
+    down = steps.groupBy("src_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "first"))), lambda x: x["first"]).alias("down"))
+    turn = F.struct(F.coalesce("nth", F.lit(0)), F.coalesce("down", F.array().cast("array<string>")), "is_index", "src_path")
+    placed = at.join(down, "src_path", "left").select("src_path", "base", turn.alias("turn")).join(files, "src_path").withColumn("path", F.concat("base", F.lit("/"), "path"))
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("turn"))
+    return placed.withColumn("_n", nth).where("_n = 1").select("path", "data")
+
+
 def specifications(specs: DataFrame) -> DataFrame:
     """(path, data) of specifications (name, content), and their order list."""
     base = F.element_at(F.split("name", "/"), -1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,23 @@ def block_text(callout_style: str = "component") -> Column:
     )
 
 
+def numbered_images(blocks: DataFrame, folder: str) -> DataFrame:
+    """Adds urls, those of a block's images or null where the package has no such part. Images are numbered in the order a document
+    first refers to them, missing ones included; rows with images have filename. A window by document, so the plan doesn't branch."""
+    doc = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = blocks.withColumn("_order", F.array_distinct(F.flatten(F.collect_list("images").over(doc))))
+    stem = C.slugify(C.rx(C.rx(F.col("filename"), "^.*/", ""), r"\.[^.]+\Z", ""))
+    url = lambda rid, i: F.concat(F.lit(f"{folder}/"), stem, F.lit("-"), F.format_string("%02d", F.array_position("_order", rid)), F.get("exts", i))
+    return rows.withColumn("urls", F.when(F.size("images") > 0, F.transform("images", url))).drop("_order")
+
+
+def with_own_images(blocks: DataFrame) -> DataFrame:
+    """Appends urls to the texts of paragraphs."""
+    shown = F.transform(F.filter("urls", lambda u: u.isNotNull()), lambda u: F.concat(F.lit("![]("), u, F.lit(")")))
+    lines = F.concat(F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.array("text")), shown)
+    return blocks.withColumn("text", F.when((F.col("kind") == "para") & (F.size(shown) > 0), F.array_join(lines, "\n")).otherwise(F.col("text")))
+
+
 def with_images(blocks: DataFrame, urls: DataFrame) -> DataFrame:
     """Appends the images of paragraphs, urls: (doc_id, rid, url)."""
     refs = blocks.where("kind = 'para' and size(images) > 0").select("doc_id", "pos", F.posexplode("images").alias("nth", "rid"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators.layout import layout, specifications
+from ..operators.layout import assets, layout, specifications
 from ..options import Options
 from ..sources.formats import classified, format_of, members
 from .convert import convert, read_documents, titles
@@ -18,12 +20,18 @@ def convert_archives(archives: DataFrame, options: Options | None = None) -> Dat
     options = options or Options()
     found = classified(members(archives)).where("role is not null")
     files = format_of(found.where("role = 'doc'").select(F.col("name").alias("doc_id"), F.col("base").alias("filename"), "content")).where("fmt <> 'archive'")
-    pages = convert(files, options).where("error is null")
+    # the category is a folder of the layout, which reads the pages a dozen times: kept, they are converted and planned once
+    converted = convert(files, replace(options, category="")).persist()
+    pages = converted.where("error is null and data is null")
     slugs = titles(read_documents(files), options).select("doc_id", "slug")
     stem = C.rx(F.element_at(F.split("doc_id", "/"), -1), r"\.[^.]+\Z", "")
     declared = slugs.withColumn("slug", F.when(F.col("slug") == C.slugify(stem), C.slugify(C.strip_number_prefix(stem))).otherwise(F.col("slug")))
-    docs = pages.join(declared, "doc_id").select(F.col("doc_id").alias("src_path"), "slug", F.col("text").alias("body"))
-    out = layout(docs, options.category or "Documentation").select("path", "text", F.lit(None).cast("binary").alias("data"))
+    docs = pages.join(declared, "doc_id").select(F.col("doc_id").alias("src_path"), "slug", F.col("text").alias("body")).persist()
+    category = options.category or "Documentation"
+    out = layout(docs, category).select("path", "text", F.lit(None).cast("binary").alias("data"))
+    images = converted.where("data is not null").select(F.col("doc_id").alias("src_path"), "path", "data")
+    if not images.isEmpty():  # placing them plans the layout a second time
+        out = out.unionByName(assets(docs, images, category).select("path", F.lit(None).cast("string").alias("text"), "data"))
     specs = found.where("role = 'spec'").select("name", "content")
     listed = specifications(specs).where("length(data) > 0")
     return out.unionByName(listed.select("path", F.lit(None).cast("string").alias("text"), "data"))

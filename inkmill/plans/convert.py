@@ -13,9 +13,9 @@ from ..functions import columns as C
 from ..functions.vocab import OWNED_KEYS
 from ..operators.blocks import BLOCKS, COLUMNS, records
 from ..operators.passes import apply_passes, split_sections
-from ..operators.render import frontmatter, render, with_images
+from ..operators.render import frontmatter, numbered_images, render, with_images, with_own_images
 from ..options import Options
-from ..sources.docx import docx_to_blocks
+from ..sources.docx import docx_to_blocks, media_of
 from ..sources.html import html_to_blocks
 from ..sources.markdown import markdown_to_blocks
 from ..sources.pdf import pdf_to_blocks
@@ -70,6 +70,33 @@ def block_rows(read: DataFrame) -> DataFrame:
     return read.where("error is null").select("doc_id", F.explode("blocks").alias("b")).select("doc_id", *[F.col(f"b.{c}").alias(c) for c in COLUMNS])
 
 
+def _numbered(read: DataFrame, options: Options) -> DataFrame:
+    """Blocks after the passes, with the urls of their images."""
+    rows = read.where("error is null").select("doc_id", "filename", F.explode("blocks").alias("b"))
+    named = F.when(F.size("b.images") > 0, F.col("filename")).alias("filename")
+    return numbered_images(apply_passes(rows.select("doc_id", named, *[F.col(f"b.{c}").alias(c) for c in COLUMNS]), options), options.image_dir)
+
+
+def image_files(files: DataFrame, options: Options) -> DataFrame:
+    """(doc_id, path, data) of the images that Word documents still refer to after the passes."""
+
+    def scan(batches):
+        for batch in batches:
+            for doc_id, content in batch.itertuples(index=False):
+                try:
+                    found = media_of(bytes(content))
+                except Exception:  # noqa: BLE001  read_documents has its error
+                    continue
+                for rid, data in found:
+                    yield pd.DataFrame({"doc_id": [doc_id], "rid": [rid], "data": [data]})
+
+    word = files.where("fmt = 'docx'")
+    used = _numbered(read_documents(word), options).where("size(images) > 0").select("doc_id", F.explode(F.arrays_zip(F.col("images").alias("rid"), F.col("urls").alias("url"))).alias("i"))
+    used = used.select("doc_id", "i.rid", F.col("i.url").alias("path")).where("path is not null").distinct()
+    media = _spread(word.select("doc_id", F.col("content").cast("binary").alias("content"))).mapInPandas(scan, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, rid string, data binary")
+    return used.join(media, ["doc_id", "rid"]).select("doc_id", "path", "data")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def carried_lines(raw: pd.Series) -> pd.Series:
     """Frontmatter lines of keys that conversion doesn't set, with what is nested in them."""
@@ -119,15 +146,24 @@ def free_slugs(wanted: pd.Series) -> pd.Series:
 
 
 def convert(files: DataFrame, options: Options | None = None, image_urls: DataFrame | None = None) -> DataFrame:
-    """(doc_id, section, path, title, text, error): pages of documents (doc_id, filename, fmt, content).
+    """(doc_id, section, path, title, text, error, data): pages of documents (doc_id, filename, fmt, content), and the images of
+    Word documents as rows with data, section -1 and no text.
 
-    image_urls: (doc_id, rid, url) of images that paragraphs refer to.
+    image_urls: (doc_id, rid, url) of images that paragraphs refer to, where they are published elsewhere; no image rows then.
     """
     options = options or Options()
-    read = read_documents(files)
-    blocks = apply_passes(block_rows(read), options)
+    pages = _pages(files, options, image_urls).withColumn("data", F.lit(None).cast("binary"))
     if image_urls is not None:
-        blocks = with_images(blocks, image_urls)
+        return pages
+    prefix = f"{options.category}/" if options.category else ""
+    none = F.lit(None).cast("string")
+    images = image_files(files, options).select("doc_id", F.lit(-1).alias("section"), F.concat(F.lit(prefix), "path").alias("path"), none.alias("title"), none.alias("text"), none.alias("error"), "data")
+    return pages.unionByName(images)
+
+
+def _pages(files: DataFrame, options: Options, image_urls: DataFrame | None) -> DataFrame:
+    read = read_documents(files)
+    blocks = with_own_images(_numbered(read, options)) if image_urls is None else with_images(apply_passes(block_rows(read), options), image_urls)
     docs = titles(read, options)
     prefix = f"{options.category}/" if options.category else ""
     failed = read.where("error is not null").select("doc_id", F.lit(0).alias("section"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), "error")

@@ -222,9 +222,33 @@ def parts_of(content: bytes) -> dict[str, bytes]:
     return parts
 
 
+def image_part(rid: str, rels: dict[str, str], parts: dict[str, bytes]) -> str | None:
+    """The part a relation leads to, if the package has it."""
+    target = rels.get(rid) or ""
+    return next((p for p in (f"word/{target}", target.lstrip("/")) if p in parts), None)
+
+
+def extension(part: str) -> str:
+    base = part.rsplit("/", 1)[-1]
+    dot = base.rfind(".")
+    return base[dot:] if dot > 0 else ".png"
+
+
+def media_of(content: bytes) -> list[tuple[str, bytes]]:
+    """(relation, data) of all relations to parts of the package."""
+    parts = parts_of(content)
+    rels = relations(parts.get("word/_rels/document.xml.rels"))
+    return [(rid, parts[part]) for rid in rels if (part := image_part(rid, rels, parts))]
+
+
 def docx_to_blocks(content: bytes) -> tuple[list[dict], dict]:
     parts = parts_of(content)
-    blocks = Reader(parts).body(parts["word/document.xml"])
+    reader = Reader(parts)
+    blocks = reader.body(parts["word/document.xml"])
+    for block in blocks:
+        if block.get("images"):
+            found = [image_part(rid, reader.rels, parts) for rid in block["images"]]
+            block["exts"] = [part and extension(part) for part in found]
     core = xml_of(parts.get("docProps/core.xml"))
     title = core.find(f"{DC}title") if core is not None else None
     return blocks, {"docxTitle": trim(title.text or "") if title is not None else ""}
@@ -236,13 +260,11 @@ def images_of(content: bytes, blocks: list[dict], stem: str, folder: str) -> tup
     rels = relations(parts.get("word/_rels/document.xml.rels"))
     urls, files, missing = {}, [], []
     for n, rid in enumerate(dict.fromkeys(r for b in blocks for r in b.get("images") or ()), 1):
-        target = rels.get(rid, "")
-        part = next((p for p in (f"word/{target}", target.lstrip("/")) if p in parts), None)
+        part = image_part(rid, rels, parts)
         if part is None:
             missing.append(rid)
             continue
-        ext = re.search(r"\.[A-Za-z0-9]+\Z", part)
-        path = f"{folder}/{stem}-{n:02d}{ext[0].lower() if ext else '.png'}"
+        path = f"{folder}/{stem}-{n:02d}{extension(part)}"
         urls[rid] = path
         files.append((path, parts[part]))
     return urls, files, missing

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkmill.operators import passes as P
 from inkmill.operators.blocks import FIELDS, records
-from inkmill.operators.layout import layout, specifications
+from inkmill.operators.layout import assets, layout, specifications
 from inkmill.operators.render import pipe_table, render
 from inkmill.operators.report import hazards
 from inkmill.options import Options, from_choices
@@ -186,3 +186,34 @@ def test_streaming(spark, tmp_path):
         write_pages(incoming(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
         (tmp_path / "in" / "b.html").write_text("<h1>B</h1>")
     assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a.md", "b.md"]
+
+
+def picture_doc():
+    def p(*rids, text=""):
+        return "<w:p>" + (G.run(text) if text else "") + "".join(f'<w:r><a:blip r:embed="{r}"/></w:r>' for r in rids) + "</w:p>"
+
+    body = p("r1") + G.para(G.run("One"), style="Heading1") + p("r2", text="seen") + p("r9", "r3") + p("r2") + G.para(G.run("Contents"), style="Heading1") + p("r4") + G.para(G.run("Two"), style="Heading1") + p("r5")
+    rels = "".join(f'<Relationship Id="r{i}" Target="media/p{i}.PNG"/>' for i in (1, 2, 4)) + '<Relationship Id="r3" Target="media/p3"/><Relationship Id="r5" Target="word/media/p5.gif"/>'
+    return G.docx(body, rels, "", {f"word/media/{n}": n.encode() for n in ("p1.PNG", "p2.PNG", "p3", "p4.PNG", "p5.gif")})
+
+
+def test_images_of_word_documents(spark):
+    """The cover's image and that of a dropped section have no file and no number; a missing one has a number."""
+    files = spark.createDataFrame([(1, "My Doc.docx", "docx", bytearray(picture_doc())), (2, "bad.docx", "docx", bytearray(b"PK")), (3, "m.md", "markdown", bytearray(b"x"))], "doc_id int, filename string, fmt string, content binary")
+    rows = convert(files, Options(category="c", image_dir="pics", no_frontmatter=True)).collect()
+    assert [r.text for r in rows if r.doc_id == 1 and r.data is None] == ["## One\n\nseen\n![](pics/my-doc-01.PNG)\n\n![](pics/my-doc-03.png)\n\n![](pics/my-doc-01.PNG)\n\n## Two\n\n![](pics/my-doc-04.gif)\n"]
+    images = {r.path: bytes(r.data) for r in rows if r.data is not None}
+    assert images == {"c/pics/my-doc-01.PNG": b"p2.PNG", "c/pics/my-doc-03.png": b"p3", "c/pics/my-doc-04.gif": b"p5.gif"}
+    assert len([r for r in rows if r.error]) == 1
+    split = {r.path: r.text for r in convert(files.where("doc_id = 1"), Options(split=1, no_frontmatter=True)).collect()}
+    assert split["two.md"] == "![](images/my-doc-04.gif)\n" and "images/my-doc-04.gif" in split
+
+
+def test_assets_beside_pages(spark):
+    """Of equal paths the page written first wins: in a flattened folder pages come before folders."""
+    names = ["g/s/01-a.docx", "g/a.docx", "g/s/t/u/v/a.docx", "g/s/t/u/z/a.docx", "g/s/t/u/a.docx", "g/s/index.docx"]
+    docs = spark.createDataFrame([(n, "index" if "index" in n else "a", n) for n in names], "src_path string, slug string, body string")
+    files = spark.createDataFrame([(n, "images/" + n.rsplit("/", 1)[-1][:-5] + "-01.png", bytearray(n.encode())) for n in names], "src_path string, path string, data binary")
+    assert {r.path: bytes(r.data).decode() for r in assets(docs, files).collect()} == {
+        "docs/g/images/a-01.png": "g/a.docx", "docs/g/s/images/01-a-01.png": "g/s/01-a.docx", "docs/g/s/images/index-01.png": "g/s/index.docx", "docs/g/s/t/images/a-01.png": "g/s/t/u/a.docx",
+    }
