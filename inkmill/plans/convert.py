@@ -179,7 +179,8 @@ def _pages(files: DataFrame, options: Options, image_urls: DataFrame | None) ->
     names = parts.groupBy("doc_id", "section").agg(F.first("section_title").alias("section_title"))
     counts = names.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     several = counts.where("n > 1").select("doc_id")
-    whole = render(blocks.join(several, "doc_id", "left_anti"), options.callout_style).withColumn("section", F.lit(0)).withColumn("section_title", F.lit(None).cast("string"))
+    rest = docs.select("doc_id").join(several, "doc_id", "left_anti")  # with those that have no block left
+    whole = rest.join(render(blocks.join(several, "doc_id", "left_anti"), options.callout_style), "doc_id", "left").withColumn("body", F.coalesce("body", F.lit("\n"))).withColumn("section", F.lit(0)).withColumn("section_title", F.lit(None).cast("string"))
     split = bodies.join(several, "doc_id").join(names, ["doc_id", "section"], "right").join(several, "doc_id").withColumn("body", F.coalesce("body", F.lit("\n")))
     pages = split.select("doc_id", "section", "section_title", "body").unionByName(whole.select("doc_id", F.col("section"), "section_title", "body"))
     pages = pages.join(docs.select("doc_id", "title"), "doc_id").withColumn("title", F.coalesce("section_title", "title"))

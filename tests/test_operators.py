@@ -217,3 +217,9 @@ def test_assets_beside_pages(spark):
     assert {r.path: bytes(r.data).decode() for r in assets(docs, files).collect()} == {
         "docs/g/images/a-01.png": "g/a.docx", "docs/g/s/images/01-a-01.png": "g/s/01-a.docx", "docs/g/s/images/index-01.png": "g/s/index.docx", "docs/g/s/t/images/a-01.png": "g/s/t/u/a.docx",
     }
+
+
+def test_split_keeps_documents_without_blocks(spark):
+    files = spark.createDataFrame([(1, "gone.md", "markdown", "# Contents\n\nx\n")], "doc_id int, filename string, fmt string, content string")
+    rows = {r.path: r.text for r in convert(files, Options(split=1, no_frontmatter=True)).collect()}
+    assert rows == {"gone.md": "\n", "_order.yaml": "- gone\n"}
