@@ -21,12 +21,12 @@ from ..sources.markdown import markdown_to_blocks
 from ..sources.pdf import pdf_to_blocks
 
 
-def _read(fmt: str, content) -> tuple[list[dict], dict]:
+def _read(fmt: str, content, keep_cover: bool = False) -> tuple[list[dict], dict]:
     data = b"" if content is None else bytes(content) if not isinstance(content, str) else content
     if fmt == "docx":
         return docx_to_blocks(data)
     if fmt == "pdf":
-        return pdf_to_blocks(data)
+        return pdf_to_blocks(data, keep_cover)
     text = data if isinstance(data, str) else data.decode("utf-8", "replace").removeprefix("﻿")
     blocks, report = (html_to_blocks if fmt == "html" else markdown_to_blocks)(text)
     if not blocks:
@@ -42,7 +42,7 @@ def _spread(files: DataFrame) -> DataFrame:
     return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
 
 
-def read_documents(files: DataFrame) -> DataFrame:
+def read_documents(files: DataFrame, keep_cover: bool = False) -> DataFrame:
     """(doc_id, filename, fmt, content) to (doc_id, filename, blocks, report, error); a failed document is a row with its error.
 
     content may be text or bytes; rows are whole documents, so batches are kept small by the caller's
@@ -54,7 +54,7 @@ def read_documents(files: DataFrame) -> DataFrame:
             rows = []
             for doc_id, filename, fmt, content in batch.itertuples(index=False):
                 try:
-                    blocks, report = _read(fmt, content)
+                    blocks, report = _read(fmt, content, keep_cover)
                     rows.append((doc_id, filename, records(blocks), json.dumps(report, ensure_ascii=False), None))
                 except Exception as failure:  # noqa: BLE001  one bad document must not end the job
                     rows.append((doc_id, filename, None, None, str(failure) or type(failure).__name__))
@@ -162,7 +162,7 @@ def convert(files: DataFrame, options: Options | None = None, image_urls: DataFr
 
 
 def _pages(files: DataFrame, options: Options, image_urls: DataFrame | None) -> DataFrame:
-    read = read_documents(files)
+    read = read_documents(files, options.keep_cover)
     blocks = with_own_images(_numbered(read, options)) if image_urls is None else with_images(apply_passes(block_rows(read), options), image_urls)
     docs = titles(read, options)
     prefix = f"{options.category}/" if options.category else ""

@@ -223,3 +223,9 @@ def test_split_keeps_documents_without_blocks(spark):
     files = spark.createDataFrame([(1, "gone.md", "markdown", "# Contents\n\nx\n")], "doc_id int, filename string, fmt string, content string")
     rows = {r.path: r.text for r in convert(files, Options(split=1, no_frontmatter=True)).collect()}
     assert rows == {"gone.md": "\n", "_order.yaml": "- gone\n"}
+
+
+def test_pdf_cover_is_kept(spark):
+    pages = [[("Open API", 120, 500, "F1", 28), ("Guide", 130, 450, "F1", 22)], [("Intro", 72, 700, "F1", 16), ("Ordinary body copy on the second page of it.", 72, 660, "F1", 11)]]
+    files = spark.createDataFrame([(1, "a.pdf", "pdf", bytearray(G.pdf(pages)))], "doc_id int, filename string, fmt string, content binary")
+    assert ["Open API" in r.text for r in convert(files, Options(keep_cover=True)).collect()] == [True]
