@@ -359,7 +359,16 @@ _CHAIN = """
 
 @query(_CHAIN)
 def style_inherit(spark, sf_dir):
-    return spark.sql(_CHAIN.replace("styles(sid, base, level) AS (SELECT * FROM (VALUES", "styles AS (SELECT * FROM (VALUES").replace("NULL, 1)", "CAST(NULL AS STRING), 1)"))
+    """D3: the same chain as the styles part of a Word file, with a paragraph of each style; the levels are those of the blocks read."""
+    from .samples import docx, para, run
+
+    chain = [("a", None, 1), ("b", "a", None), ("c", "b", None), ("d", "e", None), ("e", "d", None), ("f", "c", 3)]
+    base = {sid: f'<w:basedOn w:val="{up}"/>' if up else "" for sid, up, _ in chain}
+    outline = {sid: f'<w:pPr><w:outlineLvl w:val="{level - 1}"/></w:pPr>' if level else "" for sid, _, level in chain}
+    styles = "".join(f'<w:style w:styleId="{sid}"><w:name w:val="{sid}"/>{base[sid]}{outline[sid]}</w:style>' for sid, _, _ in chain)
+    data = docx("".join(para(run(sid), style=sid) for sid, _, _ in chain), styles=styles)
+    files = spark.createDataFrame([(1, "a.docx", "docx", bytearray(data))], "doc_id int, filename string, fmt string, content binary")
+    return V.block_rows(V.read_documents(files)).select(F.col("text").alias("sid"), "level")
 
 
 @query(f"""

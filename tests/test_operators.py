@@ -229,3 +229,12 @@ def test_pdf_cover_is_kept(spark):
     pages = [[("Open API", 120, 500, "F1", 28), ("Guide", 130, 450, "F1", 22)], [("Intro", 72, 700, "F1", 16), ("Ordinary body copy on the second page of it.", 72, 660, "F1", 11)]]
     files = spark.createDataFrame([(1, "a.pdf", "pdf", bytearray(G.pdf(pages)))], "doc_id int, filename string, fmt string, content binary")
     assert ["Open API" in r.text for r in convert(files, Options(keep_cover=True)).collect()] == [True]
+
+
+def test_style_inherit_reads_a_word_file(spark, monkeypatch):
+    from inkmill.plans import registry
+
+    read = []
+    monkeypatch.setattr(registry.V, "read_documents", lambda files: read.append(files) or read_documents(files))
+    rows = registry.style_inherit(spark, "")
+    assert read and {r.sid: r.level for r in rows.collect()} == {"a": 1, "b": 1, "c": 1, "d": None, "e": None, "f": 3}
