@@ -65,13 +65,39 @@ def judged(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return df.join(best, ["host", "path"], "left")
 
 
+_DOTS = r"://[^?#]*/\.\.?(?:[/?#]|$)"
+
+
+def decoded(text: Column) -> Column:
+    """Character references of ASCII characters, by number or the five names of XML."""
+    parts = F.split(text, "&#")
+    number = lambda p: F.coalesce(F.conv(F.regexp_extract(p, "^[xX]([0-9a-fA-F]{1,6});", 1), 16, 10), F.nullif(F.regexp_extract(p, "^([0-9]{1,7});", 1), F.lit(""))).try_cast("long")
+    one = lambda p: F.when(number(p).between(1, 127), F.concat(F.char(number(p)), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
+    out = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
+def without_dots(url: Column) -> Column:
+    """The URL without segments . and .. in its path."""
+    site, tail = F.regexp_extract(url, "^[^?#]*?://[^/?#]*", 0), F.regexp_extract(url, "[?#].*$", 0)
+    parts = F.split(F.substring(path_of(url), 2, F.length(url)), "/")
+    empty = F.array().cast("array<string>")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(parts, empty, lambda a, p: F.when(p == "..", up(a)).when(p == ".", a).otherwise(F.concat(a, F.array(p))))
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(site, F.lit("/"), F.array_join(kept, "/"), end, tail)
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(url, target): canonical links and meta refreshes of pages, made absolute."""
     quote = "[\"']?"
-    canonical = F.regexp_extract("html", rf"(?is)<link\s[^>]*rel\s*=\s*{quote}canonical\b[^>]*>", 0)
-    refresh = F.regexp_extract("html", rf"(?is)<meta\s[^>]*http-equiv\s*=\s*{quote}refresh\b[^>]*>", 0)
-    to = F.array(F.regexp_extract(canonical, rf"(?is)href\s*=\s*{quote}([^\"'\s>]+)", 1), F.regexp_extract(refresh, rf"(?is)url\s*=\s*{quote}([^\"'\s>;]+)", 1))
-    raw = pages.where(host_of(F.col("url")) != "").select("url", F.explode(to).alias("to")).where("to <> ''")
+    canonical = F.regexp_extract_all("html", F.lit(rf"(?is)<link\s[^>]*rel\s*=\s*{quote}canonical\b[^>]*>"), F.lit(0))
+    refresh = F.regexp_extract_all("html", F.lit(rf"(?is)<meta\s[^>]*http-equiv\s*=\s*{quote}refresh\b[^>]*>"), F.lit(0))
+    href = F.transform(canonical, lambda tag: F.regexp_extract(tag, rf"(?is)href\s*=\s*{quote}([^\"'\s>]+)", 1))
+    url = F.transform(refresh, lambda tag: F.regexp_extract(tag, rf"(?is)url\s*=\s*{quote}((?:&#?\w+;|[^\"'\s>;])+)", 1))  # the ; of a reference ends no url
+    raw = pages.where(host_of(F.col("url")) != "").select("url", F.explode(F.array_distinct(F.concat(href, url))).alias("to")).where("to <> ''").withColumn("to", decoded(F.col("to")))
     folder = F.regexp_replace(path_of(F.col("url")), "[^/]*$", "")
     site = F.concat(F.lit("http://"), host_of(F.col("url")))
     target = (
@@ -80,7 +106,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
         .when(F.col("to").startswith("/"), F.concat(site, "to"))
         .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), "to"))
     )
-    return raw.select("url", target.alias("target"))
+    return raw.select("url", target.alias("target")).withColumn("target", F.when(F.col("target").rlike(_DOTS), without_dots(F.col("target"))).otherwise(F.col("target")))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None) -> DataFrame:

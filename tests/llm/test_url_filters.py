@@ -53,3 +53,15 @@ def test_given_redirects_and_empty(spark):
     more = spark.createDataFrame([("http://p.net/a", "http://q.com/de/x")], "url string, target string")
     assert verdicts(url_filter(df, URL_RULES, more))[1][3] == "block"
     assert url_filter(df.limit(0), URL_RULES).count() == 0
+
+
+def test_all_tags_references_and_dots(spark):
+    two = canonical("http://y.net/1") + canonical("http://q.com/de/x?a=1&amp;b=2")
+    rows = [
+        (1, "http://p.net/a", two), (2, "http://q.com/x/y/z", canonical("../../de/./w?u=../v")), (3, "http://p.net/c", '<meta http-equiv=refresh content="0; url=http://q.com/e?a=1&amp;b=&#x2F;&#50;">'),
+        (4, "http://p.net/d", canonical("http://r.com/a/..")), (5, None, two),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, url_filters.link_edges(df).collect())) == [
+        ("http://p.net/a", "http://q.com/de/x?a=1&b=2"), ("http://p.net/a", "http://y.net/1"), ("http://p.net/c", "http://q.com/e?a=1&b=/2"), ("http://p.net/d", "http://r.com/"), ("http://q.com/x/y/z", "http://q.com/de/w?u=../v"),
+    ]
