@@ -15,12 +15,15 @@ The plan says for ranks [from, from + count) of a length which sequences and whi
 dealt in parallel: each task numbers its own pieces of a length, and a sum over tasks offsets them. Neither
 texts nor ids are shuffled unless asked for.
 
-Null text counts as empty: one id (2), one piece. Repeated rows are separate documents. An empty table gives no pieces.
+Null text counts as empty: one id (2), one piece. Repeated rows are separate documents, rows without doc_id too. An empty table gives no
+pieces. Of the columns only doc_id and text are read, so others may have any names. Ties between plans go to the first bound of
+SMALLS. Long texts are encoded in stretches of about STRETCH characters, cut where no token crosses; memory then is four bytes an id and what one word takes.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 
@@ -35,6 +38,10 @@ CAPACITY, GROUPS, END = 1024, 512, 2
 #: Bounds between small and large lengths that are tried; the plan with the fewest sequences is taken.
 SMALLS = (48, 128, 256, 384, 512)
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: White space of the tokenizer's pattern. Its search backtracks over a run of it, so a run of LONG is not left to the pattern.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG, STRETCH = 4096, 1 << 20
+_LONG_RUN, _BOUNDARY = re.compile(f"{_SPACE}{{{LONG},}}"), re.compile(f"(?<!{_SPACE}){_SPACE}")
 _encoders: dict[str, object] = {}
 
 
@@ -49,16 +56,42 @@ def encoder(ranks_path: str, pattern: str):
     return _encoders[ranks_path]
 
 
-def token_ids(text: str, enc) -> list[int]:
+def _stretches(text: str):
+    """(stretch, whether it is one run of white space that is one word of the pattern). No word spans a place where white space
+    begins, and of a run of it all but the last character are one word if more text follows, the whole run if not."""
+    at = 0
+    for run in _LONG_RUN.finditer(text):
+        begin, end = run.span()
+        end -= end < len(text)
+        yield text[at:begin], False
+        yield text[begin:end], True
+        at = end
+    yield text[at:], False
+
+
+def _encoded(text: str, enc):
+    for part, run in _stretches(text):
+        if run:
+            yield np.array(enc._encode_single_piece(part), dtype="<u4")
+            continue
+        at = 0
+        while at < len(part):
+            cut_at = _BOUNDARY.search(part, at + STRETCH) if len(part) - at > STRETCH else None
+            end = cut_at.start() if cut_at else len(part)
+            yield np.array(enc.encode_ordinary(part[at:end]), dtype="<u4")
+            at = end
+
+
+def token_ids(text: str, enc) -> np.ndarray:
     """The ids that the JSON form of the tokenizer gives, where SPECIAL is one id."""
-    if SPECIAL not in text:
-        return enc.encode_ordinary(text)
-    out: list[int] = []
+    if len(text) < LONG and SPECIAL not in text:
+        return np.array(enc.encode_ordinary(text), dtype="<u4")
+    out = [np.zeros(0, dtype="<u4")]
     for i, part in enumerate(text.split(SPECIAL)):
         if i:
-            out.append(SPECIAL_ID)
-        out += enc.encode_ordinary(part)
-    return out
+            out.append(np.array([SPECIAL_ID], dtype="<u4"))
+        out += _encoded(part, enc)
+    return np.concatenate(out)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -76,7 +109,7 @@ def _pieces(ranks_path: str, pattern: str, with_ids: bool):
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*token_ids(text or "", enc), END], dtype="<u4")
+                ids = np.append(token_ids(text or "", enc), END).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(ids))):
                     raw = ids[s : s + n].tobytes()
                     for col, v in zip(cols, (i, k, s, n, zlib.crc32(raw), seen[n], part, raw), strict=True):

@@ -90,7 +90,27 @@ def test_plan(seed):
 def test_special_token():
     from inkmill.llm.packing import encoder
 
-    assert token_ids("ab<|endoftext|>cd", encoder(RANKS, P.PATTERN)) == [397, 50256, 10210]
+    assert token_ids("ab<|endoftext|>cd", encoder(RANKS, P.PATTERN)).tolist() == [397, 50256, 10210]
+
+
+def test_long_runs_have_the_ids_of_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from inkmill.llm import packing
+
+    tokenizer, enc, rnd = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.encoder(RANKS, P.PATTERN), random.Random(3)
+    runs = [" " * 2_000_000, "\n" * 2_000_000 + "end", "\r\n \t" * 500_000 + "x", "a" + "\u3000" * 10_000, "\x1c" * 9000 + "y " + " " * 5000 + "<|endoftext|>" + "\n" * 5000]
+    runs += ["".join(rnd.choice([" ", "\n", "\t", "\xa0", "word", "don't", "7", "!", "é"]) * rnd.choice([1, 1, 1, 2, 40, 4095, 4096, 4097, 5000]) for _ in range(60)) for _ in range(8)]
+    monkeypatch.setattr(packing, "STRETCH", 700)
+    for text in runs:
+        assert token_ids(text, enc).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_white_space(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 1_000_000 + "a"), (None, "x"), (None, "x")], "doc_id long, text string")
+    got = pack(df, RANKS, P.PATTERN).collect()
+    assert {r.doc_id for r in got} == {1, 2, None} and sum(r.doc_id is None for r in got) == 2
+    check_sequences((r.sequence_id, r.offset, r.length) for r in got)
 
 
 def test_sampling_is_lossless_and_reproducible(docs):
