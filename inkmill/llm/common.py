@@ -58,18 +58,25 @@ def python_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-#: Groups above 1/HOT_SHARE of the rows are split out of keyed joins; there are at most HOT_SHARE of them.
-HOT_SHARE = 200
+#: At least so many equal shares of the rows of a keyed join; a key with more than one share is dealt to several tasks.
+SHARES = 200
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join (inner or left) of rows with one row per group, where a group may hold a third of
-    all rows. Groups with over total / HOT_SHARE rows (fewer than HOT_SHARE exist, so
-    their broadcast is bounded) are broadcast; all others meet in a shuffle join."""
-    hot = groups.where(F.col(size) * HOT_SHARE > total)
-    some = rows.join(F.broadcast(hot), keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) * HOT_SHARE <= total), keys, how)
-    return some.unionByName(rest)
+    all rows. A share is total / max(SHARES, shuffle partitions) rows. A key with size over one share gets as many salts as
+    it has shares: its rows are dealt over them by a hash of their other columns, its group row is repeated for each.
+    Only (hash of the key, salts) of such keys is broadcast, 16 bytes each, fewer than there are shares; group rows
+    may be wide, as they only go through the shuffle."""
+    shares = max(SHARES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hashed, rest = F.xxhash64(*keys), [c for c in rows.columns if c not in keys]
+    hot = groups.where(F.col(size) * shares > total).groupBy(hashed.alias("_hot")).agg(F.ceil(F.sum(size) * shares / F.lit(total or 1)).cast("int").alias("_salts"))
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    salt = F.when(salts > 1, F.pmod(F.xxhash64(*rest), salts)).otherwise(0).cast("int") if rest else F.lit(0)
+    dealt = rows.withColumn("_hot", hashed).join(hot, "_hot", "left").withColumn("_salt", salt).drop("_hot", "_salts")
+    copies = groups.withColumn("_hot", hashed).join(hot, "_hot", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot", "_salts")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 # --- bounded membership bitmap -------------------------------------------------
@@ -97,14 +104,21 @@ def in_bitmap(words: np.ndarray, hashed: np.ndarray) -> np.ndarray:
 # --- connected components ------------------------------------------------------
 
 
+def _renamed(rows: DataFrame, key: str, names: DataFrame, out: str) -> DataFrame:
+    """rows with out, what names (node, up) has for key (null where it has nothing). A node may stand in any share of the rows."""
+    sizes = rows.groupBy(F.col(key).alias("node")).agg(F.count(F.lit(1)).alias("_size"))
+    groups = names.join(sizes, "node").select(F.col("node").alias(key), F.col("up").alias(out), "_size")
+    return attach(rows, groups, [key], "_size", rows.count(), "left").drop("_size")
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of an undirected graph whose ids (columns a, b) have an order.
 
     Returns one row (node, root) per node that has an edge to another node; root is the smallest
     node of its component. Each round hooks every root to its smallest neighbour,
     collapses the hooking forest by pointer jumping, and contracts the edges, so
-    the number of live roots at least halves. All steps are DataFrame joins and
-    aggregations with map-side combine; only counts reach the driver.
+    the number of live roots at least halves. All steps are aggregations with map-side combine and salted joins, so a
+    hub is no single task; only counts reach the driver. Null ends and loops are no edges.
     """
     live = stash(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
     names = None
@@ -113,23 +127,18 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
         hook = stash(hook, f"{label}-hook")
         while True:
-            jump = hook.alias("x").join(hook.where("node <> up").alias("y"), F.col("x.up") == F.col("y.node"), "left").select("x.node", F.coalesce("y.up", "x.up").alias("up"), (F.col("y.up").isNotNull()).alias("moved"))
+            jump = _renamed(hook, "up", hook.where("node <> up"), "next").select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved"))
             jump = stash(jump, f"{label}-jump")
             moved = not jump.where("moved").isEmpty()
             hook = jump.select("node", "up")
             if not moved:
                 break
-        names = hook if names is None else stash(
-            names.alias("x").join(hook.alias("y"), F.col("x.up") == F.col("y.node"), "left").select("x.node", F.coalesce("y.up", "x.up").alias("up")),
-            f"{label}-names",
-        )
-        up = hook.select(F.col("node"), F.col("up"))
-        live = (
-            live.join(up.withColumnRenamed("node", "a").withColumnRenamed("up", "ra"), "a")
-            .join(up.withColumnRenamed("node", "b").withColumnRenamed("up", "rb"), "b")
-            .where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
-        live = stash(live, f"{label}-edges")
+        if names is None:
+            names = hook
+        else:
+            names = stash(_renamed(names, "up", hook, "next").select("node", F.coalesce("next", "up").alias("up")), f"{label}-names")
+        ends = _renamed(_renamed(live, "a", hook, "ra"), "b", hook, "rb")
+        live = stash(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{label}-edges")
     if names is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return names.select("node", F.col("up").alias("root"))

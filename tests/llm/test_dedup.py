@@ -90,6 +90,76 @@ def test_near_empty(corpus):
     assert near_dups(corpus[1].limit(0)).count() == 0
 
 
+def test_structured_words_stay_apart(spark):
+    """Complements of Thue-Morse words cancel out in polynomial hashes modulo 2**64."""
+    rows = []
+    for n in (512, 1024, 2048, 1 << 14):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        rows += [(len(rows), word), (len(rows) + 1, word.translate(str.maketrans("ab", "ba")))]
+    got = near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.kept and r.n_shingles == 1 for r in got) and len(got) == len(rows)
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("bits", [0, 3, 64])
+def test_exact_sets(monkeypatch, bits):
+    """Equal hashes of different words or shingles don't make them equal."""
+    real = near_dedup.Words._hashes
+    monkeypatch.setattr(near_dedup.Words, "_hashes", lambda self: real(self) & near_dedup.U((1 << bits) - 1))
+    rnd = random.Random(8)
+    texts = ["", "a", "A b", "b a", "x" * 1000, "x" * 999 + "y", "x" * 1000 + " z", *[" ".join(rnd.choice(["k", "kk", "long" * 30, "é", "w1 w2 w3"]) for _ in range(rnd.randrange(3, 40))) for _ in range(30)]]
+    sets, found = [shingles(t) for t in texts], near_dedup.exact_sets([t.encode() for t in texts])
+    assert all(len(a & b) == near_dedup._shared(x, y) for a, x in zip(sets, found, strict=True) for b, y in zip(sets, found, strict=True))
+
+
+@pytest.fixture(scope="module")
+def close_pairs(spark):
+    """Pairs of similarity 0.75 to 0.8, each alone, then chains in which each text is so close to the next one only."""
+    rnd, rows, pairs = random.Random(12), [], []
+    for g in range(2200):
+        words = [f"g{g}w{i}" for i in range(rnd.randrange(150, 250))]
+        chain = [words]
+        for _ in range(1 if g < 1600 else 4):
+            words = list(words)
+            while True:
+                words[rnd.randrange(len(words))] = f"x{rnd.random()}"
+                a, b = shingles(" ".join(chain[-1])), shingles(" ".join(words))
+                near = len(a & b) / len(a | b)
+                if near < 0.8:
+                    break
+            if near >= 0.75:
+                chain.append(words)
+        for k, w in enumerate(chain):
+            if k:
+                pairs.append((len(rows) - 1, len(rows)))
+            rows.append((len(rows), " ".join(w)))
+    return pairs, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("gather", [20_000, 0])
+def test_recall_at_the_threshold(close_pairs, monkeypatch, gather):
+    """Components that are gathered, and those that are settled pair by pair."""
+    pairs, df = close_pairs
+    monkeypatch.setattr(near_dedup, "GATHER", gather)
+    root = {r.doc_id: r.component_id for r in near_dups(df).collect()}
+    share = sum(root[a] == root[b] for a, b in pairs) / len(pairs)
+    assert len(pairs) > 3000 and share >= 0.999, share
+
+
+def test_near_of_repeated_ids(spark):
+    """Texts of one doc_id belong together; rows without doc_id stand alone."""
+    x, y, z = (text_of(s, 40, 10**6) for s in (70, 71, 72))
+    rows = [(1, x), (5, y), (5, z), (3, z), (7, y + " "), (None, x), (None, x)]
+    got = sorted(map(tuple, near_dups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()), key=str)
+    assert got == [(1, 1), (3, 3), (5, 3), (5, 3), (7, 3), (None, None), (None, None)]
+
+
 @pytest.mark.parametrize("crowd", [1 << 15, 3])
 def test_suffix(corpus, monkeypatch, crowd):
     rows, df = corpus
