@@ -5,9 +5,10 @@ import re
 
 import pytest
 
+from inkmill.llm import exact_dedup as exact_module
 from inkmill.llm import near_dedup, suffix_dedup
 from inkmill.llm.common import components
-from inkmill.llm.exact_dedup import chunk_ids, chunk_table, cuts, exact_dedup
+from inkmill.llm.exact_dedup import chunk_table, chunks_of, cuts, exact_dedup
 from inkmill.llm.near_dedup import near_dups
 from inkmill.llm.suffix_dedup import remove_repeats
 
@@ -48,9 +49,30 @@ def test_exact(corpus):
 
 def test_chunks_are_cut_alike(corpus):
     data = random.Random(0).randbytes(60_000)
-    one, two = chunk_ids(data), chunk_ids(b"prefix" * 50 + data)
+    one, two = ([i for i, _ in chunks_of(x)] for x in (data, b"prefix" * 50 + data))
     assert cuts(b"") == [] and cuts(data)[-1] == len(data) and len(set(one) & set(two)) > 0.8 * len(one)
-    assert sum(r.n_bytes for r in chunk_table(corpus[1]).collect()) > 0
+    parts = collections.Counter(c for _, t in corpus[0] for c in chunks_of(re.sub(SPACE, "", t or "").encode()))
+    assert sorted((bytes(r.chunk_id), r.n_uses, r.n_bytes) for r in chunk_table(corpus[1]).collect()) == sorted((i, n, len(c)) for (i, c), n in parts.items())
+
+
+def test_cuts_of_long_texts(monkeypatch):
+    data = random.Random(4).randbytes(50_000)
+    whole = cuts(data)
+    monkeypatch.setattr(exact_module, "STRETCH", 1000)
+    assert cuts(data) == whole and exact_module._points("é日a".encode() * 999) == 2997
+
+
+def test_unlike_chunks_of_one_identifier_fail(spark):
+    df = spark.createDataFrame([(bytearray(b"i"), bytearray(b"one")), (bytearray(b"j"), bytearray(b"x")), (bytearray(b"i"), bytearray(b"one"))], "chunk_id binary, data binary")
+    assert sorted((bytes(r.chunk_id), r.n_bytes) for r in exact_module.verified(df).collect()) == [(b"i", 3), (b"j", 1)]
+    with pytest.raises(Exception, match="different chunks"):
+        exact_module.verified(df.union(spark.createDataFrame([(bytearray(b"i"), bytearray(b"two"))], df.schema))).collect()
+
+
+def test_exact_edges(spark):
+    rows = [(-(1 << 63), "a b"), (5, "ab"), (5, "a  b"), (None, "ab"), (None, None), (7, ""), (8, "c"), (8, "c")]
+    got = sorted(map(tuple, exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
+    assert got == sorted([(-(1 << 63), 5, 4, False), (5, 5, 4, False), (5, 5, 4, True), (None, 5, 4, False), (None, 7, 2, False), (7, 7, 2, True), (8, 8, 2, True), (8, 8, 2, True)], key=str)
 
 
 def brute_components(rows):
