@@ -200,6 +200,56 @@ def test_classifiers(labelled, scores, label, least):
     assert scores(docs.limit(0), labels).count() == 0 and scores(docs, labels.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("scores", [quality_scores, toxicity_scores])
+def test_scores_do_not_depend_on_the_dealing(labelled, scores):
+    docs, labels = labelled
+    one, two = ({(r.doc_id, r.score, r.predicted) for r in scores(d, x).collect()} for d, x in ((docs, labels), (docs.repartition(7, "text"), labels.repartition(5))))
+    assert one == two
+
+
+def test_prior_from_positives_and_unlabelled():
+    """Without negatives, also where the classes overlap: the estimate can be too high by the overlap, not too low by much."""
+    from inkmill.llm import quality_classifier as Q
+
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        good, bad = rng.normal(1.5, 1, (8000, Q.N_FEATURES)), rng.normal(-1.5, 1, (4000, Q.N_FEATURES))
+        k = int(4000 * share)
+        unl = np.concatenate([good[4000 : 4000 + k], bad[: 4000 - k]])
+        found = Q.estimated_prior(good[:4000], unl)
+        assert abs(found - share) < 0.04, (share, found)
+        out = Q.forward(np.concatenate([good[4000 + k :], bad[4000 - k :]]), Q.fit(good[:4000], unl, found))[1] >= 0
+        truth = np.arange(len(out)) < 4000 - k
+        assert (out == truth).mean() > 0.97
+
+
+def test_features_of_long_texts(monkeypatch):
+    from inkmill.llm import quality_classifier as Q
+
+    text = " ".join(random.Random(6).choice(["a", "b b", "C!\n", "d,", "e" * 300]) for _ in range(3000)).encode()
+    whole = Q.features(text)
+    assert whole[5] > 0
+    monkeypatch.setattr(Q, "STRETCH", 100)
+    assert np.allclose(Q.features(text), whole)
+
+
+def test_words_of_long_texts(monkeypatch):
+    """Sentences that go on over stretches stay one."""
+    from inkmill.llm import toxicity
+
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(["ab", "Cde ", " ", "! ", "\n", "é", "x" * 90]) for _ in range(n)).encode() for n in (400, 0, 1, 30)]
+
+    def found():
+        parts = list(toxicity.words(texts))
+        return [np.concatenate([p[k] for p in parts]) for k in range(4)]
+
+    whole = found()
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
+    parts = found()
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True)) and len(set(whole[1])) >= 2
+
+
 def test_toxic_sentence_is_located(labelled):
     docs, labels = labelled
     found = [r for r in toxicity_scores(docs, labels).where("predicted = 1").join(docs, "doc_id").collect()]
