@@ -5,8 +5,11 @@ meta refreshes and given redirects, directly or through others, are aliases, and
 URL is blocked, unless any URL of its class is explicitly allowed. URLs that are only linked to are judged
 too. Aliases are keyed by host, path and query; scheme and fragment don't tell URLs apart.
 
-Null URLs and URLs without ``://`` have an empty host and path, fit no rule, join no class and are allowed.
-Null HTML has no links. Rows that repeat are judged alike and all returned.
+Of the rules that fit a URL the longest counts, of equally long ones the greatest text; where one rule is given with both actions,
+it allows. Null URLs and URLs without ``://`` have an empty host and path, fit no rule, join no class and are allowed.
+Null HTML has no links. Rows that repeat are judged alike and all returned; an empty table gives no rows. Of pages only page_id, url and html are
+read, so other columns may have any names. Long URLs and texts are only matched against patterns without backtracking over them. What has one host and
+path, one class or one key may be any share of the rows: such joins go through ``attach``.
 """
 
 from __future__ import annotations
@@ -46,8 +49,14 @@ def _split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
+def settled(rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """One action for each rule: allow precedes block."""
+    return [("allow" if ("allow", text) in rules else action, text) for text, action in {t: a for a, t in rules}.items()]
+
+
 def judged(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Adds rule and action (null where none fits) to a frame with host and path. rules: (action, rule)."""
+    rules = settled(rules)
     if len(rules) <= INLINE:
         rule = action = F.lit(None).cast("string")
         for act, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
@@ -56,13 +65,17 @@ def judged(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
             rule, action = F.when(fits, text).otherwise(rule), F.when(fits, act).otherwise(action)
         return df.withColumn("rule", rule).withColumn("action", action)
     listed = df.sparkSession.createDataFrame([(*_split_rule(t), t, a) for a, t in rules], "rule_host string, rule_path string, rule string, action string")
-    places = df.select("host", "path").distinct()
+    places = stash(df.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_pages")), "url-places")
     parts = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    found = places.withColumn("rule_host", F.explode(ends)).join(listed, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "rule", "action")).alias("m"))
-    best = best.select("host", "path", "m.rule", "m.action")
-    return df.join(best, ["host", "path"], "left")
+    tried = places.select("host", "path", F.explode(ends).alias("rule_host"))
+    of_host = listed.groupBy("rule_host").agg(F.collect_list(F.struct("rule_path", "rule", "action")).alias("_rules"))
+    of_host = stash(tried.groupBy("rule_host").agg(F.count(F.lit(1)).alias("_tried")).join(of_host, "rule_host"), "url-rules")
+    found = attach(tried, of_host, ["rule_host"], "_tried", tried.count())
+    fitting = F.filter("_rules", lambda r: F.col("path").startswith(r["rule_path"]))
+    longest = F.array_max(F.transform(fitting, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["action"].alias("action"))))
+    best = found.groupBy("host", "path").agg(F.max(longest).alias("m")).join(places, ["host", "path"])
+    return attach(df, best.select("host", "path", "m.rule", "m.action", "_pages"), ["host", "path"], "_pages", df.count(), "left").drop("_pages")
 
 
 _DOTS = r"://[^?#]*/\.\.?(?:[/?#]|$)"
@@ -123,9 +136,10 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFr
         return own.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
     nodes = ends.select(F.col("url"), F.col("a").alias("node")).union(ends.select("target", "b"))
     nodes = judged(nodes.select("node", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct(), rules)
-    classes = roots.join(nodes.select("node", "action"), "node").groupBy("root").agg(F.bool_or(F.col("action") == "block").alias("blocks"), F.bool_or(F.col("action") == "allow").alias("allows"))
-    bad = classes.where("blocks and not coalesce(allows, false)").select("root")
-    blocked = roots.join(bad, "root", "left_semi").select(F.col("node").alias("key"))
+    some = [F.coalesce(F.bool_or(F.col("action") == a), F.lit(False)).alias(f"{a}s") for a in ("block", "allow")]
+    classes = roots.join(nodes.select("node", "action"), "node").groupBy("root").agg(*some, F.count(F.lit(1)).alias("_nodes"))
+    bad = stash(classes.where("blocks and not allows").select("root", "_nodes"), "url-classes")
+    blocked = attach(roots, bad, ["root"], "_nodes", roots.count()).select(F.col("node").alias("key"))
     pages_of = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     blocked = stash(blocked.join(pages_of, "key").withColumn("aliased", F.lit("block")), "url-blocked")
     out = attach(own, blocked, ["key"], "size", own.count(), "left")
