@@ -28,7 +28,6 @@ stretches of STRETCH bytes. Hot nodes and hubs go through ``attach``.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, bitmap, components, in_bitmap, python_map, stash
 from .rolling import U, _splitmix, chunks, mix
+from .words import Words, folded
 
 WORDS, PERCENT = 5, 75
 COORDS, TREES, SMALL, CROWDED = 128, 16, 4096, 32
@@ -44,100 +44,9 @@ GATHER, GATHER_BYTES = 20_000, 16 << 20
 SURE_OUT = 0.58
 _MUL = _splitmix(0xA4093822299F31D0, COORDS) | U(1)
 _XOR = _splitmix(0x082EFA98EC4E6C89, COORDS)
-_WEIGHT = _splitmix(0x299F31D0082EFA98, WORDS) | U(1)
-_MASK = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], dtype=U)
-_GAP = re.compile(rb"[ \t-\r]")
-LONG_WORD, STRETCH = 256, 4 << 20
 _CHUNK, _SLICE = 1 << 20, 1 << 20
 
 
-class Words:
-    """Words of texts in one buffer of normalised stretches, with a 64-bit hash of each (eight bytes at a time, mixed after each, so no
-    structure of a text cancels out; words over LONG_WORD bytes by BLAKE2)."""
-
-    def __init__(self, texts: list[bytes]):
-        parts, counts = [], []
-        for t in texts:
-            flat = [f for f in folded(t)]
-            parts += flat
-            counts.append(sum(map(len, flat)))
-        self.data = b"".join(parts)
-        buf = np.frombuffer(self.data + bytes(8), dtype=np.uint8)
-        ends = np.flatnonzero(buf == 32)
-        self.at = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-        self.size = ends - self.at
-        self.blocks = np.lib.stride_tricks.sliding_window_view(buf, 8)
-        self.edges = np.searchsorted(ends, np.concatenate([[0], np.cumsum(counts)]))  # words of text i: edges[i] to edges[i + 1]
-        self.hashes = self._hashes()
-
-    def word(self, i: int) -> bytes:
-        return self.data[self.at[i] : self.at[i] + self.size[i]]
-
-    def block(self, word: np.ndarray, k: int) -> np.ndarray:
-        """Bytes k to k + 8 of words, zeros beyond their ends."""
-        return self.blocks[self.at[word] + k].view("<u8").ravel() & _MASK[np.minimum(self.size[word] - k, 8)]
-
-    def _hashes(self) -> np.ndarray:
-        h = mix(self.size.astype(U) + U(0x13198A2E03707344))
-        some, k = np.flatnonzero(self.size <= LONG_WORD), 0
-        while len(some):
-            h[some] = mix(h[some] ^ self.block(some, k))
-            k += 8
-            some = some[self.size[some] > k]
-        for i in np.flatnonzero(self.size > LONG_WORD).tolist():
-            h[i] = int.from_bytes(hashlib.blake2b(self.word(i), digest_size=8).digest(), "little")
-        return h
-
-    def shingles(self, k: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(first word, hash) of the k-word shingles of each text, repeated ones too."""
-        h, out = self.hashes, []
-        with np.errstate(over="ignore"):
-            n = max(0, len(h) - k + 1)
-            whole = np.zeros(n, dtype=U)
-            for j in range(k if n else 0):
-                whole += h[j : j + n] * _WEIGHT[j]
-            for lo, hi in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True):
-                if hi - lo >= k:
-                    out.append((np.arange(lo, hi - k + 1), mix(whole[lo : hi - k + 1])))
-                elif hi > lo:  # all words as one, told apart by their number
-                    out.append((np.array([lo]), mix(np.array([(h[lo:hi] * _WEIGHT[: hi - lo]).sum() + U(hi - lo)]))))
-                else:
-                    out.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)))
-        return out
-
-    def ids(self) -> np.ndarray:
-        """A number for each distinct word, by its bytes."""
-        _, first, which = np.unique(self.hashes, return_index=True, return_inverse=True)
-        for lo in range(0, len(which), _SLICE):
-            some = np.arange(lo, min(lo + _SLICE, len(which)))
-            same = first[which[some]]
-            ok, k = np.array_equal(self.size[some], self.size[same]), 0
-            while ok and len(some):
-                more = (self.size[some] > k) & (self.size[some] <= LONG_WORD)
-                if not k:
-                    ok = all(self.word(i) == self.word(j) for i, j in zip(some[~more].tolist(), same[~more].tolist(), strict=True))
-                some, same = some[more], same[more]
-                ok = ok and np.array_equal(self.block(some, k), self.block(same, k))
-                k += 8
-            if not ok:  # two words have one hash
-                seen: dict[bytes, int] = {}
-                return np.array([seen.setdefault(self.word(i), len(seen)) for i in range(len(self.at))])
-        return which
-
-
-def folded(text: bytes):
-    """Words of a text, lower-cased, each followed by one space, in stretches of about STRETCH bytes."""
-    at = 0
-    while at < len(text):
-        end = at + STRETCH
-        if end < len(text):
-            gap = _GAP.search(text, end)
-            end = gap.start() if gap else len(text)
-        if words := text[at:end].lower().split():
-            yield b" ".join(words) + b" "
-        at = end
-
-
 def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the k-word shingles of each text."""
     out = []
@@ -297,7 +206,7 @@ def _exact_components(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """The smallest linked id of each document, by full sets."""
     order = np.argsort(ids, kind="stable")
     words = Words([texts[i] for i in order.tolist()])
-    m = np.stack([(signature(np.unique(h)) & U(255)).astype(np.uint8) for _, h in words.shingles()])
+    m = np.stack([(signature(np.unique(h)) & U(255)).astype(np.uint8) for _, h in words.shingles(WORDS)])
     sets = _exact(words)
     size = np.array([len(s) for s in sets])
     least = int(np.ceil((SURE_OUT * (1 - 1 / 256) + 1 / 256) * COORDS))

@@ -8,21 +8,26 @@ rejected, as is one that fails the base rules (under 50 words, or over half of t
 3-word windows that the text repeats).
 
 Null and empty texts have no words, so they fail the base rules. Lines are separated by ``\\n`` only and lines without
-a word are kept as they are. Rows that repeat are judged alike and all returned.
+a word are kept as they are. Rows that repeat are judged alike and all returned; an empty table gives no rows. Only doc_id, text and the columns
+of carry are read, so other columns may have any names. There are no ties. Long texts are split into words in stretches; windows of three words are
+compared by 64-bit hashes, so memory is about twelve times a text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import WHITE, python_map
+from .rolling import chunks
+from .words import Words
 
 SYMBOLS = b"#*$%&|<>"
-CLOSING = tuple(c.encode() for c in ".!?:;…\"'”’»)]")
+CLOSERS = ".!?:;…\"'”’»)]。！？；：｡」』）】》।؟۔"
+CLOSING = tuple(c.encode() for c in CLOSERS)
 SEPARATORS = frozenset(c.encode() for c in ("|", ">", ">>", "»", "·", "•", "/", "-", "–"))
 BOILERPLATE = (
     "accept cookies|cookie policy|enable javascript|all rights reserved|terms of use|terms of service|privacy policy|"
@@ -31,6 +36,7 @@ BOILERPLATE = (
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SHOUT_PERCENT, SHOUT_LETTERS, SYMBOL_PERCENT, LOSS_PERCENT = 60, 10, 30, 50
 
+_CHUNK = 1 << 20
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _PHRASE = re.compile(BOILERPLATE.encode(), re.IGNORECASE)
 _SYMBOL = re.compile(b"[#*$%&|<>]")
@@ -59,24 +65,29 @@ def line_fails(line: bytes) -> bool:
     return bool(_SYMBOL.search(line)) and 100 * sum(_SYMBOL.search(w) is not None for w in words) > SYMBOL_PERCENT * len(words)
 
 
-def repeat_words(words: list[bytes]) -> int:
-    """Words in 3-word windows found twice or more."""
-    grams = list(zip(words, words[1:], words[2:]))  # noqa: B905
-    counts = Counter(grams)
-    if len(counts) == len(grams):
-        return 0
-    found, end = 0, 0
-    for i, g in enumerate(grams):
-        if counts[g] > 1:
-            found += i + 3 - max(i, end)
-            end = i + 3
-    return found
-
-
-def judge(data: bytes) -> tuple[tuple, bytes]:
+def repeat_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words in 3-word windows that the text has twice or more) of each text."""
+    words = Words(texts, lower=False)
+    n = np.diff(words.edges)
+    repeated = np.zeros(len(texts), dtype=np.int64)
+    for i, (first, h) in enumerate(words.shingles(3)):
+        if n[i] < 4:
+            continue
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        if same.any():
+            hit = np.zeros(n[i], dtype=bool)
+            for twice in (order[1:][same], order[:-1][same]):
+                at = first[twice] - first[0]
+                for k in range(3):
+                    hit[at + k] = True
+            repeated[i] = hit.sum()
+    return n, repeated
+
+
+def judge(data: bytes, n: int, repeated: int) -> tuple[tuple, bytes]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, kept_chars, base_failed, kept), cleaned text."""
-    words = data.split()
-    n, chars, repeated = len(words), _points(data), repeat_words(words)
+    chars = _points(data)
     seen, left, dups, kept_chars = set(), [], 0, 0
     verdicts: dict[bytes, bool] = {}
     for line in data.split(b"\n"):
@@ -94,12 +105,20 @@ def judge(data: bytes) -> tuple[tuple, bytes]:
     return (n, chars, _count(data, SYMBOLS), dups, repeated, kept_chars, base, keep), b"\n".join(left)
 
 
+def judged(texts: list[bytes]) -> list[tuple[tuple, bytes]]:
+    out = []
+    for lo, hi in chunks([len(t) for t in texts], _CHUNK):
+        counts = repeat_words(texts[lo:hi])
+        out += [judge(t, n, r) for t, n, r in zip(texts[lo:hi], *(c.tolist() for c in counts), strict=True)]
+    return out
+
+
 _FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, kept_chars long, base_failed boolean, kept boolean"
 
 
 def _scan(with_text: bool):
     def scan(batch):
-        found = [judge(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        found = judged([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
         types = [pa.int64()] * 6 + [pa.bool_()] * 2
         cols = [pa.array(c, t) for c, t in zip(zip(*(f[0] for f in found)), types)]  # noqa: B905
         names = [f.split()[0] for f in _FIELDS.split(", ")]
