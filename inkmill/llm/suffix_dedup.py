@@ -14,13 +14,14 @@ repeated windows.
 * Digit 3, for grams with unequal segments only, is the window itself, over one
   representative per distinct segment.
 
-Counts are pre-aggregated, joins that a popular passage could skew broadcast the popular keys
-(fewer than HOT_SHARE by definition), and the third pass of grams with over CROWD occurrences is a
+Counts are pre-aggregated, joins that a popular passage could skew deal the popular keys over salts, and the third pass of grams with over CROWD occurrences is a
 distributed count of windows, so no group is gathered in one task. Bitmaps of fixed size keep
-rows that cannot matter out of the shuffles. Hashes have 128 bits in all passes.
+rows that cannot matter out of the shuffles. Runs of repeated windows are merged in blocks of BLOCK bytes before a document's come together, at most one span
+per WINDOW bytes. Grams are told apart by 64 bits, segments by 64 more within a gram, windows by 128.
 
-Null text counts as empty: nothing is removed, and the digest is that of no bytes. Rows that repeat
-are separate documents, so each removes the other's windows. Texts under WINDOW bytes stay whole.
+Null text counts as empty: nothing is removed, and the digest is that of no bytes. Rows are told apart by doc_id, null included, and 64 bits of the text; rows that repeat
+are separate documents, so each removes the other's windows. Texts under WINDOW bytes stay whole; overlapping and touching windows are one span. An empty table
+gives no rows. Only doc_id, text and the columns of carry are read, so other columns may have any names. Long texts go in pieces.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ WINDOW, GRAM = 200, 40
 #: Up to so many segments of a gram, under 8 MB, are compared in one task; beyond it windows are counted as rows.
 CROWD = 1 << 15
 _PIECE = 1 << 19
+#: Runs are merged in blocks of 2**BLOCK bytes.
+BLOCK = 20
 _POS = U((1 << 20) - 1)
 
 
@@ -83,8 +86,8 @@ def segments(texts: list[bytes]):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows are told apart by doc_id and a checksum of the text."""
-    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_sum", F.crc32(F.encode("_text", "UTF-8")))
+    """Adds the text without null, and 64 bits of it."""
+    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_sum", F.xxhash64("_text"))
 
 
 def _raw(column: pa.Array) -> list[bytes]:
@@ -242,37 +245,51 @@ def _only(words: np.ndarray):
     return scan
 
 
-def _covered(packed: list[int]) -> list[tuple[int, int]]:
-    """Merged byte ranges covered by runs of windows; touching ranges are one."""
-    out: list[list[int]] = []
-    for p in sorted(packed):
-        s, e = p >> 8, (p >> 8) + (p & 255) + WINDOW - 1
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Byte ranges merged: start, end, start, end, ...; touching ranges are one."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    return np.stack([start[new], end[np.concatenate([new[1:], [True]])]], axis=1).ravel()
+
+
+def _spans(batch):
+    """Ranges that the runs of a block cover."""
+    out = []
+    for runs in batch.column("runs"):
+        packed = runs.values.to_numpy()
+        out.append(_merged(packed >> 8, (packed >> 8) + (packed & 255) + WINDOW - 1))
+    yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_s"), pa.array(out, pa.list_(pa.int64()))], ["_id", "_s", "spans"])
+
+
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """(_id, _s, spans): of each document with repeated windows the ranges they cover, by blocks, two numbers each."""
+    block = F.shiftright("pos", 8 + BLOCK).alias("block")
+    runs = repeated_runs(docs).groupBy(F.col("doc_id").alias("_id"), F.col("sum").alias("_s"), block).agg(F.collect_list("pos").alias("runs"))
+    blocks = python_map(runs.select("_id", "_s", "runs"), _spans, "_id long, _s long, spans array<long>")
+    return blocks.groupBy("_id", "_s").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _finish(with_text: bool):
     def scan(batch):
         removed, spans, sha, kept = [], [], [], []
         texts = _raw(batch.column("_text"))
-        for n, text, whole, runs in zip(batch.column("n_bytes").to_pylist(), texts, batch.column("sha").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+        for n, text, whole, runs in zip(batch.column("n_bytes").to_pylist(), texts, batch.column("sha").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             if not runs:
                 removed.append(0), spans.append(0), sha.append(whole), kept.append(text)
                 continue
-            found = _covered(runs)
-            gone = sum(e - s for s, e in found)
+            both = np.array(runs, dtype=np.int64)
+            found = _merged(both[0::2], both[1::2])
+            gone = int((found[1::2] - found[0::2]).sum())
             left = b""
             if gone < n:
-                edges = [0, *(x for pair in found for x in pair), n]
+                edges = [0, *found.tolist(), n]
                 left = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-            removed.append(gone), spans.append(len(found)), sha.append(hashlib.sha256(left).hexdigest()), kept.append(left)
+            removed.append(gone), spans.append(len(found) // 2), sha.append(hashlib.sha256(left).hexdigest()), kept.append(left)
         cols = {"n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha)}
         if with_text:
             cols["kept_text"] = pa.array([k.decode("utf-8", "ignore") for k in kept])
-        extra = batch.drop_columns(["_text", "sha", "runs"])
+        extra = batch.drop_columns(["_text", "sha", "spans"])
         yield pa.RecordBatch.from_arrays([*extra.columns, *cols.values()], [*extra.schema.names, *cols])
 
     return scan
@@ -300,8 +317,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, .
     """doc_id, the columns of carry, n_bytes, n_removed, n_spans, kept_sha256, and with_text the
     remaining bytes as kept_text (a character that a cut split is left out)."""
     docs = docs.select("doc_id", "text", *carry)
-    runs = repeated_runs(docs).groupBy("doc_id", "sum").agg(F.collect_list("pos").alias("runs"))
-    runs = stash(runs.withColumnsRenamed({"doc_id": "_id", "sum": "_s"}), "sfx-runs")
+    runs = stash(removed_spans(docs), "sfx-runs")
     words = None if with_text else bitmap(runs.select(F.xxhash64("_id").alias("h")), "h")
     rest = _keyed(docs).withColumn("h", F.xxhash64("doc_id"))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))

@@ -182,10 +182,11 @@ def test_near_of_repeated_ids(spark):
     assert got == [(1, 1), (3, 3), (5, 3), (5, 3), (7, 3), (None, None), (None, None)]
 
 
-@pytest.mark.parametrize("crowd", [1 << 15, 3])
-def test_suffix(corpus, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "block"), [(1 << 15, 20), (3, 8)])
+def test_suffix(corpus, monkeypatch, crowd, block):
     rows, df = corpus
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(t[k : k + 200] for _, t in raw for k in range(len(t) - 199))
     expected = []
@@ -205,6 +206,14 @@ def test_suffix(corpus, monkeypatch, crowd):
     assert sorted(map(tuple, remove_repeats(df).collect())) == sorted(expected)
 
 
+def test_suffix_of_rows_with_one_id(spark):
+    """Null and repeated ids; a long text of one letter, whose every window repeats."""
+    x, y = text_of(81, 90), text_of(82, 90)
+    rows = [(None, x + " one"), (None, y), (4, x), (4, y), (5, "z" * 300_000), (6, "z" * 199)]
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, len(x) + 4): (len(x), 1), (None, len(y)): (len(y), 1), (4, len(x)): (len(x), 1), (4, len(y)): (len(y), 1), (5, 300_000): (300_000, 1), (6, 199): (0, 0)}
+
+
 def test_suffix_empty_and_text(spark):
     df = spark.createDataFrame([(1, "q" * 150 + "é" * 200, "x"), (2, "é" * 200 + "z", "y")], "doc_id long, text string, n_bytes string")
     out = {r.doc_id: r for r in remove_repeats(df, with_text=True, carry=()).collect()}
