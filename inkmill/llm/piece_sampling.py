@@ -8,11 +8,15 @@ only, so a row is segmented alike in any batch, task or retry. Pieces have the p
 order. Characters without a piece become byte pieces, U+2581 too, so decoding gives back every text exactly.
 
 Null counts as empty, which has no pieces. Equal rows with one key are segmented alike, with other keys
-independently.
+independently; rows without doc_id have one key. An empty table gives no rows. Of documents only doc_id and text are read, so other columns may have any
+names. Long texts go in stretches of units; of a unit over LONG_UNIT characters only the forward sums are kept, and its lattice is built
+again in blocks on the way back.
 """
 
 from __future__ import annotations
 
+import array
+import math
 import re
 import zlib
 
@@ -27,6 +31,7 @@ from .rolling import U, chunks, mix
 ALPHA, LONGEST = 1.0, 16
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 _CHUNK = 4 << 20
+LONG_UNIT, BLOCK, STRETCH = 1 << 12, 1 << 15, 1 << 20
 _models: dict[str, Pieces] = {}
 
 
@@ -137,17 +142,77 @@ def _uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
         return (mix(seed + (at.astype(U) + U(1)) * U(0xD1342543DE82EF95)) >> U(11)).astype(np.float64) / (1 << 53)
 
 
-def sample(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA) -> list[list[int]]:
-    """Sampled ids of each text."""
+def _block(p: Pieces, chars: np.ndarray, lo: int, hi: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the pieces that end at the positions lo to hi of one unit, by end and length."""
+    score = np.full((hi - lo, LONGEST), -np.inf, dtype=np.float32)
+    ids = np.zeros((hi - lo, LONGEST), dtype=np.int32)
+    start = np.arange(max(0, lo - LONGEST + 1), hi)
+    h = np.zeros(len(start), dtype=U)
+    for k in range(LONGEST):
+        inside = start + k < hi
+        start, h = start[inside], p.step(h[inside], chars[start[inside] + k].astype(U))
+        more = p.begins[h >> U(44)]
+        start, h = start[more], h[more]
+        rows, at = p.find(h)
+        end = start[rows] + k - lo
+        score[end[end >= 0], k] = alpha * p.scores[at[end >= 0]]
+        ids[end[end >= 0], k] = p.ids[at[end >= 0]]
+    here = chars[lo:hi]
+    none = np.isneginf(score[:, 0])
+    width = 1 + (here > 0x7F) + (here > 0x7FF) + (here > 0xFFFF)
+    score[:, 0] = np.where(none, alpha * p.worst * width, score[:, 0])
+    ids[:, 0] = np.where(none, -here, ids[:, 0])
+    return score, ids
+
+
+def sample_long(p: Pieces, chars: np.ndarray, seed: np.ndarray, begin: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, ids) of the sampled pieces of one unit, in memory of eight bytes a character and one block."""
+    n = len(chars)
+    total = array.array("d", bytes(8 * (n + 1)))
+    for lo in range(0, n, BLOCK):
+        score, _ = _block(p, chars, lo, min(lo + BLOCK, n), alpha)
+        rows, lengths = np.nonzero(score > -np.inf)
+        at = 0
+        rows, lengths, values = rows.tolist(), lengths.tolist(), score[rows, lengths].astype(np.float64).tolist()
+        while at < len(rows):
+            end, ways = rows[at], []
+            while at < len(rows) and rows[at] == end:
+                if lengths[at] <= lo + end:
+                    ways.append(values[at] + total[lo + end - lengths[at]])
+                at += 1
+            top = max(ways)
+            total[lo + end + 1] = top + math.log(sum(math.exp(w - top) for w in ways))
+    sums = np.frombuffer(total, dtype=np.float64)
+    ends, found, end = [], [], n - 1
+    for lo in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        hi = min(lo + BLOCK, n)
+        score, ids = _block(p, chars, lo, hi, alpha)
+        before = np.arange(lo, hi)[:, None] - np.arange(LONGEST)
+        ways = np.where(before >= 0, score + sums[np.maximum(before, 0)], -np.inf)
+        prob = np.exp(ways - ways.max(axis=1, keepdims=True))
+        cum = np.cumsum(prob / prob.sum(axis=1, keepdims=True), axis=1).astype(np.float32)
+        last = LONGEST - 1 - (ways[:, ::-1] > -np.inf).argmax(axis=1)
+        cum[np.arange(LONGEST) >= last[:, None]] = 1.0
+        draw = (_uniform(seed, begin + np.arange(lo, hi))[:, None] >= cum).sum(axis=1)
+        while end >= lo:
+            k = int(draw[end - lo])
+            ends.append(end)
+            found.append(ids[end - lo, k])
+            end -= k + 1
+    return np.array(ends), np.array(found)
+
+
+def sample(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA, begins: list[int] | None = None) -> list[np.ndarray]:
+    """Sampled ids of each text, that begins at begins within a longer one and then has no space before it."""
     number: dict[str, int] = {}
     flat: list[int] = []
     counts = []
-    for t in texts:
-        units = _UNIT.findall(" " + t) if t else []
+    for i, t in enumerate(texts):
+        units = _UNIT.findall(t if begins and begins[i] else " " + t) if t else []
         counts.append(len(units))
         flat += [number.setdefault(u, len(number)) for u in units]
     if not flat:
-        return [[] for _ in texts]
+        return [np.zeros(0, dtype=np.int32) for _ in texts]
     unit = np.array(flat)
     length_of = np.array([len(u) for u in number])
     words = list(number)
@@ -155,18 +220,27 @@ def sample(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA)
     size = length_of[unit]
     begin = np.cumsum(size) - size  # in all texts
     first = np.cumsum(np.bincount(owner, size, len(texts)).astype(np.int64))
-    begin_in = begin - np.concatenate([[0], first[:-1]])[owner]
+    begin_in = begin - np.concatenate([[0], first[:-1]])[owner] + np.array(begins or [0] * len(texts))[owner]
     out_at, out_id = [], []
+
+    def points(some) -> np.ndarray:
+        return np.frombuffer("".join(words[k] for k in some).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+
     for n in np.unique(length_of):
         kinds = np.flatnonzero(length_of == n)
+        where = np.flatnonzero(size == n)
+        if n > LONG_UNIT:
+            for i in where.tolist():
+                ends, ids = sample_long(p, points([unit[i]]), seeds[owner[i]], int(begin_in[i]), alpha)
+                out_at.append(begin[i] + ends)
+                out_id.append(ids)
+            continue
         local = np.full(len(words), -1)
         local[kinds] = np.arange(len(kinds))
-        where = np.flatnonzero(size == n)
         most = max(1, (1 << 21) // int(n * min(n, LONGEST)))
-        for lo in range(0, len(kinds), most):  # bounded tables, also of very long units
+        for lo in range(0, len(kinds), most):  # bounded tables
             some = kinds[lo : lo + most]
-            chars = np.frombuffer("".join(words[k] for k in some).encode("utf-32-le"), dtype=np.uint32).reshape(len(some), n).astype(np.int64)
-            cum, ids = lattice(p, chars, alpha)
+            cum, ids = lattice(p, points(some).reshape(len(some), n), alpha)
             occ = where[(local[unit[where]] >= lo) & (local[unit[where]] < lo + most)]
             row, end = local[unit[occ]] - lo, np.full(len(occ), n - 1)
             while len(occ):
@@ -183,14 +257,29 @@ def sample(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA)
     edges = np.concatenate([[0], np.searchsorted(at, first)])
     result = []
     for i in range(len(texts)):
-        ids = got[edges[i] : edges[i + 1]].tolist()
-        if ids and min(ids) < 0:
-            ids = [x for v in ids for x in ([v] if v >= 0 else [p.byte_id[b] for b in chr(-v).encode()])]
-        result.append(ids)
+        ids = got[edges[i] : edges[i + 1]]
+        if len(ids) and ids.min() < 0:  # characters without a piece
+            ids = np.array([x for v in ids.tolist() for x in ([v] if v >= 0 else [p.byte_id[b] for b in chr(-v).encode()])], dtype=np.int32)
+        result.append(ids.astype(np.int32))
     return result
 
 
-def decode(p: Pieces, ids: list[int]) -> str:
+def _stretches(text: str) -> list[tuple[int, str]]:
+    """(begin with the space before the text counted, stretch) of about STRETCH characters, cut between units."""
+    if len(text) <= STRETCH:
+        return [(0, text)]
+    out, at, last = [], 0, 0
+    for m in _UNIT.finditer(" " + text):
+        if m.end() - last >= STRETCH:
+            out.append((last, text[max(0, last - 1) : m.end() - 1]))
+            last = m.end()
+        at = m.end()
+    if at > last:
+        out.append((last, text[max(0, last - 1) : at - 1]))
+    return out
+
+
+def decode(p: Pieces, ids) -> str:
     return b"".join([p.bytes_of[i] for i in ids])[1:].decode()
 
 
@@ -200,10 +289,14 @@ def _encode(path: str, alpha: float, with_ids: bool):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         seeds = batch.column("seed").to_numpy().view(U)
         for lo, hi in chunks([len(t) for t in texts], _CHUNK):
-            got = sample(p, texts[lo:hi], seeds[lo:hi], alpha)
+            if hi - lo == 1:
+                parts = [sample(p, [part], seeds[lo:hi], alpha, [begin])[0] for begin, part in _stretches(texts[lo])]
+                got = [np.concatenate(parts)]
+            else:
+                got = sample(p, texts[lo:hi], seeds[lo:hi], alpha)
             part = batch.slice(lo, hi - lo)
-            crc = [zlib.crc32(np.array(g, dtype="<u4").tobytes()) for g in got]
-            same = [decode(p, g) == t for g, t in zip(got, texts[lo:hi], strict=True)]
+            crc = [zlib.crc32(g.astype("<u4").tobytes()) for g in got]
+            same = [decode(p, g.tolist()) == t for g, t in zip(got, texts[lo:hi], strict=True)]
             cols = [part.column("doc_id"), pa.array([len(g) for g in got], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
             names = ["doc_id", "n_pieces", "ids_crc32", "lossless"]
             if with_ids:

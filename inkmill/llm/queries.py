@@ -12,13 +12,16 @@ from .near_dedup import near_dups
 from .packing import pack
 from .piece_sampling import sample_pieces
 from .quality_classifier import quality_scores
-from .quality_rules import BOILERPLATE, quality_rules
+from .quality_rules import BOILERPLATE, CLOSERS, quality_rules
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .url_filters import url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
+#: With a ratio of a half and hosts of two pages or more, a line on one page only never exceeds the ratio.
+LINE_RATIO, LINE_PAGES = 0.5, 2
+
 
 def op1_url_filters(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
@@ -50,7 +53,7 @@ def op7_sentencepiece_sampling(spark, sf_dir):
 
 
 def op8_line_dedup(spark, sf_dir):
-    out = line_dedup(table(spark, sf_dir, "pages"))
+    out = line_dedup(table(spark, sf_dir, "pages"), LINE_RATIO, LINE_PAGES)
     return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
@@ -88,15 +91,25 @@ ORACLE = {
         WITH RECURSIVE p0 AS (SELECT page_id, url, html, REST_URL AS rest FROM pages),
         p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM p0),
-        t0 AS (SELECT *, unnest([
-                   regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1),
-                   regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)url\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS h
+        t0 AS (SELECT DISTINCT host, path, query, unnest(list_concat(
+                   list_transform(regexp_extract_all(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1)),
+                   list_transform(regexp_extract_all(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)url\s*=\s*["'']?((?:&#?\w+;|[^"''\s>;])+)', 1)))) AS raw
                FROM p WHERE host <> ''),
+        r0 AS (SELECT *, string_split(raw, '&#') AS ps FROM t0 WHERE raw <> ''),
+        r1 AS (SELECT *, ps[1] || coalesce(array_to_string(list_transform(ps[2:], lambda x:
+                      CASE WHEN coalesce(try_cast(nullif('0x' || regexp_extract(x, '^[xX]([0-9a-fA-F]{1,6});', 1), '0x') AS BIGINT), try_cast(regexp_extract(x, '^([0-9]{1,7});', 1) AS BIGINT)) BETWEEN 1 AND 127
+                           THEN chr(coalesce(try_cast(nullif('0x' || regexp_extract(x, '^[xX]([0-9a-fA-F]{1,6});', 1), '0x') AS BIGINT), try_cast(regexp_extract(x, '^([0-9]{1,7});', 1) AS BIGINT))::INT) || regexp_replace(x, '^[^;]*;', '')
+                           ELSE '&#' || x END), ''), '') AS named FROM r0),
+        r2 AS (SELECT host, path, query, replace(replace(replace(replace(replace(named, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS h FROM r1),
         t1 AS (SELECT host || path || query AS a,
                       CASE WHEN instr(h, '://') > 0 THEN h WHEN starts_with(h, '//') THEN 'http:' || h WHEN starts_with(h, '/') THEN 'http://' || host || h
                            ELSE 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || h END AS target
-               FROM t0 WHERE h <> ''),
-        t2 AS (SELECT a, REST_TARGET AS rest FROM t1),
+               FROM r2),
+        d0 AS (SELECT a, target, regexp_matches(target, '://[^?#]*/\.\.?(?:[/?#]|$)') AS dots, string_split(substr(regexp_extract(REST_TARGET, '^[^/?#]*([^?#]*)', 1), 2), '/') AS segments FROM t1),
+        d1 AS (SELECT *, list_reduce(list_concat([''], segments), lambda x, y: CASE y WHEN '..' THEN regexp_replace(x, '/[^/]*$', '') WHEN '.' THEN x ELSE x || '/' || y END) AS way FROM d0),
+        d2 AS (SELECT a, CASE WHEN dots THEN regexp_extract(target, '^[^?#]*?://[^/?#]*') || coalesce(nullif(way, ''), '/') || CASE WHEN segments[-1] IN ('.', '..') AND way <> '' THEN '/' ELSE '' END
+                              || regexp_extract(target, '[?#].*$') ELSE target END AS target FROM d1),
+        t2 AS (SELECT a, REST_TARGET AS rest FROM d2),
         t3 AS (SELECT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM t2),
         e AS (SELECT a, host || path || query AS b FROM t3 WHERE host <> ''),
@@ -124,7 +137,7 @@ ORACLE = {
                      length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low,
                      length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
               FROM l1 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-        f AS (SELECT *, NOT regexp_matches(line, '[.!?:;…"''”’»)\]][\x20\x09-\x0D]*$')
+        f AS (SELECT *, NOT regexp_matches(line, '[CLOSERS][\x20\x09-\x0D]*$')
                      OR regexp_matches(line, '(?i)(BOILERPLATE)')
                      OR up >= 10 AND 100 * up > 60 * (up + low)
                      OR len(list_filter(words, lambda x: x IN ('|', '>', '>>', '»', '·', '•', '/', '-', '–'))) >= 2
@@ -139,7 +152,7 @@ ORACLE = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept
-        FROM o""".replace("BOILERPLATE", BOILERPLATE),
+        FROM o""".replace("BOILERPLATE", BOILERPLATE).replace("CLOSERS", CLOSERS.replace("]", "\\]").replace("'", "''")),
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -155,7 +168,7 @@ ORACLE = {
         h AS (SELECT host, count(DISTINCT page_id) AS pages FROM p WHERE host <> '' GROUP BY 1),
         l AS (SELECT page_id, host, unnest(lines) AS line FROM p WHERE host <> ''),
         c AS (SELECT host, line, count(DISTINCT page_id) AS k FROM l GROUP BY ALL),
-        b AS (SELECT host, list(line) AS bad FROM c JOIN h USING (host) WHERE k > 1 AND pages >= 3 AND k > 0.3 * pages GROUP BY 1)
+        b AS (SELECT host, list(line) AS bad FROM c JOIN h USING (host) WHERE pages >= 2 AND k > 0.5 * pages GROUP BY 1)
         SELECT page_id, host, len(lines)::BIGINT AS n_lines,
                len(list_filter(lines, lambda x: coalesce(list_contains(bad, x), false)))::BIGINT AS n_dropped,
                sha256(array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(bad, x), false)), chr(10))) AS clean_sha256

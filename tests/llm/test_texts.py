@@ -12,9 +12,9 @@ import corpus_pipeline
 from inkmill.llm import queries
 from inkmill.llm.line_dedup import line_dedup
 from inkmill.llm.packing import CAPACITY, SMALLS, cut, group_lengths, pack, plan, token_ids
-from inkmill.llm.piece_sampling import U, decode, decode_pieces, pieces, sample, sample_pieces
+from inkmill.llm.piece_sampling import U, _uniform, decode, decode_pieces, lattice, pieces, sample, sample_long, sample_pieces
 from inkmill.llm.quality_classifier import HELD_OUT, quality_scores
-from inkmill.llm.quality_rules import judge, quality_rules
+from inkmill.llm.quality_rules import judged, quality_rules, repeat_words
 from inkmill.llm.toxicity import toxicity_scores
 
 P = pytest.importorskip("public_tokenizers")
@@ -138,12 +138,73 @@ def test_sampling_follows_the_lattice():
     exact = dict(ways(" then"))
     total = sum(map(math.exp, exact.values()))
     n = 40_000
-    drawn = collections.Counter(map(tuple, sample(p, ["then"] * n, np.arange(n, dtype=U) * U(7919))))
+    drawn = collections.Counter(tuple(x.tolist()) for x in sample(p, ["then"] * n, np.arange(n, dtype=U) * U(7919)))
     assert set(drawn) <= set(exact)
     assert all(abs(drawn[k] / n - math.exp(v) / total) < 0.01 for k, v in exact.items())
     assert decode(p, sample(p, [" a  b "], np.ones(1, dtype=U))[0]) == " a  b "
 
 
+def enumerated(p, text):
+    """Every segmentation of a unit and its weight."""
+    if not text:
+        yield (), 0.0
+    for k in range(1, min(16, len(text)) + 1):
+        rows, at = p.find(np.array([p.hash_text(text[:k])], dtype=U))
+        one = [(int(p.ids[at[0]]), float(p.scores[at[0]]))] if len(rows) else [(-ord(text[0]), p.worst * len(text[0].encode()))] if k == 1 else []
+        for i, s in one:
+            for rest, score in enumerated(p, text[k:]):
+                yield (i, *rest), s + score
+
+
+@pytest.mark.parametrize("text", ["word", "Zażółć", "日x", "aaaaaa", "\t=="])
+def test_sampling_follows_enumeration(text):
+    """Also through the way of long units."""
+    p = pieces(MODEL)
+    ways = dict(enumerated(p, " " + text))
+    total = sum(map(math.exp, ways.values()))
+    n, chars = 6000, np.array([ord(c) for c in " " + text])
+    seeds = np.arange(n, dtype=U) * U(104729)
+    cum, ids = lattice(p, chars[None, :], 1.0)
+    for long in (False, True):
+        drawn = collections.Counter()
+        for seed in seeds:
+            if long:
+                found = sample_long(p, chars, seed, 0, 1.0)[1][::-1].tolist()
+            else:
+                found, end = [], len(chars) - 1
+                while end >= 0:
+                    k = int((_uniform(seed, np.array([end])) >= cum[0, end]).sum())
+                    found.insert(0, int(ids[0, end, k]))
+                    end -= k + 1
+            drawn[tuple(found)] += 1
+        assert set(drawn) <= set(ways)
+        assert sum(abs(drawn[k] / n - math.exp(v) / total) for k, v in ways.items()) / 2 < 0.05
+
+
+def test_sampling_of_long_units_and_texts(spark, monkeypatch):
+    from inkmill.llm import piece_sampling as S
+
+    p, rnd = pieces(MODEL), random.Random(5)
+    unit = "".join(rnd.choice("abcdeé日-") for _ in range(3000))
+    text = f"one {unit}  two\n{unit[:500]} \U0001f600 " + "word and  another\n" * 300
+    seeds = np.array([77], dtype=U)
+    whole = sample(p, [text], seeds)[0].tolist()
+    monkeypatch.setattr(S, "LONG_UNIT", 100)
+    monkeypatch.setattr(S, "BLOCK", 64)
+    assert sample(p, [text], seeds)[0].tolist() == whole
+    monkeypatch.setattr(S, "STRETCH", 50)
+    parts = S._stretches(text)
+    assert "".join(t for _, t in parts) == text and len(parts) > 50
+    assert [i for begin, part in parts for i in sample(p, [part], seeds, 1.0, [begin])[0].tolist()] == whole and decode(p, whole) == text
+
+
+def test_sampling_of_a_very_long_unit_and_empty(spark):
+    df = spark.createDataFrame([(1, "ab" * 600_000), (None, "x"), (None, "x")], "doc_id long, text string")
+    got = sample_pieces(df, MODEL).collect()
+    assert all(r.lossless for r in got) and len({(r.n_pieces, r.ids_crc32) for r in got if r.doc_id is None}) == 1
+    assert sample_pieces(df.limit(0), MODEL).count() == 0
+
+
 def test_quality_rules(spark):
     good = "\n".join(" ".join(f"u{i}v{j}" for j in range(8)) + "." for i in range(12))
     nav = "\n".join(["Home | About | News", "CLICK HERE NOW FRIENDS!!", "a### b### c### d.", "menu entry"] * 5)
@@ -153,18 +214,39 @@ def test_quality_rules(spark):
     got = {r.doc_id: r for r in quality_rules(df, with_text=True).collect()}
     assert {i: r.kept for i, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: True, 8: False, 9: True, 10: True}
     assert got[2].clean_text == good and got[9].clean_text == good and got[8].n_dup_lines == 1 and got[8].base_failed and got[7].n_repeat_words == 0
-    assert judge("é a\tb".encode())[0][:2] == (3, 3) and judge(b"a b c x a b c")[0][4] == 6
+    assert judged(["é a\tb".encode()])[0][0][:2] == (3, 3) and judged([b"a b c x a b c", b"", b"A a A a A a"])[0][0][4] == 6
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_quality_rules_of_other_scripts():
+    text = "これは 一つ の 文 です。\n本当 です か？\nメニュー 項目\nहाँ यह ठीक है।"
+    assert judged([text.encode()])[0][1].decode() == "これは 一つ の 文 です。\n本当 です か？\nहाँ यह ठीक है।"
+
+
+def test_repeat_words_against_counting():
+    rnd = random.Random(17)
+    texts = [" ".join(rnd.choice("abcAB") * rnd.choice([1, 1, 300]) for _ in range(rnd.randrange(0, 60))) for _ in range(200)]
+    n, repeated = repeat_words([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        w = t.split()
+        seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        marked = {k + j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        assert (n[i], repeated[i]) == (len(w), len(marked))
+
+
 def test_line_dedup(spark):
     def page(i, host, *lines):
         return (i, f"http://{host}/p{i}", "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "<script>var x='<p>no</p>'</script>")
 
     rows = [page(i, "a.net", "Menu", f"text {i}", f"text {i}") for i in range(10)] + [page(20, "b.net", "Menu"), page(21, "b.net", "Menu"), (22, None, None), (23, "x", ""), page(3, "a.net", "Menu")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_lines", F.lit(1))
-    got = sorted((r.page_id, r.n_lines, r.n_dropped, r.clean_text) for r in line_dedup(df).collect())
+    got = sorted((r.page_id, r.n_lines, r.n_dropped, r.clean_text) for r in line_dedup(df, 0.3, 3).collect())
     assert (0, 3, 1, "text 0\ntext 0") in got and (20, 1, 0, "Menu") in got and (22, 0, 0, "") in got and (3, 1, 1, "") in got and len(got) == len(rows)
+    dropped = {(r.page_id, r.n_dropped) for r in line_dedup(df).collect()}  # nothing but the ratio
+    assert {(20, 1), (0, 1), (4, 1)} <= dropped
+    few = spark.createDataFrame([page(1, "c.net", "Menu", "own"), page(2, "c.net", "Menu"), page(3, "d.net", "only"), page(4, "e.net", "x"), page(5, "e.net", "x"), page(6, "e.net", "y"), page(None, "e.net", "x")], "page_id long, url string, html string")
+    got = {(r.page_id, r.clean_text) for r in line_dedup(few, queries.LINE_RATIO, queries.LINE_PAGES).collect()}
+    assert got == {(1, "own"), (2, ""), (3, "only"), (4, ""), (5, ""), (6, "y"), (None, "")}
     assert line_dedup(df.limit(0)).count() == 0
 
 
