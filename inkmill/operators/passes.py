@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions.text import desmarten, detect_callout, unwrap_code
 from ..functions.vocab import DROP_SECTIONS, LABEL_HEADINGS
+from .blocks import DOC
 
+#: The deepest level that a reader gives: outline levels of Word go to 9 and are counted from 0.
 LEVELS = 10
 
 
@@ -30,34 +32,52 @@ def _heading() -> Column:
     return F.col("kind") == "heading"
 
 
-def drop_toc_and_sections(blocks: DataFrame, sections: tuple[str, ...] = DROP_SECTIONS) -> DataFrame:
-    """B2: drops toc rows, and named sections up to the next heading of their level or above.
+def mark_sections(blocks: DataFrame, sections: tuple[str, ...] = DROP_SECTIONS) -> DataFrame:
+    """Adds _in, whether a row is in a named section (up to the next heading of its level or above), and _opens, whether it begins one.
 
     A block is in a dropped section if, for a level l, the last heading of level l or above (a smaller number) before or at it is
-    a named one of level l: a running last value per level, instead of a range join.
+    a named one of level l: a running last value per level, instead of a range join. Readers give levels up to LEVELS.
     """
-    named = _heading() & C.norm_key(C.clean_heading(F.col("text"))).isin(*sections)
-    rows = blocks.where("kind <> 'toc'").withColumn("_named", named)
-    inside = F.lit(False)
+    named = _heading() & C.norm_key(C.clean_heading(F.col("text"))).isin(*sections) if sections else F.lit(False)
+    rows = blocks.withColumn("_named", named)
+    inside = opens = F.lit(False)
     for level in range(1, LEVELS + 1):
-        mark = F.when(_heading() & (F.col("level") <= level), (F.col("level") == level) & F.col("_named"))
+        own = (F.col("level") == level) & F.col("_named")
+        opens = opens | own & ~inside
+        mark = F.when(_heading() & (F.col("level") <= level), own)
         inside = inside | F.coalesce(F.last(mark, ignorenulls=True).over(_upto()), F.lit(False))
-    return rows.withColumn("_in", inside).where("not _in").drop("_named", "_in")
+    return rows.withColumns({"_in": inside, "_opens": F.coalesce(opens, F.lit(False))}).drop("_named")
+
+
+def drop_toc_and_sections(blocks: DataFrame, sections: tuple[str, ...] = DROP_SECTIONS) -> DataFrame:
+    """B2: drops toc rows, and named sections with all they hold."""
+    rows = blocks.where("kind <> 'toc'")
+    return mark_sections(rows, sections).where("not _in").drop("_in", "_opens") if sections else rows
+
+
+def mark_cover(blocks: DataFrame) -> DataFrame:
+    """Adds _cover, whether a row stands before the first heading with a title."""
+    first = F.min(F.when(_heading() & (C.clean_heading(F.col("text")) != ""), F.col("pos"))).over(_doc())
+    return blocks.withColumn("_cover", F.coalesce((F.col("pos") < first) & (F.col("kind") != DOC), F.lit(False)))
 
 
 def drop_cover(blocks: DataFrame) -> DataFrame:
     """Drops what comes before the first heading with a title."""
-    first = F.min(F.when(_heading() & (C.clean_heading(F.col("text")) != ""), F.col("pos"))).over(_doc())
-    return blocks.withColumn("_first", first).where("_first is null or pos >= _first").drop("_first")
+    return mark_cover(blocks).where("not _cover").drop("_cover")
+
 
+_CODE = T.StructType([T.StructField("text", T.StringType()), T.StructField("fixed", T.IntegerType())])
 
-@F.pandas_udf(T.StringType())
-def _clean_code(parts: pd.Series) -> pd.Series:
-    return parts.map(lambda text: None if text is None else desmarten(unwrap_code(text.split("\n")))[0])
 
+@F.pandas_udf(_CODE)
+def _clean_code(parts: pd.Series) -> pd.DataFrame:
+    found = [(None, None) if text is None else desmarten(unwrap_code(text.split("\n"))) for text in parts]
+    return pd.DataFrame(found, columns=["text", "fixed"], dtype=object)
 
-def merge_code(blocks: DataFrame) -> DataFrame:
-    """A run of code and blanks from a code on becomes one code block; blanks at its end vanish."""
+
+def merge_code(blocks: DataFrame, fixes: bool = False) -> DataFrame:
+    """A run of code and blanks from a code on becomes one code block; blanks at its end vanish. With fixes, _fixed has the
+    typographic characters that were replaced in it."""
     soft = F.col("kind").isin("code", "blank")
     prev = F.lag("kind").over(_doc().orderBy("pos"))
     start = ~soft | F.coalesce(~prev.isin("code", "blank"), F.lit(True))
@@ -70,9 +90,11 @@ def merge_code(blocks: DataFrame) -> DataFrame:
     head = F.coalesce(F.col("pos") == F.col("_first"), F.lit(False))
     rows = rows.withColumn("_head", head).withColumn("_code", F.when(head, F.array_join(F.transform(lines, lambda x: x["text"]), "\n")))
     rows = rows.where(~F.col("kind").isin("code", "blank") | F.col("_head") | (F.col("kind") == "blank") & (F.col("_first").isNull() | (F.col("pos") < F.col("_first"))))
-    rows = rows.withColumn("text", F.coalesce(_clean_code("_code"), "text"))
+    rows = rows.withColumn("_clean", _clean_code("_code")).withColumn("text", F.coalesce("_clean.text", "text"))
+    if fixes:
+        rows = rows.withColumn("_fixed", F.col("_clean.fixed"))
     keep = ~F.col("_head")
-    return rows.withColumns({c: F.when(keep, F.col(c)) for c in ("lang", "images") if c in rows.columns}).drop("_run", "_first", "_last", "_head", "_code")
+    return rows.withColumns({c: F.when(keep, F.col(c)) for c in ("lang", "images") if c in rows.columns}).drop("_run", "_first", "_last", "_head", "_code", "_clean")
 
 
 _HIT = T.StructType([T.StructField("emoji", T.StringType()), T.StructField("rest", T.StringType())])
@@ -109,9 +131,11 @@ def demote_labels(blocks: DataFrame, labels: tuple[str, ...] = LABEL_HEADINGS, s
 
 
 def remap_levels(blocks: DataFrame, top: int = 2, most: int = 3) -> DataFrame:
-    """The levels a document uses become consecutive from top on."""
-    rank = F.dense_rank().over(Window.partitionBy("doc_id", _heading()).orderBy("level"))
-    return blocks.withColumn("level", F.when(_heading(), F.least(F.lit(6), F.lit(most), F.lit(top - 1) + rank)).otherwise(F.col("level")))
+    """The levels a document uses (LEVELS at most) become consecutive from top on."""
+    used = F.array_sort(F.collect_set(F.when(_heading(), F.col("level"))).over(_doc()))
+    rank = F.array_position("_used", F.col("level")).cast("int")
+    level = F.when(_heading(), F.least(F.lit(6), F.lit(most), F.lit(top - 1) + rank)).otherwise(F.col("level"))
+    return blocks.withColumn("_used", used).withColumn("level", level).drop("_used")
 
 
 def apply_passes(blocks: DataFrame, options) -> DataFrame:
@@ -126,18 +150,40 @@ def apply_passes(blocks: DataFrame, options) -> DataFrame:
 
 
 def split_sections(blocks: DataFrame, level: int) -> DataFrame:
-    """Adds section and section_title; a heading of the level opens one and goes, empty untitled ones go."""
+    """Adds section and section_title; a heading of the level opens one and goes, empty untitled ones go. The row of kind DOC stays, in
+    section 0."""
     opens = _heading() & (F.col("level") == level)
     rows = blocks.withColumn("section", F.sum(F.when(opens, 1).otherwise(0)).over(_upto())).withColumn("section_title", F.last(F.when(opens, F.col("text")), ignorenulls=True).over(_upto()))
-    part = Window.partitionBy("doc_id", "section")
-    full = F.max((~opens & (F.col("kind") != "blank")).cast("int")).over(part) == 1
+    part, own = Window.partitionBy("doc_id", "section"), F.col("kind") != DOC
+    full = F.max((own & ~opens & (F.col("kind") != "blank")).cast("int")).over(part) == 1
     rows = rows.withColumn("_full", full).withColumn("_opens", opens)
     # a titled section without blocks keeps its heading row as a blank, so that it stays a section
-    alone = F.count(F.lit(1)).over(part) == 1
-    rows = rows.withColumn("_alone", alone).where("(_full or section_title is not null) and (not _opens or _alone)")
+    rows = rows.withColumn("_alone", F.count(F.when(own, 1)).over(part) == 1)
+    rows = rows.where(~own | (F.col("_full") | F.col("section_title").isNotNull()) & (~F.col("_opens") | F.col("_alone")))
     return rows.withColumn("kind", F.when(F.col("_opens"), "blank").otherwise(F.col("kind"))).drop("_full", "_opens", "_alone")
 
 
-def last_heading(blocks: DataFrame) -> DataFrame:
-    """The title of the heading before each block."""
-    return blocks.withColumn("last_heading", F.last(F.when(_heading(), F.col("text")), ignorenulls=True).over(_upto(-1)))
+def split_several(blocks: DataFrame, level: int) -> DataFrame:
+    """The same for documents of two sections or more; others stay whole, as section 0 without title."""
+    opens = _heading() & (F.col("level") == level)
+    own = F.col("kind") != DOC
+    rows = blocks.withColumn("_open", F.coalesce(opens, F.lit(False)))
+    rows = rows.withColumn("section", F.sum(F.col("_open").cast("int")).over(_upto()))
+    title = F.last(F.when(F.col("_open"), F.col("text")), ignorenulls=True).over(_upto())
+    # untitled blocks count as a section if one of them is more than a blank
+    lead = F.max((own & (F.col("section") == 0) & (F.col("kind") != "blank")).cast("int")).over(_doc())
+    rows = rows.withColumn("section_title", title).withColumn("_lead", F.coalesce(lead, F.lit(0)))
+    rows = rows.withColumn("_several", F.sum(F.col("_open").cast("int")).over(_doc()) + F.col("_lead") > 1)
+    gone = F.col("_several") & (F.col("section") == 0) & (F.col("_lead") == 0) & own
+    rows = rows.where(~gone).withColumns({
+        "kind": F.when(F.col("_several") & F.col("_open"), "blank").otherwise(F.col("kind")),
+        "section_title": F.when(F.col("_several"), F.col("section_title")),
+        "section": F.when(F.col("_several"), F.col("section")).otherwise(0),
+    })
+    return rows.drop("_open", "_lead", "_several")
+
+
+def last_heading(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The title of the heading before each block, of its section or document."""
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("last_heading", F.last(F.when(_heading(), F.col("text")), ignorenulls=True).over(before))

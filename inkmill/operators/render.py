@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.text import S
+from .blocks import DOC
 from .passes import last_heading
 
 
@@ -76,12 +77,12 @@ def block_text(callout_style: str = "component") -> Column:
 
 def numbered_images(blocks: DataFrame, folder: str) -> DataFrame:
     """Adds urls, those of a block's images or null where the package has no such part. Images are numbered in the order a document
-    first refers to them, missing ones included; rows with images have filename. A window by document, so the plan doesn't branch."""
+    first refers to them, missing ones included."""
     doc = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = blocks.withColumn("_order", F.array_distinct(F.flatten(F.collect_list("images").over(doc))))
-    stem = C.slugify(C.rx(C.rx(F.col("filename"), "^.*/", ""), r"\.[^.]+\Z", ""))
+    rows = blocks.withColumn("_order", F.array_distinct(F.flatten(F.collect_list("images").over(doc)))).withColumn("_file", F.first("whole.filename", ignorenulls=True).over(doc))
+    stem = C.slugify(C.rx(C.rx(F.col("_file"), "^.*/", ""), r"\.[^.]+\Z", ""))
     url = lambda rid, i: F.concat(F.lit(f"{folder}/"), stem, F.lit("-"), F.format_string("%02d", F.array_position("_order", rid)), F.get("exts", i))
-    return rows.withColumn("urls", F.when(F.size("images") > 0, F.transform("images", url))).drop("_order")
+    return rows.withColumn("urls", F.when(F.size("images") > 0, F.transform("images", url))).drop("_order", "_file")
 
 
 def with_own_images(blocks: DataFrame) -> DataFrame:
@@ -100,19 +101,20 @@ def with_images(blocks: DataFrame, urls: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.col("_md").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("text"))).drop("_md")
 
 
-def render(blocks: DataFrame, callout_style: str = "component", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, body). The rows of a key are gathered once, in the order of pos; a document is the unit."""
-    rows = last_heading(blocks).where("kind <> 'blank'").withColumn("_text", block_text(callout_style))
+def render(blocks: DataFrame, callout_style: str = "component", keys: tuple[str, ...] = ("doc_id",), more: tuple[Column, ...] = ()) -> DataFrame:
+    """(keys, body), and more aggregates. The rows of a key are gathered once, in the order of pos; a document is the unit. A key of
+    blanks alone has an empty page."""
+    rows = last_heading(blocks, keys).withColumn("_text", block_text(callout_style))
     # a list item is reset by a block that renders to nothing, so such blocks stay until indentation is known
-    parts = F.array_sort(F.collect_list(F.struct("pos", "kind", "level", "ordered", F.col("_text").alias("text"))))
-    docs = rows.groupBy(*keys).agg(parts.alias("p"))
+    shown = F.when(~F.col("kind").isin("blank", DOC), F.struct("pos", "kind", "level", "ordered", F.col("_text").alias("text")))
+    docs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("p"), *more)
     cols = [F.col(f"p.{c}") for c in ("kind", "level", "ordered", "text")]
     listed = F.array_contains(cols[0], "list")  # only documents with lists go through Python
     docs = docs.withColumn("texts", F.coalesce(_indented(*[F.when(listed, c) for c in cols]), cols[3]))
     body = F.array_join(F.filter("texts", lambda t: t.isNotNull()), "\n\n")
     body = C.rx(body, "\n{3,}", "\n\n")
     body = C.rx(body, rf"(?m)^({S}*(?:-|1\.) .*)\n\n(?={S}*(?:-|1\.) )", "$1\n")
-    return docs.select(*keys, F.concat(C.trim(body), F.lit("\n")).alias("body"))
+    return docs.withColumn("body", F.concat(C.trim(body), F.lit("\n"))).drop("p", "texts")
 
 
 def frontmatter(title: Column, hidden: bool, carried: Column | None = None) -> Column:

@@ -5,33 +5,36 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.vocab import OWNED_KEYS
-from ..operators.blocks import BLOCKS, COLUMNS, records
-from ..operators.passes import apply_passes, split_sections
+from ..operators.blocks import BLOCKS, COLUMNS, DOC, MEDIA, document_rows, records
+from ..operators.names import free_slugs
+from ..operators.passes import apply_passes, split_several
 from ..operators.render import frontmatter, numbered_images, render, with_images, with_own_images
 from ..options import Options
-from ..sources.docx import docx_to_blocks, media_of
+from ..sources.docx import docx_document
+from ..sources.formats import accepted, format_of
 from ..sources.html import html_to_blocks
 from ..sources.markdown import markdown_to_blocks
 from ..sources.pdf import pdf_to_blocks
 
 
-def _read(fmt: str, content, keep_cover: bool = False) -> tuple[list[dict], dict]:
+def _read(fmt: str, content, keep_cover: bool = False) -> tuple[list[dict], dict, list[tuple[str, bytes]]]:
+    """(blocks, report, parts that blocks refer to)"""
     data = b"" if content is None else bytes(content) if not isinstance(content, str) else content
     if fmt == "docx":
-        return docx_to_blocks(data)
+        return docx_document(data)
     if fmt == "pdf":
-        return pdf_to_blocks(data, keep_cover)
-    text = data if isinstance(data, str) else data.decode("utf-8", "replace").removeprefix("﻿")
+        return *pdf_to_blocks(data, keep_cover), []
+    text = data if isinstance(data, str) else data.decode("utf-8", "replace").removeprefix("\ufeff")
     blocks, report = (html_to_blocks if fmt == "html" else markdown_to_blocks)(text)
     if not blocks:
         raise ValueError("no content found in this file")
-    return blocks, report
+    return blocks, report, []
 
 
 def _spread(files: DataFrame) -> DataFrame:
@@ -43,10 +46,10 @@ def _spread(files: DataFrame) -> DataFrame:
 
 
 def read_documents(files: DataFrame, keep_cover: bool = False) -> DataFrame:
-    """(doc_id, filename, fmt, content) to (doc_id, filename, blocks, report, error); a failed document is a row with its error.
+    """(doc_id, filename, fmt, content) to (doc_id, filename, blocks, report, media, error); a failed document is a row with its error.
 
     content may be text or bytes; rows are whole documents, so batches are kept small by the caller's
-    spark.sql.execution.arrow.maxRecordsPerBatch.
+    spark.sql.execution.arrow.maxRecordsPerBatch. media has the image parts that blocks of a Word document refer to.
     """
 
     def scan(batches):
@@ -54,14 +57,14 @@ def read_documents(files: DataFrame, keep_cover: bool = False) -> DataFrame:
             rows = []
             for doc_id, filename, fmt, content in batch.itertuples(index=False):
                 try:
-                    blocks, report = _read(fmt, content, keep_cover)
-                    rows.append((doc_id, filename, records(blocks), json.dumps(report, ensure_ascii=False), None))
+                    blocks, report, media = _read(fmt, content, keep_cover)
+                    rows.append((doc_id, filename, records(blocks), json.dumps(report, ensure_ascii=False), [{"rid": r, "data": d} for r, d in media] or None, None))
                 except Exception as failure:  # noqa: BLE001  one bad document must not end the job
-                    rows.append((doc_id, filename, None, None, str(failure) or type(failure).__name__))
-            yield pd.DataFrame(rows, columns=["doc_id", "filename", "blocks", "report", "error"])
+                    rows.append((doc_id, filename, None, None, None, str(failure) or type(failure).__name__))
+            yield pd.DataFrame(rows, columns=["doc_id", "filename", "blocks", "report", "media", "error"])
 
     files = _spread(files.select("doc_id", "filename", "fmt", "content"))
-    schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, filename string, blocks {BLOCKS}, report string, error string"
+    schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, filename string, blocks {BLOCKS}, report string, media {MEDIA}, error string"
     return files.mapInPandas(scan, schema)
 
 
@@ -70,33 +73,6 @@ def block_rows(read: DataFrame) -> DataFrame:
     return read.where("error is null").select("doc_id", F.explode("blocks").alias("b")).select("doc_id", *[F.col(f"b.{c}").alias(c) for c in COLUMNS])
 
 
-def _numbered(read: DataFrame, options: Options) -> DataFrame:
-    """Blocks after the passes, with the urls of their images."""
-    rows = read.where("error is null").select("doc_id", "filename", F.explode("blocks").alias("b"))
-    named = F.when(F.size("b.images") > 0, F.col("filename")).alias("filename")
-    return numbered_images(apply_passes(rows.select("doc_id", named, *[F.col(f"b.{c}").alias(c) for c in COLUMNS]), options), options.image_dir)
-
-
-def image_files(files: DataFrame, options: Options) -> DataFrame:
-    """(doc_id, path, data) of the images that Word documents still refer to after the passes."""
-
-    def scan(batches):
-        for batch in batches:
-            for doc_id, content in batch.itertuples(index=False):
-                try:
-                    found = media_of(bytes(content))
-                except Exception:  # noqa: BLE001  read_documents has its error
-                    continue
-                for rid, data in found:
-                    yield pd.DataFrame({"doc_id": [doc_id], "rid": [rid], "data": [data]})
-
-    word = files.where("fmt = 'docx'")
-    used = _numbered(read_documents(word), options).where("size(images) > 0").select("doc_id", F.explode(F.arrays_zip(F.col("images").alias("rid"), F.col("urls").alias("url"))).alias("i"))
-    used = used.select("doc_id", "i.rid", F.col("i.url").alias("path")).where("path is not null").distinct()
-    media = _spread(word.select("doc_id", F.col("content").cast("binary").alias("content"))).mapInPandas(scan, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, rid string, data binary")
-    return used.join(media, ["doc_id", "rid"]).select("doc_id", "path", "data")
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def carried_lines(raw: pd.Series) -> pd.Series:
     """Frontmatter lines of keys that conversion doesn't set, with what is nested in them."""
@@ -118,86 +94,80 @@ def carried_lines(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def titles(read: DataFrame, options: Options) -> DataFrame:
-    """(doc_id, title, slug, raw): the title by option, then frontmatter, HTML title, core properties, file name."""
-    get = lambda key: F.get_json_object("report", f"$.{key}")
-    some = [F.nullif(get(k), F.lit("")) for k in ("mdTitle", "htmlTitle", "docxTitle")]
-    title = F.lit(options.title) if options.title else F.coalesce(*some, C.title_fallback(F.col("filename")))
-    stem = C.rx(C.rx(F.col("filename"), "^.*/", ""), r"\.[^.]+\Z", "")
-    return read.where("error is null").select("doc_id", title.alias("title"), F.coalesce(F.nullif(get("mdSlug"), F.lit("")), C.slugify(stem)).alias("slug"), get("mdRaw").alias("raw"))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def free_slugs(wanted: pd.Series) -> pd.Series:
-    """Each name, or its first free -2, -3, ... within the ordered list of a document or folder."""
-
-    def one(names):
-        used: set[str] = set()
-        out = []
-        for name in names:
-            slug, n = name, 2
-            while slug in used:
-                slug, n = f"{name}-{n}", n + 1
-            used.add(slug)
-            out.append(slug)
-        return out
-
-    return wanted.map(one)
+def _of_report(key: str) -> Column:
+    return F.nullif(F.get_json_object("whole.report", f"$.{key}"), F.lit(""))
 
 
 def convert(files: DataFrame, options: Options | None = None, image_urls: DataFrame | None = None) -> DataFrame:
-    """(doc_id, section, path, title, text, error, data): pages of documents (doc_id, filename, fmt, content), and the images of
-    Word documents as rows with data, section -1 and no text.
+    """(doc_id, section, path, title, text, error, data): pages of documents (doc_id, filename, fmt, content), order lists of those that are
+    split (section -1), and the images of Word documents as rows with data, section -1 and no text.
 
     image_urls: (doc_id, rid, url) of images that paragraphs refer to, where they are published elsewhere; no image rows then.
     """
     options = options or Options()
-    pages = _pages(files, options, image_urls).withColumn("data", F.lit(None).cast("binary"))
-    if image_urls is not None:
-        return pages
-    prefix = f"{options.category}/" if options.category else ""
-    none = F.lit(None).cast("string")
-    images = image_files(files, options).select("doc_id", F.lit(-1).alias("section"), F.concat(F.lit(prefix), "path").alias("path"), none.alias("title"), none.alias("text"), none.alias("error"), "data")
-    return pages.unionByName(images)
+    return pages_of(read_documents(files, options.keep_cover), options, image_urls).drop("report")
+
 
+def convert_files(files: DataFrame, options: Options | None = None) -> DataFrame:
+    """The same for files (path, filename, length, content) of any accepted format but archives, with the path as doc_id."""
+    options = options or Options()
+    found = format_of(accepted(files, options.force_markdown), options.force_markdown).where("fmt <> 'archive'")
+    return convert(found.select(F.col("path").alias("doc_id"), "filename", "fmt", "content"), options)
 
-def _pages(files: DataFrame, options: Options, image_urls: DataFrame | None) -> DataFrame:
-    read = read_documents(files, options.keep_cover)
-    blocks = with_own_images(_numbered(read, options)) if image_urls is None else with_images(apply_passes(block_rows(read), options), image_urls)
-    docs = titles(read, options)
+
+_OUT = "section int, path string, title string, text string, error string, data binary"
+
+
+def pages_of(read: DataFrame, options: Options, image_urls: DataFrame | None = None) -> DataFrame:
+    """What ``convert`` returns, with the reader's report of each document on its first row.
+
+    A document's rows come together once: what belongs to it as a whole travels as a row before its blocks, so documents are
+    read in one pass and dealt by doc_id once.
+    """
+    rows = apply_passes(document_rows(read), options)
+    rows = with_own_images(numbered_images(rows, options.image_dir)) if image_urls is None else with_images(rows, image_urls).withColumn("urls", F.lit(None).cast("array<string>"))
+    if options.split:
+        rows = split_several(rows, min(6, options.top_level + options.split - 1))
+    else:
+        rows = rows.withColumns({"section": F.lit(0), "section_title": F.lit(None).cast("string")})
+    more = (
+        F.first("whole", ignorenulls=True).alias("whole"), F.max("section_title").alias("section_title"), F.count(F.when(F.col("kind") != DOC, 1)).alias("n"),
+        F.flatten(F.collect_list(F.when(F.size("urls") > 0, F.arrays_zip(F.col("images").alias("rid"), F.col("urls").alias("url"))))).alias("shown"),
+    )
+    parts = render(rows.withColumn("section", F.col("section").cast("int")), options.callout_style, ("doc_id", "section"), more)
+    one = F.struct("section", "section_title", "body", "n")
+    docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("parts"), F.first("whole", ignorenulls=True).alias("whole"), F.flatten(F.collect_list("shown")).alias("shown"))
+    some = F.filter("parts", lambda p: (p["n"] > 0) | p["section_title"].isNotNull())
+    docs = docs.withColumn("parts", F.when(F.size(some) > 0, some).otherwise(F.slice("parts", 1, 1)))
+    found = F.coalesce(*[_of_report(k) for k in ("mdTitle", "htmlTitle", "docxTitle")], C.title_fallback(F.col("whole.filename")))
+    docs = docs.withColumn("title", F.lit(options.title) if options.title else found)
+    docs = docs.withColumn("titles", F.transform("parts", lambda p: F.coalesce(p["section_title"], F.col("title"))))
     prefix = f"{options.category}/" if options.category else ""
-    failed = read.where("error is not null").select("doc_id", F.lit(0).alias("section"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), "error")
-    none = F.lit(None).cast("string").alias("error")
-    if not options.split:
-        pages = docs.join(render(blocks, options.callout_style), "doc_id", "left")
-        head = F.lit("") if options.no_frontmatter else frontmatter(F.col("title"), options.hidden, carried_lines("raw"))
-        pages = pages.select("doc_id", F.lit(0).alias("section"), F.concat(F.lit(prefix), "slug", F.lit(".md")).alias("path"), "title", F.concat(head, F.coalesce("body", F.lit("\n"))).alias("text"), none)
-        return pages.unionByName(failed)
-    level = min(6, options.top_level + options.split - 1)
-    parts = split_sections(blocks, level)
-    bodies = render_sections(parts, options.callout_style)
-    names = parts.groupBy("doc_id", "section").agg(F.first("section_title").alias("section_title"))
-    counts = names.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    several = counts.where("n > 1").select("doc_id")
-    rest = docs.select("doc_id").join(several, "doc_id", "left_anti")  # with those that have no block left
-    whole = rest.join(render(blocks.join(several, "doc_id", "left_anti"), options.callout_style), "doc_id", "left").withColumn("body", F.coalesce("body", F.lit("\n"))).withColumn("section", F.lit(0)).withColumn("section_title", F.lit(None).cast("string"))
-    split = bodies.join(several, "doc_id").join(names, ["doc_id", "section"], "right").join(several, "doc_id").withColumn("body", F.coalesce("body", F.lit("\n")))
-    pages = split.select("doc_id", "section", "section_title", "body").unionByName(whole.select("doc_id", F.col("section"), "section_title", "body"))
-    pages = pages.join(docs.select("doc_id", "title"), "doc_id").withColumn("title", F.coalesce("section_title", "title"))
-    order = F.array_sort(F.collect_list(F.struct("section", C.slugify(F.col("title")).alias("slug"))))
-    slugs = pages.groupBy("doc_id").agg(order.alias("o"))
-    slugs = slugs.select("doc_id", F.transform("o", lambda x: x["section"]).alias("s"), free_slugs(F.transform("o", lambda x: x["slug"])).alias("u"))
-    slugs = slugs.select("doc_id", F.explode(F.arrays_zip("s", "u")).alias("z")).select("doc_id", F.col("z.s").alias("section"), F.col("z.u").alias("slug"))
-    head = F.lit("") if options.no_frontmatter else frontmatter(F.col("title"), options.hidden)
-    pages = pages.join(slugs, ["doc_id", "section"])
-    lists = slugs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "slug"))).alias("o"))
-    text = F.array_join(F.transform("o", lambda x: F.concat(F.lit("- "), x["slug"], F.lit("\n"))), "")
-    orders = lists.select("doc_id", F.lit(-1).alias("section"), F.lit(f"{prefix}_order.yaml").alias("path"), F.lit(None).cast("string").alias("title"), text.alias("text"), none)
-    return pages.select("doc_id", "section", F.concat(F.lit(prefix), "slug", F.lit(".md")).alias("path"), "title", F.concat(head, "body").alias("text"), none).unionByName(orders).unionByName(failed)
-
-
-def render_sections(parts: DataFrame, style: str) -> DataFrame:
-    """Bodies by (doc_id, section); the heading a section opens with gives no language hint."""
-    key = F.struct("doc_id", "section")
-    out = render(parts.withColumn("doc_id", key), style)
-    return out.select("doc_id.doc_id", "doc_id.section", "body")
+    none, no_data = F.lit(None).cast("string"), F.lit(None).cast("binary")
+
+    def out(section, path, title, text, error, data) -> Column:
+        return F.struct(*[v.alias(f.split()[0]) for v, f in zip((section, path, title, text, error, data), _OUT.split(", "), strict=True)])
+
+    if options.split:
+        docs = docs.withColumn("slugs", free_slugs(F.transform("titles", C.slugify))).withColumn("carried", F.lit(None).cast("array<string>"))
+    else:
+        stem = C.rx(C.rx(F.col("whole.filename"), "^.*/", ""), r"\.[^.]+\Z", "")
+        docs = docs.withColumn("slugs", F.array(F.coalesce(_of_report("mdSlug"), C.slugify(stem)))).withColumn("carried", carried_lines(_of_report("mdRaw")))
+
+    def page(part: Column, i: Column) -> Column:
+        title = F.get("titles", i)
+        head = F.lit("") if options.no_frontmatter else frontmatter(title, options.hidden, F.col("carried"))
+        return out(part["section"], F.concat(F.lit(prefix), F.get("slugs", i), F.lit(".md")), title, F.concat(head, part["body"]), none, no_data)
+
+    rows = [F.transform("parts", page)]
+    if options.split:
+        listed = F.array_join(F.transform("slugs", lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")
+        rows.append(F.array(out(F.lit(-1), F.lit(f"{prefix}_order.yaml"), none, listed, none, no_data)))
+    if image_urls is None:
+        media = F.map_from_entries(F.coalesce("whole.media", F.array().cast(MEDIA)))
+        used = F.filter(F.array_distinct("shown"), lambda x: x["url"].isNotNull())
+        image = F.transform(used, lambda x: out(F.lit(-1), F.concat(F.lit(prefix), x["url"]), none, none, none, F.try_element_at(media, x["rid"])))
+        rows.append(F.when(F.size("shown") > 0, image).otherwise(F.array().cast(f"array<struct<{_OUT.replace(' ', ': ')}>>".replace(",: ", ", "))))
+    failed = F.array(out(F.lit(0), none, none, none, F.col("whole.error"), no_data))
+    docs = docs.select("doc_id", F.col("whole.report").alias("report"), F.posexplode(F.when(F.col("whole.error").isNotNull(), failed).otherwise(F.concat(*rows))).alias("_at", "o"))
+    return docs.select("doc_id", *[F.col(f"o.{f.split()[0]}") for f in _OUT.split(", ")], F.when(F.col("_at") == 0, F.col("report")).alias("report"))

@@ -234,37 +234,20 @@ def extension(part: str) -> str:
     return base[dot:] if dot > 0 else ".png"
 
 
-def media_of(content: bytes) -> list[tuple[str, bytes]]:
-    """(relation, data) of all relations to parts of the package."""
-    parts = parts_of(content)
-    rels = relations(parts.get("word/_rels/document.xml.rels"))
-    return [(rid, parts[part]) for rid in rels if (part := image_part(rid, rels, parts))]
-
-
-def docx_to_blocks(content: bytes) -> tuple[list[dict], dict]:
+def docx_document(content: bytes) -> tuple[list[dict], dict, list[tuple[str, bytes]]]:
+    """(blocks, report, (relation, data) of the image parts that blocks refer to)"""
     parts = parts_of(content)
     reader = Reader(parts)
-    blocks = reader.body(parts["word/document.xml"])
+    blocks, media = reader.body(parts["word/document.xml"]), {}
     for block in blocks:
         if block.get("images"):
             found = [image_part(rid, reader.rels, parts) for rid in block["images"]]
             block["exts"] = [part and extension(part) for part in found]
+            media |= {rid: parts[part] for rid, part in zip(block["images"], found, strict=True) if part}
     core = xml_of(parts.get("docProps/core.xml"))
     title = core.find(f"{DC}title") if core is not None else None
-    return blocks, {"docxTitle": trim(title.text or "") if title is not None else ""}
+    return blocks, {"docxTitle": trim(title.text or "") if title is not None else ""}, list(media.items())
 
 
-def images_of(content: bytes, blocks: list[dict], stem: str, folder: str) -> tuple[dict[str, str], list[tuple[str, bytes]], list[str]]:
-    """(urls by relation, files, missing relations), numbered in the order they are first seen."""
-    parts = parts_of(content)
-    rels = relations(parts.get("word/_rels/document.xml.rels"))
-    urls, files, missing = {}, [], []
-    for n, rid in enumerate(dict.fromkeys(r for b in blocks for r in b.get("images") or ()), 1):
-        part = image_part(rid, rels, parts)
-        if part is None:
-            missing.append(rid)
-            continue
-        path = f"{folder}/{stem}-{n:02d}{extension(part)}"
-        urls[rid] = path
-        files.append((path, parts[part]))
-    return urls, files, missing
+def docx_to_blocks(content: bytes) -> tuple[list[dict], dict]:
+    return docx_document(content)[:2]

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..options import Options
-from ..plans.convert import convert
-from ..sources.formats import accepted, format_of
+from ..plans.convert import convert_files
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -23,8 +22,7 @@ def write_pages(stream: DataFrame, out: str, checkpoint: str, options: Options |
     """Converts each micro-batch and writes its pages under out/batch=N, overwriting on replay, so a batch that runs again leaves one copy."""
 
     def write(batch: DataFrame, number: int) -> None:
-        files = format_of(accepted(batch)).where("fmt <> 'archive'")
-        pages = convert(files.select(F.col("path").alias("doc_id"), "filename", "fmt", "content"), options)
+        pages = convert_files(batch, options)
         pages.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

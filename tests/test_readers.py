@@ -2,7 +2,7 @@ import pytest
 
 from inkmill.functions.mdx_table import clean_tables
 from inkmill.plans import samples as G
-from inkmill.sources.docx import docx_to_blocks, images_of
+from inkmill.sources.docx import docx_document, docx_to_blocks
 from inkmill.sources.html import html_to_blocks
 from inkmill.sources.markdown import markdown_to_blocks, split_row
 from inkmill.sources.pdf import Glyph, group_lines, lines_to_blocks, pdf_to_blocks
@@ -111,7 +111,7 @@ def test_docx():
     ]
     assert blocks[2]["level"] == 2 and [b["ordered"] for b in blocks[6:8]] == [False, True]
     assert blocks[9]["rows"] == [["h\\|<br />k", ""]] and blocks[8]["images"] == ["r2", "r9"]
-    assert images_of(data, blocks, "doc", "images") == ({"r2": "images/doc-01.png"}, [("images/doc-01.png", b"png")], ["r9"])
+    assert docx_document(data)[2] == [("r2", b"png")] and blocks[8]["exts"] == [".png", None]
     with pytest.raises(ValueError, match="older Word"):
         docx_to_blocks(b"\xd0\xcf" + b"\0" * 600)
 
