@@ -128,7 +128,7 @@ def chunk_table(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_points."""
     rows = stash(recipes(docs), "recipes")
     chunk_table(docs, rows)
     best = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id")
@@ -136,4 +136,4 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = stash(groups.select("recipe", F.col("best.doc_id").alias("keep_id"), (-F.col("best.p")).alias("most"), "group_size"), "recipe-groups")
     out = attach(rows, groups, ["recipe"], "group_size", rows.count())
     kept = F.equal_null("doc_id", "keep_id") & (F.col("n_points") == F.col("most"))
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_points")

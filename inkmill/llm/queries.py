@@ -45,7 +45,7 @@ def op5_quality_classifier(spark, sf_dir):
 
 
 def op6_exact_dedup(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_points")
 
 
 def op7_sentencepiece_sampling(spark, sf_dir):
