@@ -70,8 +70,11 @@ class Pieces:
         order = np.argsort(h)
         self.hashes, self.ids, self.scores = h[order], np.array([i for _, i in rows], dtype=np.int32)[order], -np.log(rank[order] + 1)
         self.worst = float(self.scores.min()) - 5
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[h >> U(44)] = True
+        top = (self.hashes >> U(44)).astype(np.int64)  # pieces with one 20-bit prefix stand together
+        self.slot = np.full(1 << 20, len(top), dtype=np.int32)
+        self.slot[top[::-1]] = np.arange(len(top) - 1, -1, -1)
+        self.same_slot = int(np.bincount(top).max())
+        self.padded = np.concatenate([self.hashes, np.zeros(self.same_slot + 1, dtype=U)])
 
     @staticmethod
     def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -86,11 +89,15 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows of h that are pieces, their index)."""
-        rows = np.flatnonzero(self.maybe[h >> U(44)])
-        at = np.searchsorted(self.hashes, h[rows])
-        at[at == len(self.hashes)] = 0
-        ok = self.hashes[at] == h[rows]
-        return rows[ok], at[ok]
+        at = self.slot[(h >> U(44)).astype(np.int64)]
+        ok = self.padded[at] == h
+        for k in range(1, self.same_slot):
+            more = np.flatnonzero(~ok & (at < len(self.hashes)))
+            hit = more[self.padded[at[more] + k] == h[more]]
+            at[hit] += k
+            ok[hit] = True
+        rows = np.flatnonzero(ok)
+        return rows, at[rows]
 
 
 def pieces(path: str) -> Pieces:
@@ -204,18 +211,17 @@ def sample_long(p: Pieces, chars: np.ndarray, seed: np.ndarray, begin: int, alph
 
 def sample(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA, begins: list[int] | None = None) -> list[np.ndarray]:
     """Sampled ids of each text, that begins at begins within a longer one and then has no space before it."""
-    number: dict[str, int] = {}
-    flat: list[int] = []
+    flat: list[str] = []
     counts = []
     for i, t in enumerate(texts):
         units = _UNIT.findall(t if begins and begins[i] else " " + t) if t else []
         counts.append(len(units))
-        flat += [number.setdefault(u, len(number)) for u in units]
+        flat += units
     if not flat:
         return [np.zeros(0, dtype=np.int32) for _ in texts]
-    unit = np.array(flat)
-    length_of = np.array([len(u) for u in number])
-    words = list(number)
+    coded = pa.array(flat, pa.large_string()).dictionary_encode()
+    unit, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    length_of = np.array([len(u) for u in words])
     owner = np.repeat(np.arange(len(texts)), counts)
     size = length_of[unit]
     begin = np.cumsum(size) - size  # in all texts
@@ -241,20 +247,32 @@ def sample(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA,
         for lo in range(0, len(kinds), most):  # bounded tables
             some = kinds[lo : lo + most]
             cum, ids = lattice(p, points(some).reshape(len(some), n), alpha)
-            occ = where[(local[unit[where]] >= lo) & (local[unit[where]] < lo + most)]
-            row, end = local[unit[occ]] - lo, np.full(len(occ), n - 1)
+            by_length = np.ascontiguousarray(cum.reshape(len(some) * n, -1).T)
+            ids = ids.reshape(len(some) * n, -1)
+            row = local[unit[where]]
+            inside = (row >= lo) & (row < lo + most)
+            occ = where[inside]
+            row, end = (row[inside] - lo) * n, np.full(len(occ), n - 1)
+            seed, base = seeds[owner[occ]], begin_in[occ]
             while len(occ):
-                u = _uniform(seeds[owner[occ]], begin_in[occ] + end)
-                k = (u[:, None] >= cum[row, end]).sum(axis=1)
+                u, place = _uniform(seed, base + end), row + end
+                k = np.zeros(len(occ), dtype=np.int64)
+                beyond = np.flatnonzero(u >= by_length[0][place])
+                for share in by_length[1:]:  # of the pieces that end here the shortest come first
+                    k[beyond] += 1
+                    beyond = beyond[u[beyond] >= share[place[beyond]]]
+                    if not len(beyond):
+                        break
                 out_at.append(begin[occ] + end)
-                out_id.append(ids[row, end, k])
+                out_id.append(ids[place, k])
                 end = end - k - 1
                 more = end >= 0
-                occ, row, end = occ[more], row[more], end[more]
-    at, got = np.concatenate(out_at), np.concatenate(out_id)
-    got = got[np.argsort(at)]
-    at.sort()
-    edges = np.concatenate([[0], np.searchsorted(at, first)])
+                occ, row, end, seed, base = occ[more], row[more], end[more], seed[more], base[more]
+    placed, taken = np.zeros(int(size.sum()), dtype=np.int32), np.zeros(int(size.sum()), dtype=bool)
+    for at, ids in zip(out_at, out_id, strict=True):
+        placed[at], taken[at] = ids, True
+    ends = np.flatnonzero(taken)
+    got, edges = placed[ends], np.concatenate([[0], np.searchsorted(ends, first)])
     result = []
     for i in range(len(texts)):
         ids = got[edges[i] : edges[i + 1]]
