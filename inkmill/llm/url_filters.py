@@ -110,7 +110,8 @@ def link_edges(pages: DataFrame) -> DataFrame:
     refresh = F.regexp_extract_all("html", F.lit(rf"(?is)<meta\s[^>]*http-equiv\s*=\s*{quote}refresh\b[^>]*>"), F.lit(0))
     href = F.transform(canonical, lambda tag: F.regexp_extract(tag, rf"(?is)href\s*=\s*{quote}([^\"'\s>]+)", 1))
     url = F.transform(refresh, lambda tag: F.regexp_extract(tag, rf"(?is)url\s*=\s*{quote}((?:&#?\w+;|[^\"'\s>;])+)", 1))  # the ; of a reference ends no url
-    raw = pages.where(host_of(F.col("url")) != "").select("url", F.explode(F.array_distinct(F.concat(href, url))).alias("to")).where("to <> ''").withColumn("to", decoded(F.col("to")))
+    # outer, as a plain explode has the patterns searched again to find out whether the array is empty
+    raw = pages.where(host_of(F.col("url")) != "").select("url", F.explode_outer(F.array_distinct(F.concat(href, url))).alias("to")).where("to <> ''").withColumn("to", decoded(F.col("to")))
     folder = F.regexp_replace(path_of(F.col("url")), "[^/]*$", "")
     site = F.concat(F.lit("http://"), host_of(F.col("url")))
     target = (
