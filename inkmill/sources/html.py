@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from ..functions.text import S, SPACES, collapse, encode_link_target, escape_inline, trim, wrap_emphasis
-from ..functions.vocab import BLOCK_CHILDREN, CHROME_NAMES, CHROME_ROLES, CHROME_TAGS, CONTENT_ROOTS, DROP_TAGS
+from ..functions.vocab import BLOCK_CHILDREN, CHROME_HINT, CHROME_ROLES, CHROME_TAGS, CONTENT_ROOTS, DROP_TAGS
 from .dom import HEADINGS, Node, parse
 
-_CHROME = re.compile(rf"(?:^|{S}|[_-])(?:{'|'.join(CHROME_NAMES)})(?:{S}|[_-]|\Z)", re.IGNORECASE)
+_CHROME = re.compile(CHROME_HINT, re.IGNORECASE)
 _MSO_HEADING = re.compile(rf"(?:^|{S})(?:Mso)?Heading([1-6])(?:CxSp[A-Za-z0-9_]+)?(?:{S}|\Z)", re.IGNORECASE)
 _MSO_TOC = re.compile(rf"(?:^|{S})(?:Mso)?Toc[0-9]?(?:CxSp[A-Za-z0-9_]+)?(?:{S}|\Z)", re.IGNORECASE)
 _MSO_LIST = re.compile(rf"(?:^|{S})MsoListParagraph(?:CxSp[A-Za-z0-9_]+)?(?:{S}|\Z)", re.IGNORECASE)
