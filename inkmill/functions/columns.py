@@ -56,11 +56,6 @@ def slugify(text: Column) -> Column:
     return F.when(slug == "", "page").otherwise(slug)
 
 
-def escape_plain(text: Column) -> Column:
-    """E4 for texts without bare URLs."""
-    return rx(rx(text, r"([\\`*\[\]<>{}])", r"\\$1"), "(?<![0-9A-Za-z])_|_(?![0-9A-Za-z])", r"\\_")
-
-
 def encode_link_target(url: Column) -> Column:
     out = rx(trim(F.coalesce(url, F.lit(""))), S, "%20")
     for char in "<>()":

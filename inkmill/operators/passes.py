@@ -106,9 +106,15 @@ def callout_of(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(text and detect_callout(text)) or (None, None) for text in texts], columns=["emoji", "rest"], dtype=object)
 
 
+def with_hits(blocks: DataFrame) -> DataFrame:
+    """Adds _hit, what ``callout_of`` says of paragraphs. No pass before B5 changes them, so it is worked out before the rows are dealt: Python steps
+    lose the dealing."""
+    return blocks.withColumn("_hit", callout_of(F.when(F.col("kind") == "para", F.col("text"))))
+
+
 def convert_callouts(blocks: DataFrame) -> DataFrame:
     """B5"""
-    rows = blocks.withColumn("_hit", callout_of(F.when(F.col("kind") == "para", F.col("text"))))
+    rows = blocks if "_hit" in blocks.columns else with_hits(blocks)
     yes = F.coalesce(F.col("_hit.rest") != "", F.lit(False))
     return rows.withColumns({
         "kind": F.when(yes, "callout").otherwise(F.col("kind")), "emoji": F.when(yes, F.col("_hit.emoji")).otherwise(F.col("emoji")),
@@ -140,7 +146,7 @@ def remap_levels(blocks: DataFrame, top: int = 2, most: int = 3) -> DataFrame:
 
 def apply_passes(blocks: DataFrame, options) -> DataFrame:
     """B1"""
-    out = drop_toc_and_sections(blocks, options.drop_sections)
+    out = drop_toc_and_sections(blocks if options.no_callouts else with_hits(blocks), options.drop_sections)
     if not options.keep_cover:
         out = drop_cover(out)
     out = merge_code(out)

@@ -121,8 +121,8 @@ _OUT = "section int, path string, title string, text string, error string, data
 def pages_of(read: DataFrame, options: Options, image_urls: DataFrame | None = None) -> DataFrame:
     """What ``convert`` returns, with the reader's report of each document on its first row.
 
-    A document's rows come together once: what belongs to it as a whole travels as a row before its blocks, so documents are
-    read in one pass and dealt by doc_id once.
+    What belongs to a document as a whole travels as a row before its blocks, so documents are read in one pass, however many results they
+    have; rows are dealt by doc_id before the passes, and once more after the Python step that cleans code.
     """
     rows = apply_passes(document_rows(read), options)
     rows = with_own_images(numbered_images(rows, options.image_dir)) if image_urls is None else with_images(rows, image_urls).withColumn("urls", F.lit(None).cast("array<string>"))

@@ -12,8 +12,9 @@ from ..functions import columns as C
 from ..operators import layout as L
 from ..operators import passes as P
 from ..operators import render as R
+from ..operators.names import free_names
 from ..options import Options
-from ..sources import formats
+from ..sources import formats, pdf
 from . import convert as V
 
 BLOCKS = """
@@ -122,7 +123,13 @@ def text_slug(spark, sf_dir):
 @query(r"""
     SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([\\`*\[\]<>{}])', '\\\1', 'g'), '(^|[^0-9A-Za-z])_', '\1\\_', 'g'), '([0-9A-Za-z])_($|[^0-9A-Za-z])', '\1\\_\2', 'g') AS escaped FROM documents""")
 def text_escape_md(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", C.escape_plain(F.col("text")).alias("escaped"))
+    """E4, as readers apply it."""
+    import pandas as pd
+
+    from ..functions.text import escape_inline
+
+    escape = F.pandas_udf(lambda texts: pd.Series([None if t is None else escape_inline(t) for t in texts], dtype=object), "string")
+    return _table(spark, sf_dir, "documents").select("doc_id", escape("text").alias("escaped"))
 
 
 @query("SELECT p_partkey, 'Step 2 — ' || p_name AS heading, '# ' || replace(replace(p_name, '<', '\\<'), '{', '\\{') AS line FROM part")
@@ -166,23 +173,6 @@ def callout_detect(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", hit["emoji"].alias("emoji"), hit["rest"].alias("rest"))
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INT) AS pos, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))")
-def line_explode(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-
-
-@query("SELECT doc_id, string_agg(trim(line), ' ' ORDER BY i) AS paragraph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
-def paragraph_join(spark, sf_dir):
-    lines = F.filter(F.transform(F.split("text", "\n"), C.trim), lambda x: x != "")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, " ").alias("paragraph")).where("paragraph <> ''")
-
-
-@query()
-def markdown_blocks(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("doc_id", F.lit(".md")).alias("filename"), F.lit("markdown").alias("fmt"), F.col("text").alias("content"))
-    return V.block_rows(V.read_documents(docs)).select("doc_id", "pos", "kind", "level", "text")
-
-
 # --- block passes -----------------------------------------------------------------------
 
 
@@ -251,16 +241,6 @@ def block_last_heading(spark, sf_dir):
 # --- rendering -----------------------------------------------------------------------
 
 
-@query("""
-    SELECT r_regionkey, '| Nation | Key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS page
-    FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
-def render_pipe_table(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # the 5 regions
-    cells = F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_name"), F.col("n_nationkey").cast("string")).alias("c"))))
-    table = rows.groupBy("r_regionkey").agg(cells.alias("x")).select("r_regionkey", F.concat(F.array(F.array(F.lit("**Nation**"), F.lit("Key"))), F.transform("x", lambda x: x["c"])).alias("rows"))
-    return table.select("r_regionkey", R.pipe_table(F.col("rows")).alias("page"))
-
-
 @query("""
     SELECT conv_id, trim(regexp_replace(string_agg('### ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn), '\n{3,}', chr(10) || chr(10), 'g')) || chr(10) AS body
     FROM conversations GROUP BY conv_id""")
@@ -273,11 +253,6 @@ def render_page(spark, sf_dir):
     return R.render(blocks).select(F.col("doc_id").alias("conv_id"), "body")
 
 
-@query()
-def render_blocks(spark, sf_dir):
-    return R.render(P.apply_passes(_blocks(spark, sf_dir), Options())).select("doc_id", "body")
-
-
 # --- layout --------------------------------------------------------------------------
 
 _DOCS = "SELECT r_name || '/' || CASE WHEN n_nationkey % 3 = 0 THEN lpad(CAST(25 - n_nationkey AS STRING), 2, '0') || '-' ELSE '' END || n_name || '.md' AS src_path, n_name AS body, r_name, n_name, n_nationkey FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"
@@ -302,27 +277,6 @@ def layout_paths(spark, sf_dir):
     return L.layout(_sources(spark, sf_dir)).where("path not like '%_order.yaml'")
 
 
-@query("""
-    SELECT p_partkey, lower(replace(p_brand, '#', '-')) || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug
-    FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)""")
-def slug_dedupe(spark, sf_dir):
-    part = _table(spark, sf_dir, "part").select("p_partkey", C.slugify(F.col("p_brand")).alias("slug"))
-    lists = part.groupBy(F.col("slug").alias("g")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "slug"))).alias("k"))
-    freed = lists.select("k", V.free_slugs(F.transform("k", lambda x: x["slug"])).alias("free"))
-    return freed.select(F.explode(F.arrays_zip("k", "free")).alias("z")).select(F.col("z.k.p_partkey").alias("p_partkey"), F.col("z.free").alias("slug"))
-
-
-@query("""
-    SELECT o_orderkey, l_linenumber, 'order-' || o_orderkey || '-' || lpad(CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS VARCHAR), 2, '0') || '.png' AS image
-    FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey""")
-def image_numbering(spark, sf_dir):
-    from pyspark.sql import Window
-
-    refs = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct().join(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-    nth = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber"))
-    return refs.select("o_orderkey", "l_linenumber", F.format_string("order-%d-%02d.png", "o_orderkey", nth).alias("image"))
-
-
 @query("SELECT source AS filename, n_chars AS length, min(doc_id) AS doc_id FROM documents GROUP BY source, n_chars")
 def input_dedupe(spark, sf_dir):
     files = _table(spark, sf_dir, "documents").select(F.lpad("doc_id", 12, "0").alias("path"), F.concat("source", F.lit(".md")).alias("filename"), F.col("n_chars").alias("length"))
@@ -330,47 +284,6 @@ def input_dedupe(spark, sf_dir):
     return kept.select(F.regexp_replace("filename", r"\.md$", "").alias("filename"), "length", F.col("path").cast("long").alias("doc_id"))
 
 
-@query("""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY 1)
-    SELECT line, n AS n_docs FROM c WHERE n >= 3""")
-def furniture_lines(spark, sf_dir):
-    lines = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("trim(line) <> ''")
-    return lines.groupBy("line").agg(F.count_distinct("doc_id").alias("n_docs")).where("n_docs >= 3")
-
-
-@query("""
-    WITH s AS (SELECT p_brand, p_size, length(p_name) AS n FROM part), b AS (SELECT p_brand, arg_max(p_size, (w, -p_size)) AS body FROM (SELECT p_brand, p_size, sum(n) AS w FROM s GROUP BY ALL) GROUP BY 1)
-    SELECT DISTINCT s.p_brand, s.p_size, CAST(least(6, dense_rank() OVER (PARTITION BY s.p_brand ORDER BY s.p_size DESC)) AS INT) AS level FROM s JOIN b USING (p_brand) WHERE s.p_size > body""")
-def font_ladder(spark, sf_dir):
-    """Sizes above the body size of a document, which holds most characters, are heading levels."""
-    from pyspark.sql import Window
-
-    sizes = _table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.sum(F.length("p_name")).alias("w"))
-    body = F.max_by("p_size", F.struct("w", -F.col("p_size"))).over(Window.partitionBy("p_brand"))
-    larger = sizes.withColumn("body", body).where("p_size > body")
-    return larger.select("p_brand", "p_size", F.least(F.lit(6), F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size")))).alias("level"))
-
-
-_CHAIN = """
-    WITH RECURSIVE styles(sid, base, level) AS (SELECT * FROM (VALUES ('a', NULL, 1), ('b', 'a', NULL), ('c', 'b', NULL), ('d', 'e', NULL), ('e', 'd', NULL), ('f', 'c', 3)) v(sid, base, level)),
-    up AS (SELECT sid, base AS at, level, 0 AS depth FROM styles UNION ALL SELECT up.sid, s.base, s.level, depth + 1 FROM up JOIN styles s ON up.at = s.sid WHERE up.level IS NULL AND depth < 10)
-    SELECT sid, max(level) AS level FROM up GROUP BY sid"""
-
-
-@query(_CHAIN)
-def style_inherit(spark, sf_dir):
-    """D3: the same chain as the styles part of a Word file, with a paragraph of each style; the levels are those of the blocks read."""
-    from .samples import docx, para, run
-
-    chain = [("a", None, 1), ("b", "a", None), ("c", "b", None), ("d", "e", None), ("e", "d", None), ("f", "c", 3)]
-    base = {sid: f'<w:basedOn w:val="{up}"/>' if up else "" for sid, up, _ in chain}
-    outline = {sid: f'<w:pPr><w:outlineLvl w:val="{level - 1}"/></w:pPr>' if level else "" for sid, _, level in chain}
-    styles = "".join(f'<w:style w:styleId="{sid}"><w:name w:val="{sid}"/>{base[sid]}{outline[sid]}</w:style>' for sid, _, _ in chain)
-    data = docx("".join(para(run(sid), style=sid) for sid, _, _ in chain), styles=styles)
-    files = spark.createDataFrame([(1, "a.docx", "docx", bytearray(data))], "doc_id int, filename string, fmt string, content binary")
-    return V.block_rows(V.read_documents(files)).select(F.col("text").alias("sid"), "level")
-
-
 @query(f"""
     WITH b AS ({_SQL}) SELECT doc_id, count(*) FILTER (kind = 'code') AS code_blocks, count(DISTINCT CASE WHEN kind = 'heading' THEN level END) AS levels,
         max(length(text)) AS longest, count(*) AS blocks FROM b GROUP BY doc_id""")
@@ -399,12 +312,6 @@ def mdx_hazards(spark, sf_dir):
     return pages.select("doc_id", hazards(F.col("text")).alias("n_hazards"))
 
 
-@query()
-def split_pages(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("doc_id", F.lit(".md")).alias("filename"), F.lit("markdown").alias("fmt"), F.concat(F.lit("# A\n\n"), F.regexp_replace("text", "\n", "\n\n## B\n\n")).alias("content"))
-    return V.convert(docs, Options(split=2, max_level=6)).select("doc_id", "section", "path", "title", "text")
-
-
 # --- generated files -----------------------------------------------------------------
 
 
@@ -433,29 +340,410 @@ def zip_members(spark, sf_dir):
     return formats.members(archives).select("archive", "name", F.octet_length("content").alias("length"))
 
 
-@query("SELECT n_nationkey, kind, text FROM (SELECT n_nationkey, unnest(['heading', 'para']) AS kind, unnest([n_name, '**' || n_name || '** x']) AS text FROM nation)")
-def docx_blocks(spark, sf_dir):
-    from .samples import docx_file
+# --- Markdown from a template --------------------------------------------------------
 
-    nation = _table(spark, sf_dir, "nation")
-    files = nation.select(F.col("n_nationkey").alias("doc_id"), F.lit("a.docx").alias("filename"), F.lit("docx").alias("fmt"), docx_file(F.col("n_name")).alias("content"))
-    return V.block_rows(V.read_documents(files)).select(F.col("doc_id").alias("n_nationkey"), "kind", "text")
+_MD = (
+    '---\r\ntitle: "{name} page"\r\nslug: s-{key}\r\nmeta:\r\n  a: 1\r\n---\r\n# {name} #\r\n\r\n{type}\r\n---\r\n\r\n~~~~ sql extra\r\nselect \'{brand}\'\r\n~~~\r\n~~~~\r\n\r\n'
+    "| a | b \\| c |\r\n|---|:-:|\r\n| {name} | <X> |\r\n\r\n> 💡 Tip: hint {key}\r\n> more\r\n\r\n> plain {key}\r\n\r\n***\r\n1. first\r\n   - inner {key}\r\n     goes on\r\n\r\n   - second\r\n2) last\r\n"
+    '</li></ul>\r\n<Callout icon="⚠️" theme="x">\r\n### Mind {key}\r\n</Callout>\r\ntwo\r\nlines {{x}}\r\n'
+)
 
 
-@query("SELECT n_nationkey, kind, text FROM (SELECT n_nationkey, unnest(['heading', 'para']) AS kind, unnest([n_name, 'Ordinary body copy of ' || n_name || ' in a line.']) AS text FROM nation)")
-def pdf_blocks(spark, sf_dir):
-    from .samples import pdf_file
+def _filled(template: str):
+    """A template with the columns of part in it."""
+    out = F.lit(template.replace("{{", "\x01").replace("}}", "\x02"))
+    for mark, column in (("{name}", F.col("p_name")), ("{key}", F.col("p_partkey").cast("string")), ("{type}", F.col("p_type")), ("{brand}", F.col("p_brand"))):
+        out = F.replace(out, F.lit(mark), column)
+    return F.translate(out, "\x01\x02", "{}")
 
-    nation = _table(spark, sf_dir, "nation")
-    files = nation.select(F.col("n_nationkey").alias("doc_id"), F.lit("a.pdf").alias("filename"), F.lit("pdf").alias("fmt"), pdf_file(F.col("n_name")).alias("content"))
-    return V.block_rows(V.read_documents(files)).select(F.col("doc_id").alias("n_nationkey"), "kind", "text")
 
+def _from_part(spark, sf_dir, template: str, fmt: str):
+    part = _table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("doc_id"), F.concat("p_partkey", F.lit(f".{fmt}")).alias("filename"), F.lit(fmt).alias("fmt"), _filled(template).alias("content"))
 
-@query()
-def archive_to_folder(spark, sf_dir):
-    """A zip of documents to the files of a documentation folder."""
+
+def _shown(blocks):
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, " ; ")), " / ")
+    return blocks.select(F.col("doc_id").alias("p_partkey"), "pos", "kind", "level", "text", "lang", "emoji", "ordered", F.when(F.col("rows").isNotNull(), cells).alias("cells"))
+
+
+def _expected(*blocks: str) -> str:
+    """SQL of the blocks of every part: kind, level, text, lang, emoji, ordered, cells as SQL expressions."""
+    rows = ", ".join(f"({i}, {b})" for i, b in enumerate(blocks))
+    return f"SELECT p_partkey, pos, kind, level, text, lang::VARCHAR AS lang, emoji::VARCHAR AS emoji, ordered, cells FROM part, (VALUES {rows}) u(pos, kind, level, text, lang, emoji, ordered, cells)"
+
+
+@query(_expected(
+    "'heading', 1, p_name, NULL, NULL, NULL::BOOLEAN, NULL", "'heading', 2, p_type, NULL, NULL, NULL, NULL", "'code', NULL, 'select ''' || p_brand || '''' || chr(10) || '~~~', 'sql', NULL, NULL, NULL",
+    r"'table', NULL, NULL, NULL, NULL, NULL, 'a ; b \| c / ' || p_name || ' ; \<X\>'", "'callout', NULL, 'Tip: hint ' || p_partkey || chr(10) || 'more', NULL, '📘', NULL, NULL",
+    "'para', NULL, 'plain ' || p_partkey, NULL, NULL, NULL, NULL", "'list', 0, 'first', NULL, NULL, TRUE, NULL", "'list', 1, 'inner ' || p_partkey || ' goes on', NULL, NULL, FALSE, NULL", "'list', 1, 'second', NULL, NULL, FALSE, NULL",
+    "'list', 0, 'last', NULL, NULL, TRUE, NULL", "'callout', NULL, 'Mind ' || p_partkey, NULL, '🚧', NULL, NULL", r"'para', NULL, 'two lines \{x\}', NULL, NULL, NULL, NULL",
+))
+def markdown_structure(spark, sf_dir):
+    """Every rule of the Markdown reader."""
+    return _shown(V.block_rows(V.read_documents(_from_part(spark, sf_dir, _MD, "markdown"))))
+
+
+@query("SELECT p_partkey, u.* FROM part, (VALUES ('mdCodeBlocks', '1'), ('mdTables', '1'), ('mdEscapedTags', '1'), ('mdEscapedBraces', '2'), ('mdOrphanClosers', '1'), ('mdFrontmatter', 'title, slug, meta')) u(metric, value)")
+def markdown_report(spark, sf_dir):
+    """The reader's counters in long form."""
+    from ..operators.report import long_form
+
+    return long_form(V.read_documents(_from_part(spark, sf_dir, _MD, "markdown"))).withColumnRenamed("doc_id", "p_partkey")
+
+
+_ESCAPES = "`a < b {{c}}` <T{key}> {{y}} \\{{z\\}} <br> <b>x</b> <i>open <https://e.org/{key}> <me@e.org> <!-- c -->{{/* keep */}} end\n\n{name} <K> <HR>"
+
+
+@query(r"""
+    SELECT p_partkey, u.* FROM part, (VALUES (0, '`a < b {c}` \<T' || p_partkey || '\> \{y\} \{z\} <br /> <b>x</b> \<i\>open <https://e.org/' || p_partkey || '> <me@e.org> {/* keep */} end'), (1, p_name || ' \<K\> <HR />')) u(pos, text)""")
+def markdown_escape(spark, sf_dir):
+    """What MDX would take for a tag or an expression."""
+    return V.block_rows(V.read_documents(_from_part(spark, sf_dir, _ESCAPES, "markdown"))).select(F.col("doc_id").alias("p_partkey"), "pos", "text")
+
+
+_LISTS = "---\ntitle: Of {name}\nslug: own-{key}\nexcerpt: e{key}\nmetadata:\n  a: 1\nhidden: false\n---\n# {name}\n\n1. one\n   - two\n     - three\n2. four\n\n* five\n\n> ⚠ mind\n\n````\n```\n{brand}\n```\n````\n"
+
+
+@query(r"""
+    SELECT p_partkey, 'c/own-' || p_partkey || '.md' AS path, 'Of ' || p_name AS title, '---' || chr(10) || 'title: "Of ' || p_name || '"' || chr(10) || 'hidden: true' || chr(10) || 'excerpt: e' || p_partkey || chr(10) || 'metadata:' || chr(10) || '  a: 1' || chr(10) || '---' || chr(10) || chr(10)
+        || '## ' || p_name || chr(10) || chr(10) || '1. one' || chr(10) || '   - two' || chr(10) || '     - three' || chr(10) || '1. four' || chr(10) || '- five' || chr(10) || chr(10) || '> 🚧 mind' || chr(10) || chr(10)
+        || '````' || chr(10) || '```' || chr(10) || p_brand || chr(10) || '```' || chr(10) || '````' || chr(10) AS text FROM part""")
+def markdown_pages(spark, sf_dir):
+    """List indentation, quotes, fences around fences, carried frontmatter and slug."""
+    pages = V.convert(_from_part(spark, sf_dir, _LISTS, "markdown"), Options(category="c", callout_style="blockquote"))
+    return pages.select(F.col("doc_id").alias("p_partkey"), "path", "title", "text")
+
+
+# --- HTML from a template --------------------------------------------------------------
+
+_HTML = (
+    "<!doctype html><html><head><title>T {name}</title><script>x()</script></head><body><nav><a href=/>n</a></nav><div class='sidebar'><a href=a>1</a><a href=b>2</a><a href=c>3</a></div><main>"
+    "<h1> {name}  <b>x</b> </h1><p class=MsoToc1>toc</p><p class='MsoHeading2'>{type}</p><p class=MsoListParagraph>· bullet {key}</p><p class=MsoListParagraph>no bullet</p>"
+    "<p>plain <b>bold </b><em>it</em> <del>gone</del> <code>a`b</code> <a href='/x (y)'>link</a> <a href='javascript:q'>js</a> <a href='#h'>hash</a> [z] {key}<br>next http://u.v/{{w}}</p>"
+    "<pre class='language-py'>print({key})\n</pre><pre data-lang=SQL>select 1</pre><table><tr><th colspan=2>H|</th><td>c<br>d</td></tr><tr><td>1</td></tr></table>"
+    "<ul><li>one<ol><li>deep<pre>k = 1</pre></li></ol></li><li>two</li></ul><blockquote>quoted<br>text</blockquote><hr><figure><img src='/i.png' alt='a [b]'><figcaption>cap {key}</figcaption></figure>"
+    "<img src='doc_files/p.gif'><div>loose <kbd>K</kbd></div><section>lost<p>in section</p></section><form><input value=v>f</form><p class='menu'>short</p><p>" + "filler " * 40 + "</p></main><footer>f</footer></body></html>"
+)
+
+
+@query(_expected(
+    "'heading', 1, p_name || ' x', NULL, NULL, NULL::BOOLEAN, NULL", "'heading', 2, p_type, NULL, NULL, NULL, NULL", "'list', 0, 'bullet ' || p_partkey, NULL, NULL, FALSE, NULL", "'para', NULL, 'no bullet', NULL, NULL, NULL, NULL",
+    r"'para', NULL, 'plain **bold** *it* ~~gone~~ ``a`b`` [link](/x%20%28y%29) js hash \[z\] ' || p_partkey || chr(10) || 'next http://u.v/%7Bw%7D', NULL, NULL, NULL, NULL",
+    "'code', NULL, 'print(' || p_partkey || ')', 'py', NULL, NULL, NULL", "'code', NULL, 'select 1', 'sql', NULL, NULL, NULL", r"'table', NULL, NULL, NULL, NULL, NULL, 'H\| ;  ; c<br />d / 1'",
+    "'list', 0, 'one', NULL, NULL, FALSE, NULL", "'list', 1, 'deep', NULL, NULL, TRUE, NULL", "'code', NULL, 'k = 1', '', NULL, NULL, NULL", "'list', 0, 'two', NULL, NULL, FALSE, NULL", "'para', NULL, 'quoted text', NULL, NULL, NULL, NULL",
+    "'para', NULL, '![a b](/i.png)' || chr(10) || 'cap ' || p_partkey, NULL, NULL, NULL, NULL", "'para', NULL, 'loose `K`', NULL, NULL, NULL, NULL", "'para', NULL, 'in section', NULL, NULL, NULL, NULL", "'para', NULL, trim(repeat('filler ', 40)), NULL, NULL, NULL, NULL",
+))
+def html_structure(spark, sf_dir):
+    """Every rule of the HTML reader."""
+    return _shown(V.block_rows(V.read_documents(_from_part(spark, sf_dir, _HTML, "html"))))
+
+
+@query("""
+    SELECT p_partkey, u.* FROM part, (VALUES ('htmlTitle', 'T ' || p_name), ('htmlRoot', 'main'), ('htmlChromeDropped', '2'), ('htmlWordHeadings', '1'), ('htmlWordLists', '1'), ('htmlCodeBlocks', '3'), ('htmlTables', '1'),
+        ('htmlRelativeImages', '1'), ('htmlWordSidecar', '1')) u(metric, value)""")
+def html_report(spark, sf_dir):
+    from ..operators.report import long_form
+
+    return long_form(V.read_documents(_from_part(spark, sf_dir, _HTML, "html"))).withColumnRenamed("doc_id", "p_partkey")
+
+
+# --- Word and PDF from templates -------------------------------------------------------
+
+
+def _word(key: int, name: str, kind: str, brand: str) -> bytes:
+    from .samples import Word, node
+
+    w = Word(title=f" Core of {name} ")
+    w.add("entry", style="Index").add(f"Chapter {name}", style="Part").add(kind, style="SubTopic").add("deep", style="Detail")
+    w.add(w.text("a ", "b"), w.text("b", "b"), w.text(" gone", "vanish"), w.text(" it", "i"), w.text("off", "i=0"), w.text("both", "b", "i"), w.text("x", "strike"), w.text("k`k", font="Consolas"))
+    w.add("code one", style="Listing").add(w.text("mono", font="Courier New"), " t").add()
+    w.add(f"dot {key}", list_of="dots").add("step", list_of="steps", depth=1)
+    w.add(w.link("go", f"http://e.org/{key} (b)"), w.link("top", "#top"), "tail")
+    w.table([([w.paragraph("h|"), w.paragraph("k")], 2), brand], ["1", "", [w.paragraph(w.text("m", "b"))]])
+    w.add(node("smartTag", Word.text("in ")), node("del", Word.text("out")), node("ins", Word.text("to\nit")), node("sdt", node("sdtContent", Word.text(" held"))))
+    return w.packed()
+
+
+def _files(spark, sf_dir, make, fmt: str):
+    from .samples import generated
+
+    part = _table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("doc_id"), F.concat("p_partkey", F.lit(f"-doc.{fmt}")).alias("filename"), F.lit(fmt).alias("fmt"), generated(make, "p_partkey", "p_name", "p_type", "p_brand").alias("content"))
+
+
+@query(_expected(
+    "'toc', NULL, NULL, NULL, NULL, NULL::BOOLEAN, NULL", "'heading', 1, 'Chapter ' || p_name, NULL, NULL, NULL, NULL", "'heading', 2, p_type, NULL, NULL, NULL, NULL", "'heading', 4, 'deep', NULL, NULL, NULL, NULL",
+    "'para', NULL, '**a b** *it*off***both***~~x~~``k`k``', NULL, NULL, NULL, NULL", "'code', NULL, 'code one', NULL, NULL, NULL, NULL", "'code', NULL, 'mono t', NULL, NULL, NULL, NULL", "'blank', NULL, NULL, NULL, NULL, NULL, NULL",
+    "'list', 0, 'dot ' || p_partkey, NULL, NULL, FALSE, NULL", "'list', 1, 'step', NULL, NULL, TRUE, NULL", "'para', NULL, '[go](http://e.org/' || p_partkey || '%20%28b%29)toptail', NULL, NULL, NULL, NULL",
+    r"'table', NULL, NULL, NULL, NULL, NULL, 'h\|<br />k ;  ; ' || p_brand || ' / 1 ;  ; **m**'", "'para', NULL, 'in to' || chr(10) || 'it held', NULL, NULL, NULL, NULL",
+))
+def docx_structure(spark, sf_dir):
+    """Every rule of the Word reader."""
+    return _shown(V.block_rows(V.read_documents(_files(spark, sf_dir, _word, "docx"))))
+
+
+@query("""
+    SELECT p_partkey, 'pic' AS kind, 'images/' || p_partkey || '-doc-01.PNG' AS path, length('one ' || p_name)::INT AS length FROM part
+    UNION ALL SELECT p_partkey, 'pic', 'images/' || p_partkey || '-doc-03.gif', 5 FROM part
+    UNION ALL SELECT p_partkey, '---' || chr(10) || 'title: "Core"' || chr(10) || 'hidden: true' || chr(10) || '---' || chr(10) || chr(10) || '## H' || chr(10) || chr(10) || 'seen' || chr(10) || '![](images/' || p_partkey || '-doc-01.PNG)' || chr(10) || chr(10) || '![](images/' || p_partkey || '-doc-03.gif)' || chr(10) || '![](images/' || p_partkey || '-doc-01.PNG)' || chr(10),
+        p_partkey || '-doc.md', NULL FROM part""")
+def docx_images(spark, sf_dir):
+    """Images of Word documents, numbered in the order pages refer to them, missing ones included."""
+
+    def make(key, name, kind, brand):
+        from .samples import Word
+
+        w = Word(title="Core")
+        w.add("cover", w.picture("media/c.png", b"cover")).add("H", style="Part").add("seen", w.picture("media/a.PNG", f"one {name}".encode())).add(w.picture("media/gone.png"))
+        return w.add(w.picture("media/b.gif", b"two 2"), w.same_picture("k2")).packed()
+
+    out = V.convert(_files(spark, sf_dir, make, "docx"))
+    return out.select(F.col("doc_id").alias("p_partkey"), F.coalesce("text", F.lit("pic")).alias("kind"), "path", F.octet_length("data").alias("length"))
+
+
+def _pdf(key: int, name: str, kind: str, brand: str) -> bytes:
+    from .samples import Sheet, pdf
+
+    cover = Sheet().put(f"Book of {name}", 100, 300, 30).put("Second edition", 100, 360, 24)
+    one = Sheet().put("Running head", 60, 40, 9).put(f"Part {name}", 60, 90, 20).put(f"{kind.title()} of it", 60, 130, 15)
+    one.lines(f"Ordinary body text about {brand} that ends in a hyphen-", "ated word and goes on.", top=170).put("A paragraph of its own.", 60, 260).put("• first", 60, 300).put("2) second", 60, 330).put("1", 300, 820, 9)
+    two = Sheet().put("Running head", 60, 40, 9).put("select 1", 60, 90, fixed=True).put("from t", 60, 104, fixed=True)
+    for i, row in enumerate((("Field", "Type"), (f"f{key}", "<int>"), ("g|h", "text"))):
+        two.put(row[0], 60, 160 + 20 * i).put(row[1], 260, 160 + 20 * i)
+    two.put("Closing words of this page.", 60, 300).put("2", 300, 820, 9)
+    three = Sheet().put("Running head", 60, 40, 9).put("Last page has one more line of body.", 60, 90).put("3", 300, 820, 9)
+    return pdf(cover, one, two, three)
+
+
+@query(_expected(
+    "'heading', 1, 'Part ' || p_name, NULL, NULL, NULL::BOOLEAN, NULL", "'heading', 2, upper(p_type[1]) || lower(p_type[2:]) || ' of it', NULL, NULL, NULL, NULL",
+    "'para', NULL, 'Ordinary body text about ' || p_brand || ' that ends in a hyphenated word and goes on.', NULL, NULL, NULL, NULL", "'para', NULL, 'A paragraph of its own.', NULL, NULL, NULL, NULL", "'list', 0, 'first', NULL, NULL, FALSE, NULL", "'list', 0, 'second', NULL, NULL, TRUE, NULL",
+    "'code', NULL, 'select 1', NULL, NULL, NULL, NULL", "'code', NULL, 'from t', NULL, NULL, NULL, NULL", r"'table', NULL, NULL, NULL, NULL, NULL, 'Field ; Type / f' || p_partkey || ' ; \<int\> / g\|h ; text'",
+    "'para', NULL, 'Closing words of this page.', NULL, NULL, NULL, NULL", "'para', NULL, 'Last page has one more line of body.', NULL, NULL, NULL, NULL",
+))
+def pdf_structure(spark, sf_dir):
+    """Headings by size, joined lines, lists, code, tables; cover and furniture go."""
+    return _shown(V.block_rows(V.read_documents(_files(spark, sf_dir, _pdf, "pdf"))))
+
+
+@query("SELECT p_partkey, u.* FROM part, (VALUES ('coverLines', 'Book of ' || p_name || ', Second edition'), ('pdfFurnitureDropped', '6'), ('pdfTables', '1')) u(metric, value)")
+def pdf_report(spark, sf_dir):
+    from ..operators.report import long_form
+
+    return long_form(V.read_documents(_files(spark, sf_dir, _pdf, "pdf"))).withColumnRenamed("doc_id", "p_partkey")
+
+
+@query("""
+    WITH s AS (SELECT p_brand, p_size, sum(length(p_name)) AS w FROM part GROUP BY ALL), b AS (SELECT p_brand, arg_max(p_size, (w, -p_size)) AS body FROM s GROUP BY 1)
+    SELECT s.p_brand, s.p_size, CAST(least(6, dense_rank() OVER (PARTITION BY s.p_brand ORDER BY s.p_size DESC)) AS INT) AS level FROM s JOIN b USING (p_brand) WHERE s.p_size > LARGER * body""".replace("LARGER", str(pdf.LARGER)))
+def font_ladder(spark, sf_dir):
+    """A PDF per brand with a line in each size; those larger than the size of most characters are headings."""
+    from .samples import Sheet, generated
+    from .samples import pdf as pdf_of
+
+    def make(lines):
+        sheet = Sheet(5000, 100 * len(lines) + 100)
+        for i, line in enumerate(lines):
+            sheet.put(line["text"], 50, 90 + 100 * i, line["size"])
+        return pdf_of(sheet)
+
+    sizes = _table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.sum(F.length("p_name")).cast("int").alias("w"))
+    line = F.struct(F.col("p_size").alias("size"), F.concat(F.col("p_size").cast("string"), F.repeat(F.lit("x"), F.col("w") - F.length(F.col("p_size").cast("string")))).alias("text"))
+    docs = sizes.groupBy("p_brand").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    files = docs.select(F.col("p_brand").alias("doc_id"), F.lit("a.pdf").alias("filename"), F.lit("pdf").alias("fmt"), generated(make, "lines").alias("content"))
+    heads = V.block_rows(V.read_documents(files)).where("kind = 'heading'")
+    return heads.select(F.col("doc_id").alias("p_brand"), F.regexp_extract("text", "^[0-9]+", 0).cast("int").alias("p_size"), "level")
+
+
+# --- whole conversions -----------------------------------------------------------------
+
+
+@query(r"""
+    SELECT doc_id, 0 AS pos, 'para' AS kind, NULL::INT AS level, trim(replace(text, chr(10), ' '), ' ' || chr(9)) AS text FROM documents WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10)) <> ''""")
+def markdown_blocks(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("doc_id", F.lit(".md")).alias("filename"), F.lit("markdown").alias("fmt"), F.col("text").alias("content"))
+    return V.block_rows(V.read_documents(docs)).select("doc_id", "pos", "kind", "level", "text")
+
+
+@query(f"""
+    WITH b0 AS ({_SQL}), d AS (SELECT doc_id, pos, level FROM b0 WHERE kind = 'heading' AND text = 'Contents'),
+    e AS (SELECT d.doc_id, d.pos, min(x.pos) AS stop FROM d LEFT JOIN b0 x ON x.doc_id = d.doc_id AND x.kind = 'heading' AND x.pos > d.pos AND x.level <= d.level GROUP BY ALL),
+    b1 AS (SELECT * FROM b0 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = b0.doc_id AND b0.pos >= e.pos AND (e.stop IS NULL OR b0.pos < e.stop))),
+    b2 AS (SELECT * FROM (SELECT *, min(CASE WHEN kind = 'heading' AND text <> '' THEN pos END) OVER (PARTITION BY doc_id) AS first FROM b1) WHERE first IS NULL OR pos >= first),
+    s AS (SELECT *, sum(CASE WHEN kind IN ('code', 'blank') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM b2),
+    c AS (SELECT *, min(CASE WHEN kind = 'code' THEN pos END) OVER w AS a, max(CASE WHEN kind = 'code' THEN pos END) OVER w AS z FROM s WHERE kind IN ('code', 'blank') WINDOW w AS (PARTITION BY doc_id, g)),
+    b3 AS (SELECT doc_id, pos, kind, level, text FROM b2 WHERE kind NOT IN ('code', 'blank')
+           UNION ALL SELECT doc_id, a, 'code', NULL, replace(replace(string_agg(coalesce(text, ''), chr(10) ORDER BY pos), '“', '"'), '”', '"') FROM c WHERE pos BETWEEN a AND z GROUP BY doc_id, a),
+    t AS (SELECT *, CASE WHEN kind = 'heading' THEN {_TITLE} END AS title FROM b3),
+    l AS (SELECT *, coalesce(title IN ('Parameters:', 'Response (HTTP 200)'), FALSE) AS label FROM t WHERE title IS NULL OR title <> ''),
+    r AS (SELECT *, least(6, 3, 1 + dense_rank() OVER (PARTITION BY doc_id, kind = 'heading' AND NOT label ORDER BY level)) AS depth FROM l),
+    m AS (SELECT doc_id, pos, CASE WHEN label THEN '**' || title || '**' WHEN kind = 'heading' THEN repeat('#', depth::INT) || ' ' || replace(replace(title, '{{', '\\{{'), '}}', '\\}}')
+              WHEN kind = 'code' THEN '```sql' || chr(10) || text || chr(10) || '```' WHEN text LIKE 'Nota: %' THEN '<Callout icon="📘" theme="info">' || chr(10) || substr(text, 7) || chr(10) || '</Callout>' ELSE text END AS line FROM r)
+    SELECT x.doc_id, regexp_replace(string_agg(line, chr(10) || chr(10) ORDER BY pos), '\\n{{3,}}', chr(10) || chr(10), 'g') || chr(10) AS body FROM (SELECT DISTINCT doc_id FROM b0) x JOIN m USING (doc_id) GROUP BY x.doc_id""")
+def render_blocks(spark, sf_dir):
+    return R.render(P.apply_passes(_blocks(spark, sf_dir), Options())).select("doc_id", "body")
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
+    p AS (SELECT doc_id, i, n, trim(line, ' ' || chr(9)) AS line, CASE WHEN i = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'B' END AS title, CASE WHEN i = 0 THEN CAST(doc_id AS VARCHAR) WHEN i = 1 THEN 'b' ELSE 'b-' || i END AS slug FROM l),
+    q AS (SELECT doc_id, i::INT AS section, slug || '.md' AS path, title, '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'hidden: true' || chr(10) || '---' || chr(10) || chr(10)
+              || CASE WHEN i = 0 THEN '## A' || CASE WHEN line <> '' THEN chr(10) || chr(10) ELSE '' END ELSE '' END || line || chr(10) AS text, slug FROM p)
+    SELECT doc_id, section, path, title, text FROM q UNION ALL SELECT doc_id, -1, '_order.yaml', NULL, string_agg('- ' || slug || chr(10), '' ORDER BY section) FROM q GROUP BY doc_id""")
+def split_pages(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("doc_id", F.lit(".md")).alias("filename"), F.lit("markdown").alias("fmt"), F.concat(F.lit("# A\n\n"), F.regexp_replace("text", "\n", "\n\n## B\n\n")).alias("content"))
+    return V.convert(docs, Options(split=2, max_level=6)).select("doc_id", "section", "path", "title", "text")
+
+
+_REPORTED = "cover {name}\n\n# One {key}\n\n## Contents\n\n### Changelog\n\ngone\n\n## ...\n\n## Parameters:\n\nNota: {name}\n\n```\ncurl “{key}”\n```\n\n#### Deep\n\n###### Deeper\n\n# Changelog\n"
+
+
+@query("""
+    SELECT p_partkey, u.* FROM part, (VALUES ('blocksIn', '12'), ('droppedSections', 'Contents, Changelog'), ('coverLines', 'cover ' || p_name), ('codeBlocks', '1'), ('autocorrectFixes', '2'), ('callouts', '1'), ('emptyHeadings', '1'),
+        ('demoted', 'Parameters:'), ('headingMap', 'h1→h2, h4→h3, h6→h3'), ('collapsedLevels', 'h4, h6'), ('mdCodeBlocks', '1')) u(metric, value)""")
+def pass_reports(spark, sf_dir):
+    """K7: what the passes did to each document."""
+    from ..operators.kept import kept
+    from ..operators.report import reports
+
+    read = kept(V.read_documents(_from_part(spark, sf_dir, _REPORTED, "markdown")), "report-blocks")
+    return reports(read, Options()).withColumnRenamed("doc_id", "p_partkey")
+
+
+def _archives(spark, sf_dir):
+    """A zip of a region's nations as Markdown, with a specification and noise."""
     from ..sources.sinks import zips
+
+    rows = _sources(spark, sf_dir).withColumn("archive", F.concat(F.element_at(F.split("src_path", "/"), 1), F.lit(".zip")))
+    text = F.concat(F.lit("# "), "body", F.lit("\n\nText of {it}\n\n```\nx\n```\n"))
+    pages = rows.select("archive", F.col("src_path").alias("path"), text.alias("text"))
+    more = rows.select("archive").distinct().select("archive", F.explode(F.array(F.struct(F.lit("api/pet.yaml").alias("path"), F.lit("openapi: 3").alias("text")), F.struct(F.lit("__MACOSX/x.md").alias("path"), F.lit("x").alias("text")), F.struct(F.lit("bad.docx").alias("path"), F.lit("PK").alias("text")))).alias("m"))
+    return zips(pages.unionByName(more.select("archive", "m.path", "m.text")).withColumn("data", F.lit(None).cast("binary"))).withColumnRenamed("archive", "path")
+
+
+_STEM = "CASE WHEN n_nationkey % 3 = 0 THEN lpad(CAST(25 - n_nationkey AS VARCHAR), 2, '0') || ' ' ELSE '' END || replace(n_name, '_', ' ')"
+
+
+@query(f"""
+    WITH o AS (SELECT r_name || '.zip' AS archive, 'docs/' || r_name AS base, {_SLUG} AS slug, n_name, {_STEM} AS title, CASE WHEN n_nationkey % 3 = 0 THEN 25 - n_nationkey ELSE 9007199254740991 END AS o, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT archive, base || '/' || slug || '.md' AS path, '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'hidden: true' || chr(10) || '---' || chr(10) || chr(10) || '## ' || n_name || chr(10) || chr(10) || 'Text of \\{{it\\}}' || chr(10) || chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' || chr(10) AS text FROM o
+    UNION ALL SELECT archive, base || '/_order.yaml', string_agg('- ' || slug || chr(10), '' ORDER BY o, slug) FROM o GROUP BY ALL
+    UNION ALL SELECT DISTINCT archive, 'docs/_order.yaml', '- ' || r_name || chr(10) FROM o
+    UNION ALL SELECT DISTINCT archive, 'reference/pet.yaml', 'openapi: 3' FROM o UNION ALL SELECT DISTINCT archive, 'reference/_order.yaml', '- pet' || chr(10) FROM o
+    UNION ALL SELECT DISTINCT archive, 'bad.docx', 'failed' FROM o""")
+def archive_to_folder(spark, sf_dir):
+    """Zips of documents to the files of documentation folders, each on its own."""
     from .archive import convert_archives
 
-    rows = _sources(spark, sf_dir).select(F.lit("all.zip").alias("archive"), F.col("src_path").alias("path"), F.concat(F.lit("# "), "body", F.lit("\n\nText of {it}\n")).alias("text"), F.lit(None).cast("binary").alias("data"))
-    return convert_archives(zips(rows).withColumnRenamed("archive", "path"))
+    out = convert_archives(_archives(spark, sf_dir))
+    return out.select("archive", "path", F.coalesce("text", F.decode("data", "UTF-8"), F.when(F.col("error").isNotNull(), "failed")).alias("text"))
+
+
+@query("""
+    WITH n AS (SELECT r_name || '.zip' AS archive, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
+    SELECT archive, u.* FROM n, (VALUES ('categories', '1'), ('pages', CAST(n AS VARCHAR)), ('codeBlocks', CAST(n AS VARCHAR)), ('specs', '1')) u(metric, value)""")
+def archive_report(spark, sf_dir):
+    """Counts of the layout and sums over members."""
+    from .archive import archive_reports
+
+    return archive_reports(_archives(spark, sf_dir)).where("metric <> 'failed'")
+
+
+_DEEP = """
+    SELECT concat('Cat/', lpad(CAST(p_size AS STRING), 2, '0'), '-S', CAST(p_size AS STRING), CASE WHEN p_partkey % 4 = 0 THEN '/Deep' WHEN p_partkey % 4 = 1 THEN '/Deep/Deeper/End' ELSE '' END, '/', CAST(p_partkey AS STRING), '.md') AS src_path, concat(p_name, ' ', CAST(p_partkey AS STRING)) AS body FROM {part}"""
+
+
+@query(f"""
+    WITH d AS ({_DEEP.format(part="part").replace("STRING", "VARCHAR")}), k AS (SELECT *, string_split(src_path, '/') AS ps FROM d),
+    f AS (SELECT body, replace(regexp_replace(ps[2], '^[0-9]+-', ''), 'S', 's') AS s, len(ps) - 1 AS depth, replace(ps[-1], '.md', '') AS stem FROM k)
+    SELECT CASE depth WHEN 2 THEN 'docs/Cat/' || s || '/p-' || stem || '.md' WHEN 3 THEN 'docs/Cat/' || s || '/deep/p-' || stem || '.md' ELSE 'docs/Cat/' || s || '/deep/deeper-end-p-' || stem || '.md' END AS path, body AS text FROM f
+    UNION SELECT 'docs/Cat/' || s || '/index.md', '---' || chr(10) || 'title: "' || upper(s[1]) || s[2:] || '"' || chr(10) || 'hidden: true' || chr(10) || '---' || chr(10) FROM f
+    UNION SELECT 'docs/Cat/' || s || '/deep/index.md', '---' || chr(10) || 'title: "Deep"' || chr(10) || 'hidden: true' || chr(10) || '---' || chr(10) FROM f WHERE depth > 2""")
+def layout_deep(spark, sf_dir):
+    """Folders to three levels, pages of folders, flattening."""
+    docs = spark.sql(_DEEP, part=_table(spark, sf_dir, "part"))
+    slug = F.concat(F.lit("p-"), F.regexp_extract("src_path", r"([0-9]+)\.md$", 1))
+    return L.layout(docs.withColumn("slug", slug)).where("path not like '%_order.yaml'")
+
+
+# --- functions ---------------------------------------------------------------------------
+
+
+@query(r"""
+    SELECT p_partkey, 'curl --data-urlencode ''' || p_name || ''' \' || chr(10) || '  --cert /path/' || p_partkey || chr(10) || '  {' || chr(10) || '    "a": 1' || chr(10) || '  } \' AS code,
+        p_name AS bare, 'p &lt;' || p_brand || '&gt; &amp;' AS html, 'colSpan={2} rowSpan={' || p_partkey || '} x="1"' AS attrs, replace(p_name, ' ', ' ') AS title,
+        p_partkey % 3 = 0 AS is_index, 'http://e.org/%7B' || p_partkey || '%7D \_a\_ \{' || p_name || '\}' AS inline, 'docs/' || p_partkey || '.md' AS published FROM part""")
+def text_functions(spark, sf_dir):
+    """E4, E5, E11, E20, E22, E23, E26, E27, K4 over the part table."""
+    import pandas as pd
+
+    from ..functions import text as X
+    from ..sources.sinks import published_paths
+
+    def column(fn):
+        return F.pandas_udf(lambda values: pd.Series([fn(v) for v in values]), "string")
+
+    key = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit("\n\n    curl --data \\\n  -urlencode '"), "p_name", F.lit("' \\\n\\\n      --cert \\\n  /path/"), key, F.lit("  \n      {\n        \"a\": 1\n      }\n\\\n"))
+    front = F.concat(F.lit("---\ntitle: x\n---\n\n"), "p_name")
+    stem = F.when(F.col("p_partkey") % 3 == 0, "02-Index").when(F.col("p_partkey") % 3 == 1, "indexes").otherwise("page")
+    out = _table(spark, sf_dir, "part").select(
+        "p_partkey", column(lambda t: X.unwrap_code(t.split("\n")))(code).alias("code"), C.strip_page_frontmatter(front).alias("bare"), C.escape_html(F.concat(F.lit("p <"), "p_brand", F.lit("> &"))).alias("html"),
+        column(X.cell_attrs)(F.concat(F.lit(' COLSPAN = "2" rowspan="'), key, F.lit('" x="1" '))).alias("attrs"), C.title_fallback(F.concat(F.lit("d/"), F.replace("p_name", F.lit(" "), F.lit("_-")), F.lit(".docx"))).alias("title"),
+        C.is_index_name(stem).alias("is_index"), column(X.escape_inline)(F.concat(F.lit("http://e.org/{"), key, F.lit("} _a_ {"), "p_name", F.lit("}"))).alias("inline"), F.concat(key, F.lit(".md")).alias("path"),
+    )
+    return published_paths(out).withColumnRenamed("path", "published")
+
+
+@query("""
+    SELECT r_regionkey, '| Nation | Key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS page
+    FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def render_pipe_table(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cells = F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_name"), F.col("n_nationkey").cast("string")).alias("c"))))
+    table = rows.groupBy("r_regionkey").agg(cells.alias("x")).select("r_regionkey", F.concat(F.array(F.array(F.lit("**Nation**"), F.lit("Key"))), F.transform("x", lambda x: x["c"])).alias("rows"))
+    return table.select("r_regionkey", R.pipe_table(F.col("rows")).alias("page"))
+
+
+@query("""
+    SELECT p_partkey, lower(replace(p_brand, '#', '-')) || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug
+    FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)""")
+def slug_dedupe(spark, sf_dir):
+    """B10 where all relatives are equal: brands are apart, as their numbers end names too."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", C.slugify(F.col("p_brand")).alias("slug"))
+    return free_names(part, ["p_brand"], [F.col("p_partkey")], "slug").select("p_partkey", "slug")
+
+
+@query("""
+    SELECT o_orderkey, l_linenumber, 'images/order-' || o_orderkey || '-' || lpad(CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS VARCHAR), 2, '0') || '.png' AS image
+    FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey""")
+def image_numbering(spark, sf_dir):
+    """D18 over a document per order, whose lines each refer to a picture of their own."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct().join(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    rid = F.col("l_linenumber").cast("string")
+    blocks = lines.select(F.col("o_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.array(rid).alias("images"), F.array(F.lit(".png")).alias("exts"), F.struct(F.format_string("order-%d.docx", "o_orderkey").alias("filename")).alias("whole"))
+    return R.numbered_images(blocks, "images").select(F.col("doc_id").alias("o_orderkey"), F.col("pos").alias("l_linenumber"), F.get("urls", F.lit(0)).alias("image"))
+
+
+_CHAIN = """
+    WITH RECURSIVE styles(sid, base, level) AS (SELECT * FROM (VALUES ('a', NULL, 1), ('b', 'a', NULL), ('c', 'b', NULL), ('d', 'e', NULL), ('e', 'd', NULL), ('f', 'c', 3)) v(sid, base, level)),
+    up AS (SELECT sid, base AS at, level, 0 AS depth FROM styles UNION ALL SELECT up.sid, s.base, s.level, depth + 1 FROM up JOIN styles s ON up.at = s.sid WHERE up.level IS NULL AND depth < 10)
+    SELECT p_partkey, sid, max(level) AS level FROM up, part GROUP BY ALL"""
+
+
+@query(_CHAIN)
+def style_inherit(spark, sf_dir):
+    """D3: the chain as the styles of a Word file per part, with a paragraph of each style; the levels are those of the blocks read."""
+
+    def make(key, name, kind, brand):
+        from .samples import Style, Word
+
+        chain = (("a", "", 1), ("b", "a", 0), ("c", "b", 0), ("d", "e", 0), ("e", "d", 0), ("f", "c", 3))
+        word = Word(styles=tuple(Style(sid, level=level, parent=up) for sid, up, level in chain))
+        for sid, _, _ in chain:
+            word.add(sid, style=sid)
+        return word.packed()
+
+    return V.block_rows(V.read_documents(_files(spark, sf_dir, make, "docx"))).select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("sid"), "level")

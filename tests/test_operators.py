@@ -8,10 +8,11 @@ from inkmill.operators import passes as P
 from inkmill.operators.blocks import FIELDS, records
 from inkmill.operators.layout import assets, layout, specifications
 from inkmill.operators.render import pipe_table, render
-from inkmill.operators.report import hazards
+from inkmill.operators.names import first_free, free_names
+from inkmill.operators.report import hazards, reports
 from inkmill.options import Options, from_choices
 from inkmill.plans import samples as G
-from inkmill.plans.archive import convert_archives, member_errors
+from inkmill.plans.archive import archive_reports, convert_archives, member_errors
 from inkmill.plans.convert import block_rows, convert, read_documents
 from inkmill.sources import formats
 from inkmill.sources.sinks import free_paths, published_paths, zip_bytes, zips
@@ -91,7 +92,7 @@ def test_pipe_table_edges(spark):
 def test_convert(spark):
     files = spark.createDataFrame(
         [
-            (1, "my-doc.md", "markdown", bytearray(b"---\ntitle: X\nslug: keep\nexcerpt: e\nmetadata:\n  a: 1\nhidden: false\n---\n# One\n\ntext <T>\n")), (2, "w.docx", "docx", bytearray(G.docx(G.para(G.run("Head"), style="Heading1") + G.para(G.run("b"))))),
+            (1, "my-doc.md", "markdown", bytearray(b"---\ntitle: X\nslug: keep\nexcerpt: e\nmetadata:\n  a: 1\nhidden: false\n---\n# One\n\ntext <T>\n")), (2, "w.docx", "docx", bytearray(G.Word().add("Head", style="Part").add("b").packed())),
             (3, "bad.docx", "docx", bytearray(b"PK")), (4, "p.html", "html", bytearray("<title>Ü</title><h1>Z</h1><p>q".encode())), (5, "e.md", "markdown", None),
         ],
         "doc_id int, filename string, fmt string, content binary",
@@ -154,9 +155,10 @@ HOSTILE = "Send <YOUR_TOKEN> and {\"a\": 1} if a < b and c > d"
 def test_hostile_text_is_safe_in_every_format(spark):
     text = HOSTILE.replace("&", "&amp;")
     xml = text.replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+    word = G.Word().add(HOSTILE, style="Part").add(HOSTILE).add(HOSTILE, list_of="dots")
     files = [
         ("m", "m.md", "markdown", f"# {text}\n\n{text}\n\n- {text}\n\n| {text} |\n|--|--|\n| x |\n\n```\n{text}\n```\n".encode()), ("h", "h.html", "html", f"<h1>{xml}</h1><p>{xml}<ul><li>{xml}</ul><table><tr><td>{xml}</table>".encode()),
-        ("d", "d.docx", "docx", G.docx(G.para(G.run(xml), style="Heading1") + G.para(G.run(xml)) + G.para(G.run(xml), num="1"))), ("p", "p.pdf", "pdf", G.pdf([[(HOSTILE, 72, 700, "F1", 18), (HOSTILE + " in the body of it.", 72, 650, "F1", 11)]])),
+        ("d", "d.docx", "docx", word.packed()), ("p", "p.pdf", "pdf", G.pdf(G.Sheet().put(HOSTILE, 60, 90, 18).put(HOSTILE + " in the body of it.", 60, 140))),
     ]
     df = spark.createDataFrame([(a, b, c, bytearray(d)) for a, b, c, d in files], "doc_id string, filename string, fmt string, content binary")
     for r in convert(df).select("doc_id", "error", hazards(F.col("text")).alias("n")).collect():
@@ -189,12 +191,13 @@ def test_streaming(spark, tmp_path):
 
 
 def picture_doc():
-    def p(*rids, text=""):
-        return "<w:p>" + (G.run(text) if text else "") + "".join(f'<w:r><a:blip r:embed="{r}"/></w:r>' for r in rids) + "</w:p>"
-
-    body = p("r1") + G.para(G.run("One"), style="Heading1") + p("r2", text="seen") + p("r9", "r3") + p("r2") + G.para(G.run("Contents"), style="Heading1") + p("r4") + G.para(G.run("Two"), style="Heading1") + p("r5")
-    rels = "".join(f'<Relationship Id="r{i}" Target="media/p{i}.PNG"/>' for i in (1, 2, 4)) + '<Relationship Id="r3" Target="media/p3"/><Relationship Id="r5" Target="word/media/p5.gif"/>'
-    return G.docx(body, rels, "", {f"word/media/{n}": n.encode() for n in ("p1.PNG", "p2.PNG", "p3", "p4.PNG", "p5.gif")})
+    word = G.Word()
+    pictures = {n: word.picture(f"media/{n}", n.encode()) for n in ("p1.PNG", "p2.PNG", "p3", "p4.PNG")}
+    pictures["p5.gif"] = word.picture("word/media/p5.gif", b"p5.gif", "word/media/p5.gif")
+    missing = word.picture("media/p9.png")
+    word.add(pictures["p1.PNG"]).add("One", style="Part").add("seen", pictures["p2.PNG"]).add(missing, pictures["p3"]).add(word.same_picture("k2"))
+    word.add("Contents", style="Part").add(pictures["p4.PNG"]).add("Two", style="Part").add(pictures["p5.gif"])
+    return word.packed()
 
 
 def test_images_of_word_documents(spark):
@@ -219,6 +222,59 @@ def test_assets_beside_pages(spark):
     }
 
 
+def test_archives_apart(spark):
+    """A run's title, splitting and folder are not a member's; archives don't meet; one without documents is an error."""
+    word = G.Word().add("W", style="Part")
+    word.add(word.picture("media/x.png", b"png"))
+    one = bytearray(zip_bytes([("g/01-a.md", b"# A\n\n# B\n\nx"), ("g/w.docx", word.packed()), ("g/keep.md", b"---\nslug: kept\n---\ny")]))
+    two = bytearray(zip_bytes([("g/01-a.md", b"# Other\n\nx"), ("api.json", b'{"openapi": 1}')]))
+    none = bytearray(zip_bytes([("notes.csv", b"x"), ("api.json", b'{"openapi": 1}')]))
+    df = spark.createDataFrame([("1.zip", one), ("2.zip", two), ("3.zip", none), ("4.zip", bytearray(b"PK"))], "path string, content binary")
+    rows = convert_archives(df, Options(title="Run title", split=1, category=" Cat ", no_frontmatter=True)).collect()
+    got = {(r.archive, r.path): r.text for r in rows if r.text is not None}
+    assert got["1.zip", "docs/g/a.md"] == '---\ntitle: "01 a"\nhidden: true\n---\n\n## A\n\n## B\n\nx\n' and "## Other" in got["2.zip", "docs/g/a.md"]
+    assert got["1.zip", "docs/g/_order.yaml"] == "- a\n- kept\n- w\n" and got["1.zip", "docs/_order.yaml"] == "- g\n"
+    assert "![](images/w-01.png)" in got["1.zip", "docs/g/w.md"] and [bytes(r.data) for r in rows if r.path == "docs/g/images/w-01.png"] == [b"png"]
+    assert {(r.archive, r.path) for r in rows if r.data is not None and r.path.startswith("reference")} == {("2.zip", "reference/_order.yaml"), ("2.zip", "reference/api.json")}
+    assert {r.archive: r.path for r in rows if r.error} == {"3.zip": None, "4.zip": None} and len([r for r in rows if r.error]) == 2
+
+
+def test_archive_report(spark):
+    data = zip_bytes([("g/a.md", b"# A\n\n```\nx\n```\n\nNota: y\n\n<T>"), ("g/A.md", b"# A\n\n```\nz\n```"), ("g/h/i/j/k.md", b"k"), ("loose.md", b"q"), ("bad.pdf", b"%PDF-")])
+    rows = [(r.metric, r.value) for r in archive_reports(spark.createDataFrame([("a.zip", bytearray(data))], "path string, content binary")).collect()]
+    found = dict(rows)
+    assert found["codeBlocks"] == "2" and found["callouts"] == "1" and found["mdEscapedTags"] == "1" and found["categories"] == "2" and found["pages"] == "4" and found["parents"] == "2" and found["stubs"] == "2"
+    assert found["failed"].startswith("bad.pdf: ") and "loose documents" in found["note"]
+    assert sorted(v for k, v in rows if k == "warning") == ['"a" is taken in "g": the later one is "a-2"', '"g/h/i/j" is deeper than 3 page levels: its pages are in "g/h/i"']
+
+
+def test_reports_of_passes(spark):
+    text = "cover line\n\n# One\n\n## Contents\n\n### Changelog\n\ngone\n\n## ...\n\n## Parameters:\n\nNota: x\n\n```\ncurl “a”\n```\n\n#### Deep\n\n###### Deeper\n\n# Changelog\n"
+    files = spark.createDataFrame([(1, "d.md", "markdown", text)], "doc_id int, filename string, fmt string, content string")
+    got = {r.metric: r.value for r in reports(read_documents(files), Options()).collect()}
+    assert got == {
+        "blocksIn": "12", "droppedSections": "Contents, Changelog", "coverLines": "cover line", "codeBlocks": "1", "autocorrectFixes": "2", "callouts": "1", "emptyHeadings": "1", "demoted": "Parameters:",
+        "headingMap": "h1→h2, h4→h3, h6→h3", "collapsedLevels": "h4, h6", "mdCodeBlocks": "1",
+    }
+
+
+def test_free_names(spark):
+    names = ["page", "page", "Page", "page-2", "a", "a", "a-2-2", "a-2", "b-1", "b-2", "a"]
+    rows = spark.createDataFrame([(d, i, n) for d in ("x", "y") for i, n in enumerate(names)], "d string, i int, n string")
+    for fold in (True, False):
+        got = {(r.d, r.i): r.n for r in free_names(rows, ["d"], [F.col("i")], "n", fold).collect()}
+        assert got == {(d, i): n for d in ("x", "y") for i, n in enumerate(first_free(names, fold))}
+    assert first_free(["a", "a", "a-2", "a"]) == ["a", "a-2", "a-2-2", "a-3"]
+
+
+def test_documents_are_read_once(spark):
+    """One pass over the documents, whatever becomes of them."""
+    files = spark.createDataFrame([(1, "d.md", "markdown", "# A\n\nx")], "doc_id int, filename string, fmt string, content string")
+    for options in (Options(), Options(split=1), Options(no_callouts=True, no_frontmatter=True)):
+        plan = convert(files, options)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and plan.count("Exchange hashpartitioning") == 2, plan
+
+
 def test_split_keeps_documents_without_blocks(spark):
     files = spark.createDataFrame([(1, "gone.md", "markdown", "# Contents\n\nx\n")], "doc_id int, filename string, fmt string, content string")
     rows = {r.path: r.text for r in convert(files, Options(split=1, no_frontmatter=True)).collect()}
@@ -226,15 +282,6 @@ def test_split_keeps_documents_without_blocks(spark):
 
 
 def test_pdf_cover_is_kept(spark):
-    pages = [[("Open API", 120, 500, "F1", 28), ("Guide", 130, 450, "F1", 22)], [("Intro", 72, 700, "F1", 16), ("Ordinary body copy on the second page of it.", 72, 660, "F1", 11)]]
-    files = spark.createDataFrame([(1, "a.pdf", "pdf", bytearray(G.pdf(pages)))], "doc_id int, filename string, fmt string, content binary")
+    pages = [G.Sheet().put("Open API", 120, 300, 28).put("Guide", 130, 350, 22), G.Sheet().put("Intro", 60, 90, 16).put("Ordinary body copy on the second page of it.", 60, 130)]
+    files = spark.createDataFrame([(1, "a.pdf", "pdf", bytearray(G.pdf(*pages)))], "doc_id int, filename string, fmt string, content binary")
     assert ["Open API" in r.text for r in convert(files, Options(keep_cover=True)).collect()] == [True]
-
-
-def test_style_inherit_reads_a_word_file(spark, monkeypatch):
-    from inkmill.plans import registry
-
-    read = []
-    monkeypatch.setattr(registry.V, "read_documents", lambda files: read.append(files) or read_documents(files))
-    rows = registry.style_inherit(spark, "")
-    assert read and {r.sid: r.level for r in rows.collect()} == {"a": 1, "b": 1, "c": 1, "d": None, "e": None, "f": 3}

@@ -94,24 +94,23 @@ def test_tables_around():
 
 
 def test_docx():
-    body = (
-        G.para(G.run("Contents"), style="TOC1") + G.para(G.run("One"), style="Heading1") + G.para(G.run("Sub one"), style="Sub")
-        + G.para(G.run("a ", "<w:b/>"), G.run("b", "<w:b/>"), G.run(" hid", "<w:vanish/>"), G.run(" {c}", "<w:i/>"), G.run("x", "<w:strike/>"))
-        + G.para(G.run("let x"), style="Code") + G.para() + G.para(G.run("i"), num="1") + G.para(G.run("n"), num="2")
-        + '<w:p><w:hyperlink r:id="r1"><w:r><w:t>go</w:t></w:r></w:hyperlink><w:r><a:blip r:embed="r2"/></w:r><w:r><a:blip r:embed="r9"/></w:r></w:p>'
-        + "<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val=\"2\"/></w:tcPr>" + G.para(G.run("h|")) + G.para(G.run("k")) + "</w:tc></w:tr></w:tbl>"
-    )
-    rels = '<Relationship Id="r1" Target="http://a/b (c)"/><Relationship Id="r2" Target="media/p.png"/>'
-    data = G.docx(body, rels, "Core", {"word/media/p.png": b"png"})
+    word = G.Word("Core")
+    word.add("Contents", style="Index").add("One", style="Part").add("Sub one", style="SubTopic")
+    word.add(word.text("a ", "b"), word.text("b", "b"), word.text(" hid", "vanish"), word.text(" {c}", "i", "b=0"), word.text("x", "strike"))
+    word.add("let x", style="Listing").add().add("i", list_of="dots").add("n", list_of="steps", depth=1)
+    word.add(word.link("go", "http://a/b (c)"), word.link("up", "#top"), word.picture("media/p.png", b"png"), word.picture("media/gone.png"))
+    word.table([([word.paragraph("h|"), word.paragraph("k")], 2)])
+    word.add(G.node("smartTag", G.Word.text("in")), G.node("del", G.Word.text("out")), G.node("ins", G.Word.text("to\nit")))
+    data = word.packed()
     blocks, report = docx_to_blocks(data)
     assert report["docxTitle"] == "Core"
     assert kinds(blocks) == [
         ("toc", None), ("heading", "One"), ("heading", "Sub one"), ("para", "**a b** *\\{c\\}*~~x~~"), ("code", "let x"), ("blank", None), ("list", "i"), ("list", "n"),
-        ("para", "[go](http://a/b%20%28c%29)"), ("table", None),
+        ("para", "[go](http://a/b%20%28c%29)up"), ("table", None), ("para", "into\nit"),
     ]
-    assert blocks[2]["level"] == 2 and [b["ordered"] for b in blocks[6:8]] == [False, True]
-    assert blocks[9]["rows"] == [["h\\|<br />k", ""]] and blocks[8]["images"] == ["r2", "r9"]
-    assert docx_document(data)[2] == [("r2", b"png")] and blocks[8]["exts"] == [".png", None]
+    assert blocks[2]["level"] == 2 and [(b["ordered"], b["level"]) for b in blocks[6:8]] == [(False, 0), (True, 1)]
+    assert blocks[9]["rows"] == [["h\\|<br />k", ""]] and blocks[8]["images"] == ["k3", "k4"]
+    assert docx_document(data)[2] == [("k3", b"png")] and blocks[8]["exts"] == [".png", None]
     with pytest.raises(ValueError, match="older Word"):
         docx_to_blocks(b"\xd0\xcf" + b"\0" * 600)
 
@@ -147,7 +146,7 @@ def test_pdf_furniture_and_cover():
 
 
 def test_pdf_file():
-    data = G.pdf([[("Head", 72, 700, "F1", 18), ("Body copy (one) of this page \\ here.", 72, 660, "F1", 11), ("let x", 72, 620, "F2", 10)]])
-    assert kinds(pdf_to_blocks(data)[0]) == [("heading", "Head"), ("para", "Body copy (one) of this page \\\\ here."), ("code", "let x")]
+    sheet = G.Sheet().put("Head", 60, 90, 18).put("Body copy (one) of this page \\ here.", 60, 130).put("let x", 60, 170, 10, fixed=True)
+    assert kinds(pdf_to_blocks(G.pdf(sheet))[0]) == [("heading", "Head"), ("para", "Body copy (one) of this page \\\\ here."), ("code", "let x")]
     with pytest.raises(ValueError, match="scanned"):
-        pdf_to_blocks(G.pdf([[]]))
+        pdf_to_blocks(G.pdf(G.Sheet()))
