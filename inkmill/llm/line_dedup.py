@@ -42,7 +42,7 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = 1) ->
     named = rows.where("host <> ''").select("host", "page_id", F.array_distinct(F.transform("lines", _digest)).alias("ds"))
     each = named if single else named.select("host", "page_id", F.explode_outer("ds").alias("d")).distinct().groupBy("host", "page_id").agg(F.collect_list("d").alias("ds"))
     hosts = each.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = each.select("host", F.explode_outer("ds").alias("d")).where("d is not null").groupBy("host", "d")  # outer: else the digests are made twice.agg(F.count(F.lit(1)).alias("k"))
+    counts = each.select("host", F.explode_outer("ds").alias("d")).where("d is not null").groupBy("host", "d").agg(F.count(F.lit(1)).alias("k"))  # outer: else the digests are made twice
     counts = stash(counts.where(F.col("k") > ratio * least_pages), "line-counts")  # any host that is cleaned has that many pages
     sizes = counts.groupBy("host").agg(F.count(F.lit(1)).alias("_lines"))
     often = attach(counts, hosts.join(sizes, "host"), ["host"], "_lines", counts.count()).where((F.col("pages") >= least_pages) & (F.col("k") > ratio * F.col("pages")))
