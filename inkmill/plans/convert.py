@@ -122,7 +122,7 @@ def pages_of(read: DataFrame, options: Options, image_urls: DataFrame | None = N
     """What ``convert`` returns, with the reader's report of each document on its first row.
 
     What belongs to a document as a whole travels as a row before its blocks, so documents are read in one pass, however many results they
-    have; rows are dealt by doc_id before the passes, and once more after the Python step that cleans code.
+    have; rows are dealt by doc_id before the passes, and again after the Python step that cleans code and, when split, after that which indents lists.
     """
     rows = apply_passes(document_rows(read), options)
     rows = with_own_images(numbered_images(rows, options.image_dir)) if image_urls is None else with_images(rows, image_urls).withColumn("urls", F.lit(None).cast("array<string>"))
@@ -136,7 +136,10 @@ def pages_of(read: DataFrame, options: Options, image_urls: DataFrame | None = N
     )
     parts = render(rows.withColumn("section", F.col("section").cast("int")), options.callout_style, ("doc_id", "section"), more)
     one = F.struct("section", "section_title", "body", "n")
-    docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("parts"), F.first("whole", ignorenulls=True).alias("whole"), F.flatten(F.collect_list("shown")).alias("shown"))
+    if options.split:
+        docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("parts"), F.first("whole", ignorenulls=True).alias("whole"), F.flatten(F.collect_list("shown")).alias("shown"))
+    else:
+        docs = parts.select("doc_id", F.array(one).alias("parts"), "whole", "shown")
     some = F.filter("parts", lambda p: (p["n"] > 0) | p["section_title"].isNotNull())
     docs = docs.withColumn("parts", F.when(F.size(some) > 0, some).otherwise(F.slice("parts", 1, 1)))
     found = F.coalesce(*[_of_report(k) for k in ("mdTitle", "htmlTitle", "docxTitle")], C.title_fallback(F.col("whole.filename")))

@@ -272,7 +272,7 @@ def test_documents_are_read_once(spark):
     files = spark.createDataFrame([(1, "d.md", "markdown", "# A\n\nx")], "doc_id int, filename string, fmt string, content string")
     for options in (Options(), Options(split=1), Options(no_callouts=True, no_frontmatter=True)):
         plan = convert(files, options)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("MapInPandas") == 1 and plan.count("Exchange hashpartitioning") == 2, plan
+        assert plan.count("MapInPandas") == 1 and plan.count("Exchange hashpartitioning") == 2 + (options.split > 0), plan
 
 
 def test_split_keeps_documents_without_blocks(spark):
