@@ -110,8 +110,10 @@ def link_edges(pages: DataFrame) -> DataFrame:
     refresh = F.regexp_extract_all("html", F.lit(rf"(?is)<meta\s[^>]*http-equiv\s*=\s*{quote}refresh\b[^>]*>"), F.lit(0))
     href = F.transform(canonical, lambda tag: F.regexp_extract(tag, rf"(?is)href\s*=\s*{quote}([^\"'\s>]+)", 1))
     url = F.transform(refresh, lambda tag: F.regexp_extract(tag, rf"(?is)url\s*=\s*{quote}((?:&#?\w+;|[^\"'\s>;])+)", 1))  # the ; of a reference ends no url
-    # outer, as a plain explode has the patterns searched again to find out whether the array is empty
-    raw = pages.where(host_of(F.col("url")) != "").select("url", F.explode_outer(F.array_distinct(F.concat(href, url))).alias("to")).where("to <> ''").withColumn("to", decoded(F.col("to")))
+    # outer, as a plain explode has the patterns searched again to find out whether the array is empty; written, as most pages have no link and the
+    # expressions below would be planned into one another
+    raw = pages.where(host_of(F.col("url")) != "").select("url", F.explode_outer(F.array_distinct(F.concat(href, url))).alias("to")).where("to <> ''")
+    raw = stash(stash(raw, "url-links").withColumn("to", decoded(F.col("to"))), "url-decoded")
     folder = F.regexp_replace(path_of(F.col("url")), "[^/]*$", "")
     site = F.concat(F.lit("http://"), host_of(F.col("url")))
     target = (
@@ -120,7 +122,8 @@ def link_edges(pages: DataFrame) -> DataFrame:
         .when(F.col("to").startswith("/"), F.concat(site, "to"))
         .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), "to"))
     )
-    return raw.select("url", target.alias("target")).withColumn("target", F.when(F.col("target").rlike(_DOTS), without_dots(F.col("target"))).otherwise(F.col("target")))
+    raw = stash(raw.select("url", target.alias("target")), "url-targets")
+    return raw.withColumn("target", F.when(F.col("target").rlike(_DOTS), without_dots(F.col("target"))).otherwise(F.col("target")))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None) -> DataFrame:
@@ -128,7 +131,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFr
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("url", "target"))
-    ends = stash(edges.select(F.col("url"), F.col("target"), key_of(F.col("url")).alias("a"), key_of(F.col("target")).alias("b")).where("a is not null and b is not null"), "url-edges")
+    edges = stash(edges.select("url", "target"), "url-pairs")
+    ends = stash(edges.select("url", "target", key_of(F.col("url")).alias("a"), key_of(F.col("target")).alias("b")), "url-edges").where("a is not null and b is not null")
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), key_of(F.col("url")).alias("key"))
     own = judged(own, rules)
     verdict = F.coalesce("action", F.lit("allow"))
