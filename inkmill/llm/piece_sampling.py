@@ -76,6 +76,9 @@ class Pieces:
         self.same_slot = int(np.bincount(top).max())
         self.padded = np.concatenate([self.hashes, np.zeros(self.same_slot + 1, dtype=U)])
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids.tolist()])
+
     @staticmethod
     def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -298,7 +301,7 @@ def _stretches(text: str) -> list[tuple[int, str]]:
 
 
 def decode(p: Pieces, ids) -> str:
-    return b"".join([p.bytes_of[i] for i in ids])[1:].decode()
+    return p.joined(np.asarray(ids, dtype=np.int64))[1:].decode()
 
 
 def _encode(path: str, alpha: float, with_ids: bool):
@@ -307,18 +310,21 @@ def _encode(path: str, alpha: float, with_ids: bool):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         seeds = batch.column("seed").to_numpy().view(U)
         for lo, hi in chunks([len(t) for t in texts], _CHUNK):
-            if hi - lo == 1:
-                parts = [sample(p, [part], seeds[lo:hi], alpha, [begin])[0] for begin, part in _stretches(texts[lo])]
-                got = [np.concatenate(parts)]
-            else:
-                got = sample(p, texts[lo:hi], seeds[lo:hi], alpha)
-            part = batch.slice(lo, hi - lo)
-            crc = [zlib.crc32(g.astype("<u4").tobytes()) for g in got]
-            same = [decode(p, g.tolist()) == t for g, t in zip(got, texts[lo:hi], strict=True)]
-            cols = [part.column("doc_id"), pa.array([len(g) for g in got], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
-            names = ["doc_id", "n_pieces", "ids_crc32", "lossless"]
+            parts = [[(0, t)] for t in texts[lo:hi]] if hi - lo > 1 else [_stretches(texts[lo])]
+            n, crc, same, ids = [0] * (hi - lo), [0] * (hi - lo), [True] * (hi - lo), [[] for _ in range(hi - lo)]
+            for k in range(max(map(len, parts))):  # all texts at once, or the stretches of one
+                of = [i for i, p_ in enumerate(parts) if k < len(p_)]
+                got = sample(p, [parts[i][k][1] for i in of], seeds[lo:hi][of], alpha, [parts[i][k][0] for i in of])
+                for i, g in zip(of, got, strict=True):
+                    begin, part = parts[i][k]
+                    n[i] += len(g)
+                    crc[i] = zlib.crc32(g.astype("<u4").tobytes(), crc[i])
+                    same[i] &= p.joined(g) == (part if begin or not part else " " + part).encode()
+                    if with_ids:
+                        ids[i].append(g)
+            cols, names = [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "lossless"]
             if with_ids:
-                cols.append(pa.array(got, pa.list_(pa.int32())))
+                cols.append(pa.array([np.concatenate(g) for g in ids], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
