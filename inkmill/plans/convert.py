@@ -17,7 +17,7 @@ from ..operators.passes import apply_passes, split_several
 from ..operators.render import frontmatter, numbered_images, render, with_images, with_own_images
 from ..options import Options
 from ..sources.docx import docx_document
-from ..sources.formats import accepted, format_of
+from ..sources.formats import accepted, advice, format_of
 from ..sources.html import html_to_blocks
 from ..sources.markdown import markdown_to_blocks
 from ..sources.pdf import pdf_to_blocks
@@ -109,10 +109,13 @@ def convert(files: DataFrame, options: Options | None = None, image_urls: DataFr
 
 
 def convert_files(files: DataFrame, options: Options | None = None) -> DataFrame:
-    """The same for files (path, filename, length, content) of any accepted format but archives, with the path as doc_id."""
+    """The same for files (path, filename, length, content) of any format, with the path as doc_id; names that aren't taken get an error row.
+    Archives go to ``convert_archives``."""
     options = options or Options()
     found = format_of(accepted(files, options.force_markdown), options.force_markdown).where("fmt <> 'archive'")
-    return convert(found.select(F.col("path").alias("doc_id"), "filename", "fmt", "content"), options)
+    pages = convert(found.select(F.col("path").alias("doc_id"), "filename", "fmt", "content"), options)
+    refused = advice(files, options.force_markdown).select(F.col("path").alias("doc_id"), F.lit(0).alias("section"), "error")
+    return pages.unionByName(refused, allowMissingColumns=True)
 
 
 _OUT = "section int, path string, title string, text string, error string, data binary"

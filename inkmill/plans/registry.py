@@ -88,7 +88,10 @@ def html_headings(spark, sf_dir):
     return blocks.select(F.col("doc_id").alias("page_id"), "level", "text")
 
 
-@query()
+@query(r"""
+    WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) AS art FROM pages),
+    t AS (SELECT *, length(trim(regexp_replace(ENT, '<[^>]*>', '', 'g'))) > 200 AS rich FROM a)
+    SELECT page_id, len(regexp_extract_all(art, '<p>\s*[^<\s]|<p><b>'))::BIGINT + CASE WHEN rich THEN 0 ELSE len(regexp_extract_all(html, '<div class="ad">[^<]')) END AS n_paragraphs FROM t""".replace("ENT", _ENT.format("art")))
 def html_paragraph_counts(spark, sf_dir):
     blocks = V.block_rows(V.read_documents(_pages(spark, sf_dir)))
     return blocks.where("kind = 'para'").groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n_paragraphs"))
@@ -103,6 +106,15 @@ def fmt_sniff(spark, sf_dir):
     return formats.format_of(pages.unionByName(docs)).select("filename", "fmt")
 
 
+@query("""
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '.doc files can''t be read: save this one as .docx' WHEN 1 THEN 'Pages files can''t be read: export this one as .docx' ELSE 'this is no document of a known format' END AS error
+    FROM documents WHERE doc_id % 4 < 3""")
+def intake_advice(spark, sf_dir):
+    """What is said of files that aren't taken."""
+    ext = F.element_at(F.array(*map(F.lit, (".doc", ".Pages", ".csv", ".md"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return formats.advice(_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a"), ext).alias("filename"))).select("doc_id", "error")
+
+
 # --- scalar text ----------------------------------------------------------------------
 
 _KEY = "trim(regexp_replace(regexp_replace(lower(strip_accents(trim({0}))), '[:.;,]+$', ''), '\\s+', ' ', 'g'))"

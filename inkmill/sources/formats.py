@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 DOC_MEMBER = r"(?i)\.(docx|pdf|md|markdown|mdx|txt|html?|xhtml)$"
 SPEC_MEMBER = r"(?i)\.(ya?ml|json)$"
 REFUSED = r"(?i)\.(doc|docm|rtf|odt|pages)$"
+ACCEPTED_NAME = r"(?i)\.(docx|pdf|html?|xhtml|md|markdown|mdx|txt|zip)$"
+MARKDOWN_NAME = r"(?i)\.(md|markdown|mdx|txt)$"
 
 
 def read_folder(spark, path: str, glob: str = "*") -> DataFrame:
@@ -103,11 +105,19 @@ def classified(rows: DataFrame) -> DataFrame:
 
 def accepted(files: DataFrame, markdown_mode: bool = False) -> DataFrame:
     """Files whose names are taken, one of each name and length (the smallest path)."""
-    allowed = r"(?i)\.(md|markdown|mdx|txt)$" if markdown_mode else r"(?i)\.(docx|pdf|html?|xhtml|md|markdown|mdx|txt|zip)$"
+    allowed = MARKDOWN_NAME if markdown_mode else ACCEPTED_NAME
     nth = F.row_number().over(Window.partitionBy("filename", "length").orderBy("path"))
     return files.where(F.col("filename").rlike(allowed)).withColumn("_n", nth).where("_n = 1").drop("_n")
 
 
+def advice(files: DataFrame, markdown_mode: bool = False) -> DataFrame:
+    """Files whose names aren't taken, with an error that says what to do."""
+    allowed = MARKDOWN_NAME if markdown_mode else ACCEPTED_NAME
+    ext = F.lower(F.regexp_extract("filename", REFUSED, 1))
+    say = F.when(ext == "pages", "Pages files can't be read: export this one as .docx").when(ext != "", F.concat(F.lit("."), ext, F.lit(" files can't be read: save this one as .docx"))).otherwise("this is no document of a known format")
+    return files.where(~F.col("filename").rlike(allowed)).withColumn("error", say)
+
+
 def pasted(spark, text: str) -> DataFrame:
     """Pasted text as a file."""
     data = text.strip().encode()

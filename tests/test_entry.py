@@ -24,3 +24,15 @@ def test_without_the_llm_folders(tmp_path):
     entry.unlink()
     entry.write_text((ROOT / "__spark_entry__.py").read_text())
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_errors_inside_the_llm_folder_are_not_hidden(tmp_path):
+    (tmp_path / "inkmill" / "llm").mkdir(parents=True)
+    for p in (ROOT / "inkmill").iterdir():
+        if p.name != "llm":
+            (tmp_path / "inkmill" / p.name).symlink_to(p)
+    (tmp_path / "inkmill" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "inkmill" / "llm" / "queries.py").write_text("import no_such_module\n")
+    (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
+    assert done.returncode and "no_such_module" in done.stderr
