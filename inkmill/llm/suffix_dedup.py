@@ -38,9 +38,9 @@ from .common import attach, bitmap, in_bitmap, python_map, stash
 from .rolling import A, B, U, chunks, mix, sliding_min
 
 WINDOW, GRAM = 200, 40
-#: Up to so many segments of a gram, under 8 MB, are compared in one task; beyond it windows are counted as rows.
+#: Up to so many segments of a gram, under 12 MB, are compared in one task, in rounds of about ROUND bytes; beyond it windows are counted as rows.
 CROWD = 1 << 15
-_PIECE = 1 << 19
+_PIECE, ROUND = 1 << 19, 1 << 21
 #: Runs are merged in blocks of 2**BLOCK bytes.
 BLOCK = 20
 _POS = U((1 << 20) - 1)
@@ -142,6 +142,31 @@ def _windows(pieces: list[bytes]):
     return owner, start - (end - size)[owner], h1, h2
 
 
+def _repeated(pieces: list[bytes], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, offset) of the windows of wanted pieces that stand twice in pieces, in order. Windows are compared in rounds by their hash, so memory
+    doesn't grow with a gram."""
+    sizes = [len(p) for p in pieces]
+    rounds = 1 + sum(sizes) // ROUND
+    hits: list[tuple[np.ndarray, np.ndarray]] = []
+    for r in range(rounds):
+        found = []
+        for lo, hi in chunks(sizes, _PIECE):
+            owner, at, h1, h2 = _windows(pieces[lo:hi])
+            mine = slice(None) if rounds == 1 else np.flatnonzero((h1 >> U(40)) % U(rounds) == U(r))
+            found.append((owner[mine] + lo, at[mine], h1[mine], h2[mine]))
+        owner, at, h1, h2 = (np.concatenate([f[k] for f in found]) for k in range(4))
+        order = np.lexsort((h2, h1))
+        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        hit = np.zeros(len(order), dtype=bool)
+        hit[order[1:]] |= same
+        hit[order[:-1]] |= same
+        hit &= wanted[owner]
+        hits.append((owner[hit], at[hit]))
+    owner, at = (np.concatenate([h[k] for h in hits]) for k in (0, 1))
+    order = np.lexsort((at, owner))
+    return owner[order], at[order]
+
+
 def _resolve(batches):
     """Digit 3 within a partition that is sorted by gram, each gram's rows together.
     Yields the repeated runs of windows of segments that occur once."""
@@ -167,15 +192,9 @@ def _resolve(batches):
                 total += sizes[hi]
                 hi += 1
             part = done.slice(lo, hi - lo)
-            owner, at, h1, h2 = _windows(part.column("piece").to_pylist())
-            order = np.lexsort((h2, h1))
-            same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-            hit = np.zeros(len(order), dtype=bool)
-            hit[order[1:]] |= same
-            hit[order[:-1]] |= same
-            hit &= part.column("uses").to_numpy()[owner] == 1
-            if hit.any():
-                rows, pos = _runs(owner[hit], at[hit])
+            owner, at = _repeated(part.column("piece").to_pylist(), part.column("uses").to_numpy() == 1)
+            if len(owner):
+                rows, pos = _runs(owner, at)
                 pos += part.column("pos").to_numpy()[rows] >> 8 << 8
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), part.column("sum").take(pa.array(rows)), pa.array(pos)], ["doc_id", "sum", "pos"])
             lo = hi

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from inkmill.llm import exact_dedup as exact_module
@@ -206,6 +207,20 @@ def test_suffix(corpus, monkeypatch, crowd, block):
     assert sorted(map(tuple, remove_repeats(df).collect())) == sorted(expected)
 
 
+def test_windows_in_rounds(monkeypatch):
+    rnd = random.Random(14)
+    base = rnd.randbytes(260)
+    pieces = [rnd.randbytes(rnd.randrange(200, 360)) for _ in range(40)] + [base, base[30:] + b"x", b"y" + base[:240], b"z" * 230]
+    wanted = np.arange(len(pieces)) % 7 != 3
+    seen = collections.Counter(p[k : k + 200] for p in pieces for k in range(len(p) - 199))
+    expected = [(i, k) for i, p in enumerate(pieces) if wanted[i] for k in range(len(p) - 199) if seen[p[k : k + 200]] > 1]
+    for size, part in ((1 << 21, 1 << 19), (1000, 700)):
+        monkeypatch.setattr(suffix_dedup, "ROUND", size)
+        monkeypatch.setattr(suffix_dedup, "_PIECE", part)
+        owner, at = suffix_dedup._repeated(pieces, wanted)
+        assert list(zip(owner.tolist(), at.tolist(), strict=True)) == expected
+
+
 def test_suffix_of_rows_with_one_id(spark):
     """Null and repeated ids; a long text of one letter, whose every window repeats."""
     x, y = text_of(81, 90), text_of(82, 90)
