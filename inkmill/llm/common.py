@@ -3,8 +3,6 @@ skew-safe joins, connected components and bounded membership bitmaps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.kept import kept as stash
+
 #: White space of the byte-level contracts: space and tab to carriage return.
 WHITE = b" \t\n\r\x0b\x0c"
 
@@ -20,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    it is unset (tests on one machine), a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-        if not found:
-            found = tempfile.mkdtemp(prefix="inkmill-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back. It cuts the
-    lineage as checkpoint() does, keeps columns prunable, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/inkmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows that a function gets at once: a few MB of texts, so its copies of them stay small.
 SLICE = 2048
 

@@ -282,6 +282,17 @@ def test_classifiers(labelled, scores, label, least):
     assert scores(docs.limit(0), labels).count() == 0 and scores(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_rows_without_doc_id(spark):
+    """Each is judged by its text, and none belongs to the held-out fold or is learned from."""
+    text = " ".join(f"w{i}" for i in range(60)) + "."
+    df = spark.createDataFrame([(None, text), (None, text), (None, None), (3, text)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted((r.doc_id is None, r.kept) for r in quality_rules(df).collect()) == [(False, True), (True, False), (True, True), (True, True)]
+    for scores in (quality_scores, toxicity_scores):
+        rows = scores(df, labels).collect()
+        assert len(rows) == 4 and not any(r.held_out for r in rows if r.doc_id is None) and len({r.score for r in rows}) <= 2
+
+
 @pytest.mark.parametrize("scores", [quality_scores, toxicity_scores])
 def test_scores_do_not_depend_on_the_dealing(labelled, scores):
     docs, labels = labelled
