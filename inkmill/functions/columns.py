@@ -87,9 +87,6 @@ def desmarten(text: Column) -> Column:
     return out
 
 
-def desmarten_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{''.join(SMART_IN_CODE)}]"))
-
 
 def infer_language(text: Column, heading: Column) -> Column:
     head = rx(text, f"^{S}+", "")

@@ -23,6 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def kept(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut, lost executors cost nothing, columns can still be pruned."""
-    path = f"{shared_folder(df.sparkSession)}/inkmill/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/inkmill-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has kept; frames that read it can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

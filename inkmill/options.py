@@ -27,7 +27,7 @@ class Options:
     force_markdown: bool = False
 
     def __post_init__(self):
-        domains = {"split": (0, 1, 2), "max_level": (3, 4, 6), "label_style": ("bold", "plain"), "callout_style": ("component", "blockquote", "plain")}
+        domains = {"split": (0, 1, 2), "top_level": (1, 2, 3, 4, 5, 6), "max_level": (3, 4, 6), "label_style": ("bold", "plain"), "callout_style": ("component", "blockquote", "plain")}
         for name, allowed in domains.items():
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} is one of {allowed}")

@@ -67,13 +67,23 @@ def _pages(spark, sf_dir, fmt="html"):
 # --- HTML ---------------------------------------------------------------------------
 
 
-@query()
+_ENT = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(r"""
+    WITH a AS (SELECT page_id, html, regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)(</article>|$)', 1), '(?s)<footer>.*$', '') AS art FROM pages),
+    l AS (SELECT page_id, unnest(string_split(art, '<p>')) AS part, generate_subscripts(string_split(art, '<p>'), 1) AS i FROM a),
+    p AS (SELECT page_id, i, starts_with(part, '<b>') AS own, trim(regexp_replace(PIECE, '<[^>]*>', '', 'g')) AS text, sum(CASE WHEN starts_with(part, '<b>') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS open FROM l),
+    m AS (SELECT page_id, i, text, CASE WHEN own THEN least(open - 1, 3) + 1 ELSE least(open, 3) END::INT AS depth FROM p WHERE text <> ''),
+    b AS (SELECT page_id, string_agg(repeat('**', depth) || regexp_replace(text, '([\\`*\[\]<>{}])', '\\\1', 'g') || repeat('**', depth), chr(10) || chr(10) ORDER BY i) AS body FROM m GROUP BY 1),
+    t AS (SELECT page_id, trim(TITLE) AS title, trim(regexp_replace(trim(HEADING), '^(?:[a-zA-Z][.)]|[ivxlcdmIVXLCDM]+[.)])\s+', ''), ' .') AS heading FROM a)
+    SELECT page_id, title, page_id || '.md' AS path, '---' || chr(10) || 'title: "' || replace(title, '"', '\"') || '"' || chr(10) || 'hidden: true' || chr(10) || '---' || chr(10) || chr(10) || '## ' || heading || coalesce(chr(10) || chr(10) || body, '') || chr(10) AS body, NULL::VARCHAR AS error
+    FROM t LEFT JOIN b USING (page_id)""".replace("PIECE", _ENT.format("part")).replace("TITLE", _ENT.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")).replace("HEADING", _ENT.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")))
 def html_to_markdown(spark, sf_dir):
     out = V.convert(_pages(spark, sf_dir), Options(max_level=6))
     return out.select(F.col("doc_id").alias("page_id"), "title", "path", F.col("text").alias("body"), "error")
 
 
-_ENT = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 @query("SELECT page_id, trim(" + _ENT.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + ") AS title FROM pages")

@@ -1,4 +1,7 @@
-"""Sinks (K1, K2, K4): zips of output files, written by executors."""
+"""Sinks (K1, K2, K4): zips of output files, written by executors.
+
+A zip is one row, so it and its files must fit the memory of a task (and two GB); by is to name shares of that size.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.names import free_names
+
 
 def zip_bytes(files: list[tuple[str, bytes]]) -> bytes:
     """K1: stored entries with one constant date, so equal input gives equal bytes."""
@@ -37,19 +42,7 @@ def published_paths(files: DataFrame) -> DataFrame:
 
 def free_paths(files: DataFrame, by: str = "batch", order: str = "pos") -> DataFrame:
     """K2: paths that repeat within a batch get -2, -3, ... before their extension."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable").copy()
-        used: set[str] = set()
-        out = []
-        for path in group["path"]:
-            stem, dot, ext = path.rpartition(".") if "." in path.rsplit("/", 1)[-1] else (path, "", "")
-            free, n = path, 2
-            while free in used:
-                free, n = f"{stem}-{n}{dot}{ext}", n + 1
-            used.add(free)
-            out.append(free)
-        group["path"] = out
-        return group
-
-    return files.groupBy(by).applyInPandas(one, files.schema)
+    ext = F.regexp_extract("path", r"\.[^./]*$", 0)
+    rows = files.withColumns({"_ext": ext, "_stem": F.col("path").substr(F.lit(1), F.length("path") - F.length(ext))})
+    named = free_names(rows, [by, "_ext"], [F.col(order)], "_stem", fold=False)
+    return named.withColumn("path", F.concat("_stem", "_ext")).select(*files.columns)

@@ -13,7 +13,7 @@ from inkmill.operators.report import hazards, reports
 from inkmill.options import Options, from_choices
 from inkmill.plans import samples as G
 from inkmill.plans.archive import archive_reports, convert_archives, member_errors
-from inkmill.plans.convert import block_rows, convert, read_documents
+from inkmill.plans.convert import block_rows, convert, convert_files, read_documents
 from inkmill.sources import formats
 from inkmill.sources.sinks import free_paths, published_paths, zip_bytes, zips
 
@@ -190,6 +190,24 @@ def test_streaming(spark, tmp_path):
     assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a.md", "b.md"]
 
 
+def test_arrivals(spark, tmp_path):
+    from inkmill.streaming.ingest import arrivals, incoming
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.md", "b.MD", "c.html"):
+        (tmp_path / "in" / name).write_text("x" * 5)
+    query = arrivals(incoming(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.table("arrived").groupBy("ext").agg(F.sum("files").alias("n"), F.sum("bytes").alias("b")).collect()
+    assert {(r.ext, r.n, r.b) for r in rows} == {("md", 2, 10), ("html", 1, 5)}
+
+
+def test_refused_files_are_errors(spark):
+    files = spark.createDataFrame([("p/a.doc", "a.doc", 1, bytearray(b"x")), ("p/b.md", "b.md", 1, bytearray(b"x"))], "path string, filename string, length long, content binary")
+    rows = {r.doc_id: r for r in convert_files(files).collect()}
+    assert "save this one as .docx" in rows["p/a.doc"].error and rows["p/b.md"].path == "b.md" and rows["p/b.md"].error is None
+
+
 def picture_doc():
     word = G.Word()
     pictures = {n: word.picture(f"media/{n}", n.encode()) for n in ("p1.PNG", "p2.PNG", "p3", "p4.PNG")}
@@ -267,6 +285,18 @@ def test_free_names(spark):
     assert first_free(["a", "a", "a-2", "a"]) == ["a", "a-2", "a-2-2", "a-3"]
 
 
+def test_kept_frames_are_cleared(spark):
+    from pathlib import Path
+
+    from inkmill.operators.kept import _folder, clear, kept
+
+    assert kept(spark.range(3), "three").count() == 3
+    folder = Path(_folder(spark).removeprefix("file:"))
+    assert folder.exists()
+    clear(spark)
+    assert not folder.exists()
+
+
 def test_documents_are_read_once(spark):
     """One pass over the documents, whatever becomes of them."""
     files = spark.createDataFrame([(1, "d.md", "markdown", "# A\n\nx")], "doc_id int, filename string, fmt string, content string")
