@@ -9,8 +9,8 @@ all of them, however deep that goes. Nodes report no pairs but a star for each g
 sketches can't tell apart at 4.5 standard deviations below the threshold.
 
 The components of those stars hold every link that a tree has met. Each component comes together once, with whole texts, and its
-links are confirmed on full shingle sets, one search from each document over those not yet reached. Sets are compared by numbers
-of shingles whose words have been compared byte by byte (``exact_sets``); hashes only propose. Components over GATHER
+links are confirmed on full shingle sets, one search from each document over those not yet reached. Hashes can only refute a link;
+what they propose is settled by the words of the common shingles, byte by byte (``Sets``). Components over GATHER
 documents or GATHER_BYTES of text are not gathered: their trees are run again down to nodes of CROWDED
 documents, and candidate pairs are confirmed by the same sets in joins in rounds, the likeliest first, until each is confirmed, refuted or
 within one component. The two ways differ only in which pairs they try: a gathered component all that the sketches leave, a
@@ -44,7 +44,7 @@ GATHER, GATHER_BYTES = 20_000, 16 << 20
 SURE_OUT = 0.58
 _MUL = _splitmix(0xA4093822299F31D0, COORDS) | U(1)
 _XOR = _splitmix(0x082EFA98EC4E6C89, COORDS)
-_CHUNK, _SLICE = 1 << 20, 1 << 20
+_CHUNK = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
@@ -55,29 +55,60 @@ def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def exact_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
-    """The sets of k-word shingles, by number: shingles of these texts have one number if and only if their words are equal, byte by byte."""
-    return _exact(Words(texts), k)
-
-
-def _exact(words: Words, k: int = WORDS) -> list[np.ndarray]:
-    ids, found = words.ids(), words.shingles(k)
-    at, h = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (0, 1))
-    if not len(at):
-        return [f[0] for f in found]
-    end = np.repeat(words.edges[1:], [len(f[0]) for f in found])
-
-    def word(rows, j):
-        place = at[rows] + j
-        return np.where(place < end[rows], ids[np.minimum(place, len(ids) - 1)], -1)
-
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    for lo in range(0, len(at), _SLICE):
-        some = np.arange(lo, min(lo + _SLICE, len(at)))
-        if not all(np.array_equal(word(some, j), word(first[which[some]], j)) for j in range(k)):  # two shingles have one hash
-            _, which = np.unique(np.stack([word(np.arange(len(at)), j) for j in range(k)], axis=1), axis=0, return_inverse=True)
-            break
-    return [np.unique(p) for p in np.split(which.ravel(), np.cumsum([len(f[0]) for f in found])[:-1])]
+class Sets:
+    """The shingle sets of some texts. Sizes of intersections are proposed by hashes and settled word by word."""
+
+    def __init__(self, texts: list[bytes], k: int = WORDS):
+        self.words, self.k = Words(texts), k
+        self.hashes: list[np.ndarray] = []  # sorted, each once
+        self.places: list[np.ndarray] = []  # a shingle's first word
+        self.clean: list[bool] = []  # shingles of one hash are equal, within the text
+        for i, (first, h) in enumerate(self.words.shingles(k)):
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], first[order].astype(np.int32)
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = h[1:] != h[:-1]
+            kept, again = np.flatnonzero(new), np.flatnonzero(~new)
+            self.clean.append(bool(self.same(i, at[again], i, at[kept[np.cumsum(new)[again] - 1]]).all()))
+            self.hashes.append(h[kept])
+            self.places.append(at[kept])
+        self.words.hashes = None
+
+    def same(self, i: int, p: np.ndarray, j: int, q: np.ndarray) -> np.ndarray:
+        """Whether the shingles that begin at words p of text i and q of text j are equal."""
+        ok = np.ones(len(p), dtype=bool)
+        for k in range(self.k):
+            there, too = p + k < self.words.edges[i + 1], q + k < self.words.edges[j + 1]
+            ok &= there == too
+            both = np.flatnonzero(ok & there)
+            ok[both] = self.words.equal(p[both] + k, q[both] + k)
+        return ok
+
+    def plain(self, i: int) -> set:
+        """The set itself, where two shingles of a text have one hash."""
+        lo, hi = int(self.words.edges[i]), int(self.words.edges[i + 1])
+        w = [self.words.word(x) for x in range(lo, hi)]
+        return {tuple(w[x : x + self.k]) for x in range(len(w) - self.k + 1)} if len(w) >= self.k else {tuple(w)} if w else set()
+
+    def sizes(self, i: int, j: int, percent: int = 0) -> tuple[int, int]:
+        """(intersection, union); if hashes alone show that they are below percent, their sizes by hashes."""
+        if not (self.clean[i] and self.clean[j]):
+            a, b = self.plain(i), self.plain(j)
+            return len(a & b), len(a | b)
+        a, b = (i, j) if len(self.hashes[i]) >= len(self.hashes[j]) else (j, i)
+        if not len(self.hashes[a]):
+            return 0, 0
+        at = np.searchsorted(self.hashes[a], self.hashes[b])
+        at[at == len(self.hashes[a])] = 0
+        hit = np.flatnonzero(self.hashes[a][at] == self.hashes[b])
+        both, total = len(hit), len(self.hashes[a]) + len(self.hashes[b])
+        if both and 100 * both >= percent * (total - both):
+            both = int(self.same(a, self.places[a][at[hit]], b, self.places[b][hit]).sum())
+        return both, total - both
+
+    def linked(self, i: int, j: int) -> bool:
+        both, union = self.sizes(i, j, PERCENT)
+        return both > 0 and 100 * both >= PERCENT * union
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -188,27 +219,12 @@ def _stars_within(batch):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of sorted distinct arrays."""
-    if len(a) < len(b):
-        a, b = b, a
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    return int((a[at] == b).sum())
-
-
-def _links(a: np.ndarray, b: np.ndarray) -> bool:
-    both = _shared(a, b)
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
 def _exact_components(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """The smallest linked id of each document, by full sets."""
     order = np.argsort(ids, kind="stable")
-    words = Words([texts[i] for i in order.tolist()])
-    m = np.stack([(signature(np.unique(h)) & U(255)).astype(np.uint8) for _, h in words.shingles(WORDS)])
-    sets = _exact(words)
-    size = np.array([len(s) for s in sets])
+    sets = Sets([texts[i] for i in order.tolist()])
+    m = np.stack([(signature(h) & U(255)).astype(np.uint8) for h in sets.hashes])
+    size = np.array([len(h) for h in sets.hashes])
     least = int(np.ceil((SURE_OUT * (1 - 1 / 256) + 1 / 256) * COORDS))
     out = ids.copy()
     rest = np.arange(len(ids))
@@ -218,7 +234,7 @@ def _exact_components(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
             u = queue.pop()
             small, large = np.minimum(size[rest], size[u]), np.maximum(size[rest], size[u])
             maybe = np.flatnonzero((100 * small >= PERCENT * large) & ((m[rest] == m[u]).sum(axis=1) >= least))
-            hit = [i for i in maybe.tolist() if ids[order[rest[i]]] == ids[order[u]] or _links(sets[u], sets[rest[i]])]
+            hit = [i for i in maybe.tolist() if ids[order[rest[i]]] == ids[order[u]] or sets.linked(u, rest[i])]
             found = rest[hit]
             queue += found.tolist()
             out[order[found]] = ids[order[hub]]
@@ -236,12 +252,14 @@ def _gathered(batches):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_exact_components(ids, [h[1] for h in held]))], ["node", "root"])
 
     for batch in batches:
-        for r, i, t in zip(batch.column("root").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if r != root and held:
-                yield done()
-                held = []
-            root = r
-            held.append((i, t))
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            for r, i, t in zip(part.column("root").to_pylist(), part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if r != root and held:
+                    yield done()
+                    held = []
+                root = r
+                held.append((i, t))
     if held:
         yield done()
 
@@ -285,8 +303,8 @@ def _confirm(batch):
     ok = np.zeros(len(a), dtype=bool)
     for (_, text), rows in of.items():
         for lo, hi in chunks([len(right[i]) for i in rows], _CHUNK):
-            hub, *others = exact_sets([text, *(right[i] for i in rows[lo:hi])])
-            ok[rows[lo:hi]] = [_links(hub, other) for other in others]
+            sets = Sets([text, *(right[i] for i in rows[lo:hi])])
+            ok[rows[lo:hi]] = [sets.linked(0, 1 + n) for n in range(hi - lo)]
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ok)], ["a", "b", "ok"])
 
 

@@ -122,6 +122,18 @@ ORACLE = {
         SELECT page_id, host, path, substr(act, 6) AS rule,
                coalesce(substr(act, 1, 5), CASE WHEN coalesce(bl, false) AND NOT coalesce(al, false) THEN 'block' END, 'allow') AS verdict
         FROM j LEFT JOIN c ON j.host <> '' AND c.k = j.host || j.path || j.query""".replace("REST_URL", _URL.format("url")).replace("REST_TARGET", _URL.format("target")).replace("RULE", _RULE),
+    "op3_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM p),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        x AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(d, o) AS (SELECT a, b FROM x UNION SELECT r.d, x.b FROM r JOIN x ON r.o = x.a),
+        c AS (SELECT d, min(o) AS o FROM r GROUP BY 1)
+        SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, least(documents.doc_id, coalesce(o, documents.doc_id)) AS component_id, documents.doc_id <= coalesce(o, documents.doc_id) AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.d = documents.doc_id""",
     "op4_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         ws AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, t FROM d),
@@ -173,4 +185,17 @@ ORACLE = {
                len(list_filter(lines, lambda x: coalesce(list_contains(bad, x), false)))::BIGINT AS n_dropped,
                sha256(array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(bad, x), false)), chr(10))) AS clean_sha256
         FROM p LEFT JOIN b USING (host)""".replace("BLOCKS", BLOCKS),
+    "op10_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, h, unnest(range(0, length(h), 800)) AS off FROM d),
+        c AS (SELECT doc_id, off // 2 AS base, substr(h, off + 1, 1198) AS part FROM b),
+        w AS (SELECT doc_id, base + k AS pos, md5_number(substr(part, 2 * k + 1, 400)) AS m FROM (SELECT *, unnest(range(0, least(400, length(part) // 2 - 199))) AS k FROM c WHERE length(part) >= 400)),
+        g AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+        x AS (SELECT doc_id, pos, pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 200 AS far FROM w SEMI JOIN g USING (m)),
+        y AS (SELECT doc_id, pos, sum(coalesce(far, TRUE)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM x),
+        s AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 200 AS z FROM y GROUP BY ALL),
+        t AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before FROM s),
+        k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY span) || substr(any_value(h), 2 * max(z) + 1) AS left_over, sum(z - a) AS gone, count(*) AS spans FROM t JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
 }

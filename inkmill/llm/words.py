@@ -1,4 +1,4 @@
-"""Words of many texts as arrays: places, 64-bit hashes, shingles, and exact numbers."""
+"""Words of many texts as arrays: places, 64-bit hashes, shingles, and comparison by bytes."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from .rolling import U, _splitmix, mix
 _WEIGHT = _splitmix(0x299F31D0082EFA98, 8) | U(1)
 _MASK = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], dtype=U)
 _GAP = re.compile(rb"[ \t-\r]")
-LONG_WORD, STRETCH, _SLICE = 256, 4 << 20, 1 << 20
+LONG_WORD, STRETCH = 256, 4 << 20
 
 
 def folded(text: bytes, lower: bool = True):
@@ -43,7 +43,7 @@ class Words:
         buf = np.frombuffer(self.data + bytes(8), dtype=np.uint8)
         ends = np.flatnonzero(buf == 32)
         self.at = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-        self.size = ends - self.at
+        self.size = (ends - self.at).astype(np.int32)
         self.blocks = np.lib.stride_tricks.sliding_window_view(buf, 8)
         self.edges = np.searchsorted(ends, np.concatenate([[0], np.cumsum(counts)]))  # words of text i: edges[i] to edges[i + 1]
         self.hashes = self._hashes()
@@ -66,38 +66,32 @@ class Words:
             h[i] = int.from_bytes(hashlib.blake2b(self.word(i), digest_size=8).digest(), "little")
         return h
 
-    def shingles(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def shingles(self, k: int):
         """(first word, hash) of the k-word shingles of each text, repeated ones too."""
-        h, out = self.hashes, []
-        with np.errstate(over="ignore"):
-            n = max(0, len(h) - k + 1)
-            whole = np.zeros(n, dtype=U)
-            for j in range(k if n else 0):
-                whole += h[j : j + n] * _WEIGHT[j]
-            for lo, hi in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True):
-                if hi - lo >= k:
-                    out.append((np.arange(lo, hi - k + 1), mix(whole[lo : hi - k + 1])))
-                elif hi > lo:  # all words as one, told apart by their number
-                    out.append((np.array([lo]), mix(np.array([(h[lo:hi] * _WEIGHT[: hi - lo]).sum() + U(hi - lo)]))))
-                else:
-                    out.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)))
-        return out
+        h = self.hashes
+        n = max(0, len(h) - k + 1)
+        whole = np.zeros(n, dtype=U)
+        for j in range(k if n else 0):
+            whole += h[j : j + n] * _WEIGHT[j]  # arrays wrap around
+        for lo, hi in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True):
+            if hi - lo >= k:
+                yield np.arange(lo, hi - k + 1), mix(whole[lo : hi - k + 1])
+            elif hi > lo:  # all words as one, told apart by their number
+                yield np.array([lo]), mix((h[lo:hi] * _WEIGHT[: hi - lo]).sum(keepdims=True) + U(hi - lo))
+            else:
+                yield np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
 
-    def ids(self) -> np.ndarray:
-        """A number for each distinct word, by its bytes."""
-        _, first, which = np.unique(self.hashes, return_index=True, return_inverse=True)
-        for lo in range(0, len(which), _SLICE):
-            some = np.arange(lo, min(lo + _SLICE, len(which)))
-            same = first[which[some]]
-            ok, k = np.array_equal(self.size[some], self.size[same]), 0
-            while ok and len(some):
-                more = (self.size[some] > k) & (self.size[some] <= LONG_WORD)
-                if not k:
-                    ok = all(self.word(i) == self.word(j) for i, j in zip(some[~more].tolist(), same[~more].tolist(), strict=True))
-                some, same = some[more], same[more]
-                ok = ok and np.array_equal(self.block(some, k), self.block(same, k))
-                k += 8
-            if not ok:  # two words have one hash
-                seen: dict[bytes, int] = {}
-                return np.array([seen.setdefault(self.word(i), len(seen)) for i in range(len(self.at))])
-        return which
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a and b have the same bytes."""
+        ok = self.size[a] == self.size[b]
+        long = ok & (self.size[a] > LONG_WORD)
+        for i in np.flatnonzero(long).tolist():
+            ok[i] = self.word(a[i]) == self.word(b[i])
+        some, k = np.flatnonzero(ok & ~long), 0
+        while len(some):
+            same = self.block(a[some], k) == self.block(b[some], k)
+            ok[some[~same]] = False
+            k += 8
+            some = some[same]
+            some = some[self.size[a[some]] > k]
+        return ok

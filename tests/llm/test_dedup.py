@@ -137,8 +137,10 @@ def test_exact_sets(monkeypatch, bits):
     monkeypatch.setattr(near_dedup.Words, "_hashes", lambda self: real(self) & near_dedup.U((1 << bits) - 1))
     rnd = random.Random(8)
     texts = ["", "a", "A b", "b a", "x" * 1000, "x" * 999 + "y", "x" * 1000 + " z", *[" ".join(rnd.choice(["k", "kk", "long" * 30, "é", "w1 w2 w3"]) for _ in range(rnd.randrange(3, 40))) for _ in range(30)]]
-    sets, found = [shingles(t) for t in texts], near_dedup.exact_sets([t.encode() for t in texts])
-    assert all(len(a & b) == near_dedup._shared(x, y) for a, x in zip(sets, found, strict=True) for b, y in zip(sets, found, strict=True))
+    sets, found = [shingles(t) for t in texts], near_dedup.Sets([t.encode() for t in texts])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert found.sizes(i, j) == (len(a & b), len(a | b)) and found.linked(i, j) == (len(a & b) > 0 and 100 * len(a & b) >= 75 * len(a | b))
 
 
 @pytest.fixture(scope="module")
