@@ -22,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows that a function gets at once: a few MB of texts, so its copies of them stay small.
 SLICE = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def python_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a generator function of one batch."""
+    """mapInArrow with a generator function of one batch. A session that makes larger batches is set to SLICE rows, as the JVM and Python hold
+    whole batches besides."""
+    if int(df.sparkSession.conf.get(_BATCH)) > SLICE:
+        df.sparkSession.conf.set(_BATCH, SLICE)
 
     def run(batches):
         for batch in batches:
