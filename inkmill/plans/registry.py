@@ -769,3 +769,132 @@ def style_inherit(spark, sf_dir):
         return word.packed()
 
     return V.block_rows(V.read_documents(_files(spark, sf_dir, make, "docx"))).select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("sid"), "level")
+
+
+# --- intake, failures and options ------------------------------------------------------
+
+
+def _kinds(key: int, name: str, kind: str, brand: str) -> bytes:
+    """A file of one of ten kinds, of which its name says nothing."""
+    from ..sources.sinks import zip_bytes
+    from .samples import Sheet, pdf
+
+    return (
+        zip_bytes([(f"{name}.md", b"x")]), zip_bytes([("word/document.xml", b"<x/>")]), pdf(Sheet().put(name, 50, 90)), b"\xd0\xcf\x11\xe0" + bytes(600), b"\xef\xbb\xbf  <!DOCTYPE HTML><p>" + name.encode(),
+        b"<?xml version='1.0'?><!doctype html>", b"# " + name.encode(), b"a\x00b", b"junk " * 150 + b"%PDF-1.4", b"PK" + name.encode(),
+    )[key % 10]
+
+
+@query("SELECT p_partkey, ['archive', 'docx', 'pdf', 'docx', 'html', 'html', 'markdown', 'docx', 'markdown', 'docx'][p_partkey % 10 + 1] AS fmt FROM part")
+def fmt_binary(spark, sf_dir):
+    """S2 to S6 by content alone."""
+    files = _files(spark, sf_dir, _kinds, "bin")
+    return formats.format_of(files.select("doc_id", "filename", "content")).select(F.col("doc_id").alias("p_partkey"), "fmt")
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'older' WHEN 1 THEN 'no document' WHEN 2 THEN 'scanned' WHEN 3 THEN 'encrypted' WHEN 4 THEN 'no content' ELSE 'no readable' END AS error FROM part""")
+def reader_errors(spark, sf_dir):
+    """What can't be read is a row with its error."""
+    from ..sources.sinks import zip_bytes
+    from .samples import Sheet, generated
+    from .samples import pdf as pdf_of
+
+    def make(key):
+        return (b"\xd0\xcf" + bytes(600), zip_bytes([("x.xml", b"x")]), pdf_of(Sheet()), pdf_of(Sheet().put("x", 9, 9)) + b"/Encrypt 9 0 R", b" \n", b"<html><body><nav>n</nav></body></html>")[key % 6]
+
+    fmt = F.element_at(F.array(*map(F.lit, ("docx", "docx", "pdf", "pdf", "markdown", "html"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    files = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("a").alias("filename"), fmt.alias("fmt"), generated(make, "p_partkey").alias("content"))
+    error, said = F.lit(None).cast("string"), F.col("error")
+    for short, found in (("older", "older Word"), ("no document", "no word/document.xml"), ("scanned", "scanned"), ("encrypted", "encrypted"), ("no content", "no content"), ("no readable", "no readable")):
+        error = F.when(said.contains(found), short).otherwise(error)
+    return V.convert(files).select(F.col("doc_id").alias("p_partkey"), error.alias("error"))
+
+
+@query("""
+    SELECT conv_id, turn, '---' || chr(10) || 'title: ""' || chr(10) || 'hidden: true' || chr(10) || '---' || chr(10) || chr(10) || '## Turn ' || turn || chr(10) AS text, 'pasted.md' AS path FROM conversations""")
+def pasted_pages(spark, sf_dir):
+    """Pasted texts, which have no title."""
+    texts = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.concat(F.lit("\n \t# Turn "), F.col("turn").cast("string"), F.lit(" \n\n")).alias("text"))
+    files = formats.format_of(formats.pasted_texts(texts)).withColumnRenamed("path", "doc_id")
+    key = F.split("doc_id", "/")
+    return V.convert(files).select(key[0].cast("bigint").alias("conv_id"), key[1].cast("bigint").alias("turn"), "text", "path")
+
+
+@query(r"""
+    SELECT p_partkey, u.* FROM part, (VALUES ('keep', '# ' || p_name || chr(10) || chr(10) || '## Parameters:' || chr(10) || chr(10) || 'Nota: x' || chr(10)), ('plain', '# ' || p_name || chr(10) || chr(10) || 'Parameters:' || chr(10) || chr(10) || 'x' || chr(10)),
+        ('extra', '# ' || p_name || chr(10) || chr(10) || '## Parameters:' || chr(10) || chr(10) || '<Callout icon="📘" theme="info">' || chr(10) || 'x' || chr(10) || '</Callout>' || chr(10))) u(choice, text)""")
+def option_choices(spark, sf_dir):
+    """Options as a form gives them."""
+    from ..options import from_choices
+
+    docs = _from_part(spark, sf_dir, "cover\n\n# {name}\n\n## Parameters:\n\nNota: x\n", "markdown")
+    kept = {
+        "keep": from_choices("keep", no_callouts=True, top_level=1, no_frontmatter=True), "plain": from_choices("plain", callout_style="plain", top_level=1, no_frontmatter=True),
+        "extra": Options(labels=("other",), top_level=1, no_frontmatter=True),
+    }
+    out = None
+    for choice, options in kept.items():
+        one = V.convert(docs, options).select(F.col("doc_id").alias("p_partkey"), F.lit(choice).alias("choice"), "text")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- names, assets and warnings --------------------------------------------------------
+
+
+@query("SELECT n_nationkey, u.* FROM nation, (VALUES (0, 'x'), (1, 'X-2'), (2, 'x-2-2'), (3, 'x-3'), (4, 'x-3-2'), (5, 'y-2'), (6, 'y')) u(i, slug)")
+def slug_clash(spark, sf_dir):
+    """B10, G4 where a numbered name is taken: x, X, x-2, x, x-3, y-2, y."""
+    wanted = F.posexplode(F.array(*map(F.lit, ("x", "X", "x-2", "x", "x-3", "y-2", "y")))).alias("i", "slug")
+    return free_names(_table(spark, sf_dir, "nation").select("n_nationkey", wanted), ["n_nationkey"], [F.col("i")], "slug")
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, 'page' || CASE WHEN n > 1 THEN '-' || n ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN '.md' ELSE '.png' END AS path
+    FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS n FROM orders)""")
+def batch_paths(spark, sf_dir):
+    """K2: equal paths of a batch are numbered before their extension."""
+    from ..sources.sinks import free_paths
+
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "page.md").otherwise("page.png").alias("path"))
+    return free_paths(orders, "o_custkey", "o_orderkey")
+
+
+@query(f"""
+    SELECT r_name || '.zip' AS archive, 'docs/' || r_name || '/images/' || {_SLUG} || '-01.png' AS path, n_name AS content FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def archive_images(spark, sf_dir):
+    """Images of Word members, beside their pages."""
+    from ..sources.sinks import zips
+    from .archive import convert_archives
+    from .samples import Word, generated
+
+    def make(name):
+        word = Word().add("H", style="Part")
+        return word.add(word.picture("media/a.png", name.encode())).packed()
+
+    rows = spark.sql("SELECT r_name, n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey", nation=_table(spark, sf_dir, "nation"), region=_table(spark, sf_dir, "region"))
+    files = rows.select(F.concat("r_name", F.lit(".zip")).alias("archive"), F.concat("r_name", F.lit("/"), "n_name", F.lit(".docx")).alias("path"), F.lit(None).cast("string").alias("text"), generated(make, "n_name").alias("data"))
+    out = convert_archives(zips(files).withColumnRenamed("archive", "path")).where("data is not null")
+    return out.select("archive", "path", F.decode("data", "UTF-8").alias("content"))
+
+
+@query("""
+    SELECT r_name AS archive, u.* FROM region, (VALUES ('"a" is taken in "C": the later one is "a-2"'), ('"C/D/E/F" is deeper than 3 page levels: its pages are in "C/D/E"')) u(warning)""")
+def layout_warnings(spark, sf_dir):
+    """What the layout says of taken slugs and flattened folders."""
+    paths = F.explode(F.array(*map(F.lit, ("C/1.md", "C/2.md", "C/D/E/F/3.md", "C/D/E/F/G/4.md"))))
+    docs = _table(spark, sf_dir, "region").select(F.col("r_name").alias("archive"), paths.alias("src_path"))
+    slug = F.when(F.col("src_path").startswith("C/D"), "z").otherwise("a")
+    return L.Placement(docs.withColumn("slug", slug)).warnings()
+
+
+@query(r"""
+    SELECT p_partkey, '<Table>' || chr(10) || '  <thead>' || chr(10) || '    <tr>' || chr(10) || '      <th>' || chr(10) || '        H' || chr(10) || '      </th>' || chr(10) || '    </tr>' || chr(10) || '  </thead>' || chr(10) || chr(10)
+        || '  <tbody>' || chr(10) || '    <tr>' || chr(10) || '      <td>' || chr(10) || '        Use `<T' || p_partkey || '>`:' || chr(10) || chr(10) || '        - one ' || p_brand || ' more' || chr(10) || '          1. in' || chr(10) || '        - two' || chr(10) || '      </td>' || chr(10) || '    </tr>' || chr(10) || '  </tbody>' || chr(10) || '</Table>' AS cleaned FROM part""")
+def mdx_table_lists(spark, sf_dir):
+    """Code is left alone, Markdown lists in cells become lists."""
+    from ..operators.report import cleaned_tables
+
+    cell = F.concat(F.lit("<Table><tr><th>H</th></tr><tr><td>Use `<T"), F.col("p_partkey").cast("string"), F.lit(">`:\n\n- one "), "p_brand", F.lit("\n  more\n  1. in\n- two\n</td></tr></Table>"))
+    return _table(spark, sf_dir, "part").select("p_partkey", cleaned_tables(cell).alias("cleaned"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import SPACES
+
 DOC_MEMBER = r"(?i)\.(docx|pdf|md|markdown|mdx|txt|html?|xhtml)$"
 SPEC_MEMBER = r"(?i)\.(ya?ml|json)$"
 REFUSED = r"(?i)\.(doc|docm|rtf|odt|pages)$"
@@ -118,7 +120,12 @@ def advice(files: DataFrame, markdown_mode: bool = False) -> DataFrame:
     return files.where(~F.col("filename").rlike(allowed)).withColumn("error", say)
 
 
+def pasted_texts(texts: DataFrame) -> DataFrame:
+    """Pasted texts (path, text) as files; the file's name says that it has no title of its own."""
+    trimmed = F.btrim("text", F.lit(SPACES))
+    return texts.select("path", F.lit("pasted.md").alias("filename"), F.octet_length(trimmed).cast("long").alias("length"), F.encode(trimmed, "UTF-8").alias("content"))
+
+
 def pasted(spark, text: str) -> DataFrame:
-    """Pasted text as a file."""
-    data = text.strip().encode()
-    return spark.createDataFrame([("pasted.md", "pasted.md", len(data), bytearray(data))], "path string, filename string, length long, content binary")
+    """One pasted text as a file."""
+    return pasted_texts(spark.createDataFrame([("pasted.md", text)], "path string, text string"))
