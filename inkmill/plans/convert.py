@@ -37,8 +37,8 @@ def _read(fmt: str, content, keep_cover: bool = False) -> tuple[list[dict], dict
     return blocks, report, []
 
 
-def _spread(files: DataFrame) -> DataFrame:
-    """Deals few input partitions to all cores, as parsing costs far more than moving; many are left as they are. Streams are, too."""
+def spread(files: DataFrame) -> DataFrame:
+    """Deals few input partitions to all cores, as parsing (and generating) costs far more than moving; many are left as they are. Streams are, too."""
     if files.isStreaming:
         return files
     cores = files.sparkSession.sparkContext.defaultParallelism
@@ -63,7 +63,7 @@ def read_documents(files: DataFrame, keep_cover: bool = False) -> DataFrame:
                     rows.append((doc_id, filename, None, None, None, str(failure) or type(failure).__name__))
             yield pd.DataFrame(rows, columns=["doc_id", "filename", "blocks", "report", "media", "error"])
 
-    files = _spread(files.select("doc_id", "filename", "fmt", "content"))
+    files = spread(files.select("doc_id", "filename", "fmt", "content"))
     schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, filename string, blocks {BLOCKS}, report string, media {MEDIA}, error string"
     return files.mapInPandas(scan, schema)
 

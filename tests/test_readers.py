@@ -150,3 +150,15 @@ def test_pdf_file():
     assert kinds(pdf_to_blocks(G.pdf(sheet))[0]) == [("heading", "Head"), ("para", "Body copy (one) of this page \\\\ here."), ("code", "let x")]
     with pytest.raises(ValueError, match="scanned"):
         pdf_to_blocks(G.pdf(G.Sheet()))
+
+
+def test_word_files_are_generated_by_all_cores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from inkmill.plans import registry
+
+    rows = [(i, f"ring {i}", "SMALL", "Brand#1") for i in range(64)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = registry._files(spark, str(tmp_path), registry._word, "docx")
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert len({r.task for r in files.select(F.spark_partition_id().alias("task")).collect()}) > 1
