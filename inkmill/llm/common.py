@@ -47,17 +47,16 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     """Join (inner or left) of rows with one row per group, where a group may hold a third of
     all rows. A share is total / max(SHARES, shuffle partitions) rows. A key with size over one share gets as many salts as
     it has shares: its rows are dealt over them by a hash of their other columns, its group row is repeated for each.
-    Only (hash of the key, salts) of such keys is broadcast, 16 bytes each, fewer than there are shares; group rows
+    Only (hash of the key, salts) of such keys is broadcast, as one map of a subquery: 16 bytes each, fewer than there are shares; group rows
     may be wide, as they only go through the shuffle."""
     shares = max(SHARES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hashed, rest = F.xxhash64(*keys), [c for c in rows.columns if c not in keys]
     hot = groups.where(F.col(size) * shares > total).groupBy(hashed.alias("_hot")).agg(F.ceil(F.sum(size) * shares / F.lit(total or 1)).cast("int").alias("_salts"))
-    hot = F.broadcast(hot)
-    salts = F.coalesce("_salts", F.lit(1))
+    hot = hot.agg(F.map_from_entries(F.collect_list(F.struct("_hot", "_salts")))).scalar()
+    salts = F.coalesce(F.try_element_at(hot, hashed), F.lit(1))
     salt = F.when(salts > 1, F.pmod(F.xxhash64(*rest), salts)).otherwise(0).cast("int") if rest else F.lit(0)
-    dealt = rows.withColumn("_hot", hashed).join(hot, "_hot", "left").withColumn("_salt", salt).drop("_hot", "_salts")
-    copies = groups.withColumn("_hot", hashed).join(hot, "_hot", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot", "_salts")
-    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 # --- bounded membership bitmap -------------------------------------------------

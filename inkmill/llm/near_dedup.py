@@ -42,6 +42,9 @@ WORDS, PERCENT = 5, 75
 COORDS, TREES, SMALL, CROWDED = 128, 16, 4096, 32
 GATHER, GATHER_BYTES = 20_000, 16 << 20
 SURE_OUT = 0.58
+#: Equal coordinates that an estimate of SURE_OUT takes.
+LEAST = int(np.ceil((SURE_OUT * (1 - 1 / 256) + 1 / 256) * COORDS))
+OVERLAP_BYTES, FEW = 64 << 20, 64
 _MUL = _splitmix(0xA4093822299F31D0, COORDS) | U(1)
 _XOR = _splitmix(0x082EFA98EC4E6C89, COORDS)
 _CHUNK = 1 << 20
@@ -186,6 +189,13 @@ def _first_level(seen):
     return scan
 
 
+def _in_nodes(seen):
+    def scan(batch):
+        yield batch.filter(pa.array(in_bitmap(seen, batch.column("node").to_numpy())))
+
+    return scan
+
+
 def _branch(batch):
     """Children of the nodes of a batch (node, doc_id, sketch)."""
     node = batch.column("node").to_numpy().view(U)
@@ -200,44 +210,80 @@ def _branch(batch):
 def _stars_within(batch):
     """A star from the smallest document of each group that sketches join, for nodes given as lists of (doc_id, sketch)."""
     a, b = [], []
-    least = int(np.ceil((SURE_OUT * (1 - 1 / 256) + 1 / 256) * COORDS))
     for group in batch.column("members"):
         ids = group.values.field("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, m = ids[order], _matrix(group.values.field("sketch"))[order]
-        rest = np.arange(len(ids))
-        while len(rest):
-            hub, queue, rest = rest[0], [rest[0]], rest[1:]
-            while queue and len(rest):
-                near = (m[rest] == m[queue.pop()]).sum(axis=1) >= least
+        across = np.ascontiguousarray(m.T)  # a row per coordinate of those in rest, the reached ones too until half are
+        rest, left = np.arange(len(ids)), np.ones(len(ids), dtype=bool)
+        while left.any():
+            hub = rest[np.argmax(left)]
+            left[np.argmax(left)] = False
+            queue = [hub]
+            while queue and left.any():
+                near = left & ((across == m[queue.pop()][:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8) >= LEAST)
                 found = rest[near]
                 queue += found.tolist()
-                rest = rest[~near]
+                left &= ~near
                 found = found[ids[found] != ids[hub]]
                 a.append(np.full(len(found), ids[hub])), b.append(ids[found])
+            if 2 * np.count_nonzero(left) < len(left):
+                rest, across, left = rest[left], np.ascontiguousarray(across[:, left]), left[left]
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
 
+class _Overlaps:
+    """Sizes of the intersections of one set with many, by hashes: a bit for each hash that two sets or more have, and what sets have of
+    none other left out. bits is None where that takes over OVERLAP_BYTES; then only the hashes' numbers are held."""
+
+    def __init__(self, hashes: list[np.ndarray]):
+        size = np.array([len(h) for h in hashes])
+        _, number, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        often = count[number] > 1
+        owner, self.number = np.repeat(np.arange(len(size)), size)[often], (np.cumsum(count > 1) - 1)[number[often]]
+        self.edges = np.searchsorted(owner, np.arange(len(size) + 1))
+        self.many = int((count > 1).sum())
+        width = self.many // 64 + 1
+        self.bits = None
+        if len(size) * width * 8 <= OVERLAP_BYTES:
+            self.bits = np.zeros((len(size), width), dtype=U)
+            np.bitwise_or.at(self.bits, (owner, self.number >> 6), U(1) << (self.number & 63).astype(U))
+
+    def of(self, u: int, rest: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[rest] & self.bits[u]).sum(axis=1, dtype=np.int64)
+        mine = np.zeros(self.many, dtype=bool)
+        mine[self.number[self.edges[u] : self.edges[u + 1]]] = True
+        upto = np.concatenate([[0], np.cumsum(mine[self.number])])
+        return upto[self.edges[rest + 1]] - upto[self.edges[rest]]
+
+
 def _exact_components(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """The smallest linked id of each document, by full sets."""
     order = np.argsort(ids, kind="stable")
     sets = Sets([texts[i] for i in order.tolist()])
-    m = np.stack([(signature(h) & U(255)).astype(np.uint8) for h in sets.hashes])
-    size = np.array([len(h) for h in sets.hashes])
-    least = int(np.ceil((SURE_OUT * (1 - 1 / 256) + 1 / 256) * COORDS))
+    size, clean, ids_of = np.array([len(h) for h in sets.hashes]), np.array(sets.clean), ids[order]
+    overlaps = _Overlaps(sets.hashes)
+    if overlaps.bits is None:
+        m = np.stack([(signature(h) & U(255)).astype(np.uint8) for h in sets.hashes])
     out = ids.copy()
     rest = np.arange(len(ids))
     while len(rest):
         hub, queue, rest = rest[0], [rest[0]], rest[1:]
         while queue and len(rest):
             u = queue.pop()
-            small, large = np.minimum(size[rest], size[u]), np.maximum(size[rest], size[u])
-            maybe = np.flatnonzero((100 * small >= PERCENT * large) & ((m[rest] == m[u]).sum(axis=1) >= least))
-            hit = [i for i in maybe.tolist() if ids[order[rest[i]]] == ids[order[u]] or sets.linked(u, rest[i])]
+            some = np.arange(len(rest))
+            if overlaps.bits is None:
+                some = np.flatnonzero((100 * np.minimum(size[rest], size[u]) >= PERCENT * np.maximum(size[rest], size[u])) & ((m[rest] == m[u]).sum(axis=1) >= LEAST))
+            if overlaps.bits is not None or len(some) > FEW:
+                both = overlaps.of(u, rest[some])
+                maybe = (both > 0) & (100 * both >= PERCENT * (size[rest[some]] + size[u] - both))
+                some = some[maybe | ~clean[rest[some]] | ~clean[u] | (ids_of[rest[some]] == ids_of[u])]
+            hit = [i for i in some.tolist() if ids_of[rest[i]] == ids_of[u] or sets.linked(u, rest[i])]
             found = rest[hit]
             queue += found.tolist()
-            out[order[found]] = ids[order[hub]]
+            out[order[found]] = ids_of[hub]
             rest = np.delete(rest, hit)
     return out
 
@@ -363,13 +409,16 @@ def _levels(reps: DataFrame, small: int):
     while True:
         ids = reps.select("doc_id", F.explode("nodes").alias("node")) if deep is None else deep.select("doc_id", "node")
         nodes = stash(ids.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("hub")).where("size > 1"), "near-nodes")
-        level = python_map(reps, _first_level(bitmap(nodes, "node")), _NODE) if deep is None else deep
-        few = level.join(nodes.where(F.col("size") <= small).select("node"), "node")
+        little = nodes.where(F.col("size") <= small).select("node")
+        level = python_map(reps, _first_level(bitmap(little, "node")), _NODE) if deep is None else deep
+        few = level.join(little, "node")
         few = few.groupBy("node").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).select("members")
         large, crowd = nodes.where(F.col("size") > small), None
         if not large.isEmpty():
             hubs = reps.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("hub_sketch"))
             large = stash(large.join(hubs, "hub"), "near-hubs")
+            # rows of small nodes, most of all, stay out of the dealing
+            level = python_map(reps if deep is None else deep, (_first_level if deep is None else _in_nodes)(bitmap(large, "node")), _NODE)
             crowd = stash(attach(level, large, ["node"], "size", large.agg(F.sum("size")).first()[0]), "near-crowd")
         on = yield few, crowd
         if crowd is None or on is None or on.isEmpty():

@@ -5,10 +5,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkmill.llm import exact_dedup as exact_module
 from inkmill.llm import near_dedup, suffix_dedup
-from inkmill.llm.common import components
+from inkmill.llm.common import attach, components
 from inkmill.llm.exact_dedup import chunk_table, chunks_of, cuts, exact_dedup
 from inkmill.llm.near_dedup import near_dups
 from inkmill.llm.suffix_dedup import remove_repeats
@@ -263,3 +264,38 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_planted_cluster_is_compared_in_bulk(monkeypatch):
+    """Copies of one text with a quarter to a half of it changed: sets refute most pairs by hashes at once, and both ways agree."""
+    rnd, base = random.Random(5), [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(150):
+        words = base[:]
+        for at in rnd.sample(range(0, 295, 5), rnd.randrange(1, 16)):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words).encode())
+    ids = np.arange(150)
+    sets = near_dedup.Sets(texts)
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if sets.linked(i, j):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    calls, linked = [], near_dedup.Sets.linked
+    monkeypatch.setattr(near_dedup.Sets, "linked", lambda self, i, j: calls.append((i, j)) or linked(self, i, j))
+    assert near_dedup._exact_components(ids, texts).tolist() == root and len(set(root)) > 1
+    assert len(calls) < 150
+    monkeypatch.setattr(near_dedup, "OVERLAP_BYTES", 0)
+    assert near_dedup._exact_components(ids, texts).tolist() == root
+
+
+def test_attach_joins_nothing_but_rows_and_groups(spark):
+    """Keys that are dealt are looked up, not joined, and each row comes once."""
+    rows = spark.range(3000).selectExpr("if(id < 2000, 0, id) AS k", "id AS v")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    out = attach(rows, groups, ["k"], "n", 3000)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert out.count() == 3000 and out.where("k = 0 and n = 2000").count() == 2000
+    assert attach(rows, groups.where("k > 2500"), ["k"], "n", 3000, "left").where("n is null").count() == 2501
